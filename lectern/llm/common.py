@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -58,3 +58,16 @@ def arrow_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def sample_by_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """Up to ``per_class`` rows of each class, the smallest by a hash of doc_id; classes with fewer keep all.
+
+    Counts come first (a narrow scan), so that the rows which reach the ranking are about twice what is kept, whatever
+    the table's size and however much of it one class holds.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    thinned = rows.join(counts, label).where(draw * F.col("__n") <= 2.0 * per_class + 50)
+    best = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), *sorted(rows.columns))
+    return thinned.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= per_class).select(*rows.columns)
