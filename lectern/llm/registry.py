@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_op1, q_op2, q_op4, q_op6, q_op7, q_op8, q_op9
+from . import q_op1, q_op2, q_op3, q_op4, q_op5, q_op6, q_op7, q_op8, q_op9, q_op10
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,22 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": q_op1.op1_substring_dedup,
         "op2_language_id": q_op2.op2_language_id,
+        "op3_source_mixing": q_op3.op3_source_mixing,
         "op4_jaccard_join": q_op4.op4_jaccard_join,
+        "op5_license_scan": q_op5.op5_license_scan,
         "op6_exact_dedup": q_op6.op6_exact_dedup,
         "op7_chat_formatting": q_op7.op7_chat_formatting,
         "op8_pii": q_op8.op8_pii,
         "op9_toxicity": q_op9.op9_toxicity,
+        "op10_decontamination": q_op10.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": q_op1.SQL, "op4_jaccard_join": q_op4.SQL, "op6_exact_dedup": q_op6.SQL, "op7_chat_formatting": q_op7.SQL}
+    return {
+        "op1_substring_dedup": q_op1.SQL,
+        "op4_jaccard_join": q_op4.SQL,
+        "op5_license_scan": q_op5.SQL,
+        "op6_exact_dedup": q_op6.SQL,
+        "op7_chat_formatting": q_op7.SQL,
+    }

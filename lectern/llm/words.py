@@ -20,6 +20,10 @@ SLICE_BYTES = 1 << 21
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+FOLDED[[i for i in range(33, 127) if not chr(i).isalnum()]] = 0x20
+
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -75,8 +79,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of one slice: byte bounds, row and 64-bit hash of each, in reading order."""
 
-    def __init__(self, column: pa.Array, hashed: bool = True):
+    def __init__(self, column: pa.Array, hashed: bool = True, fold: np.ndarray | None = None):
+        """``fold`` maps each byte before the split: FOLDED lowers ASCII letters and takes punctuation for blanks."""
         data, offsets = text_bytes(column)
+        if fold is not None:
+            data = fold[data]
         self.data, self.offsets, self.rows = data, offsets, len(column)
         solid = ~BLANK[data]
         first, last = solid.copy(), solid.copy()
