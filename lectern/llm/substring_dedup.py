@@ -145,12 +145,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
     with the same text stand at the same place, so neither is earlier and both come back.  Extra columns are ignored;
     an empty table gives an empty result.  doc_id must not be null.
     """
-    docs = only(docs, "doc_id", "text")
-    prints = docs.mapInArrow(_fingerprints, _DDL["prints"])
-    searched = prints.where(F.col("n_words") >= window)
+    # one filter for all branches, so that they share one exchange of the texts
+    docs = only(docs, "doc_id", "text").where("doc_id is not null")
+    searched = docs.mapInArrow(_fingerprints, _DDL["prints"]).where(F.col("n_words") >= window)
     keepers = searched.groupBy("n_words", "p1", "p2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     copies = searched.join(keepers, "doc_id", "left_anti")
-    texts = docs.join(keepers, "doc_id", "left_semi")
+    texts = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     anchors = texts.mapInArrow(_anchors(window, seed), _DDL["anchors"])
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -162,10 +162,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
         .select("first.doc_id", "first.at").groupBy("doc_id").agg(F.collect_list("at").alias("firsts"))
     )
     cut = texts.join(places, "doc_id", "left").join(firsts, "doc_id", "left").mapInArrow(_strip(window, seed), _DDL["kept"])
-    short = docs.join(searched.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", F.array().cast("array<int>").alias("places"), F.array().cast("array<int>").alias("firsts"), "text"
-    )
-    return (
-        cut.unionByName(short.mapInArrow(_strip(window, seed), _DDL["kept"]))
-        .unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text")))
-    )
+    return cut.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text")))
