@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import library, retrieval, state
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (retrieval, library, state)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
