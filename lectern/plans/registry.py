@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, retrieval, state
+from . import library, retrieval, state, text, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (retrieval, library, state)
+PARTS = (retrieval, library, state, text, training)
 
 
 def queries() -> dict[str, Query]:
