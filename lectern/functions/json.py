@@ -11,9 +11,11 @@ def strip_fences(text: Column) -> Column:
 
 
 def tolerant_json(text: Column, schema: str) -> Column:
-    """Parse after stripping fences; where that fails, once more with bare line breaks taken for blanks."""
-    bare = strip_fences(text)
-    return F.coalesce(F.from_json(bare, schema), F.from_json(F.regexp_replace(bare, r"[\r\n]+", " "), schema))
+    """Parse after stripping fences; bare line breaks, which models leave inside strings, count as blanks.
+
+    What is no JSON at all gives a struct of nulls, or null for an array or map.
+    """
+    return F.from_json(F.regexp_replace(strip_fences(text), r"[\r\n]+", " "), schema)
 
 
 def clean_strings(items: Column, most: int) -> Column:
