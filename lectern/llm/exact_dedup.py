@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, column, only, written
 from .words import BLANK, mix, text_bytes, text_slices
 
+#: Pairs of equal digests that are sent to every task for the byte check.
+MOST_SENT = 100_000
+
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("points", pa.int64()), ("size", pa.int64())])
 _DIGESTS_DDL = "doc_id long, digest string, points long, size long"
 
@@ -183,8 +186,10 @@ def exact_dedup(docs: DataFrame, incoming: Column, rows_per_bucket: int = 200_00
         sided(exact.select("digest", "best", "n"), False).unionByName(sided(batch.select("digest", "best", "n"), True))
         .groupBy("digest", "apart").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     )
-    rows = sided(old_rows, False).unionByName(sided(new_rows, True))
-    return rows.join(groups, ["digest", "apart"]).select(
+    # a further key, so that both sides are exchanged for this join alone and Spark can split a digest's many rows
+    key = F.xxhash64("digest", "apart")
+    rows = sided(old_rows, False).unionByName(sided(new_rows, True)).withColumn("key", key)
+    return rows.join(groups.withColumn("key", key), ["key", "digest", "apart"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -196,6 +201,8 @@ def exact_dedup(docs: DataFrame, incoming: Column, rows_per_bucket: int = 200_00
 def _same_bytes(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """Digests whose two texts, one of each side, hold the same normalised bytes."""
     wanted = pairs.select("digest", F.explode(F.array("new_id", "old_id")).alias("doc_id"))
+    if pairs.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)  # some 200 bytes a pair; beyond the bound the texts are dealt by doc_id instead
     bodies = base.select("doc_id", "text").join(wanted, "doc_id").select("digest", normalised("text").alias("body"))
     bodies = bodies.where(F.sha2("body", 256) == F.col("digest"))  # rows that repeat a doc_id may hold other texts
     return bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low = high").select("digest")
