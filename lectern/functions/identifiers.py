@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DOI = r"10\.[0-9]{4,9}/[^ \t\r\n\"<>]+"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean_doi(raw: Column) -> Column:
     """A DOI without the punctuation that ended its sentence; a closing bracket goes when nothing opened it."""
+
+    def unbracketed(cut: Column, opened: str, closed: str) -> Column:
+        surplus = F.length(F.replace(cut, F.lit(opened), F.lit(""))) - F.length(F.replace(cut, F.lit(closed), F.lit("")))
+        return F.when(F.endswith(cut, F.lit(closed)) & (surplus > 0), F.regexp_replace(cut, r"[\)\].,;:]+$", "")).otherwise(cut)
+
     cut = F.regexp_replace(raw, r"[.,;:'\"]+$", "")
-    for opened, closed in (("(", ")"), ("[", "]")):
-        opens = F.length(cut) - F.length(F.replace(cut, F.lit(opened), F.lit("")))
-        closes = F.length(cut) - F.length(F.replace(cut, F.lit(closed), F.lit("")))
-        cut = F.when(F.endswith(cut, F.lit(closed)) & (closes > opens), F.regexp_replace(cut, r"[\)\].,;:]+$", "")).otherwise(cut)
-    return cut
+    return bound(bound(cut, lambda c: unbracketed(c, "(", ")")), lambda c: unbracketed(c, "[", "]"))
 
 
 def extract_doi(text: Column) -> Column:
@@ -73,7 +81,8 @@ def bibtex(authors: Column, title: Column, year: Column, doi: Column) -> Column:
 
 
 def is_junk_title(title: Column) -> Column:
-    return F.lower(F.trim(title)).rlike(r"^(untitled|microsoft word|document[0-9]*$|.*\.(docx?|pdf|tex|dvi)$)") | (F.size(F.split(F.trim(title), " +")) < 2)
+    """File names, placeholders, bare arXiv numbers and titles of one word."""
+    return title.rlike(r"(?i)\.(docx?|indd|dvi|tex|qxd)\b|^untitled$|^arxiv:[ ]*[0-9]{4}\.[0-9]{4,5}") | (F.size(F.split(F.trim(title), " +")) < 2)
 
 
 def host(url: Column) -> Column:

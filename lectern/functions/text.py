@@ -131,3 +131,17 @@ def extraction_quality(text: Column) -> Column:
 
 def is_text_document(text: Column) -> Column:
     return F.length(F.trim(F.regexp_replace(text, r"--- PAGE [0-9]+ ---", ""))) >= 100
+
+
+LEGACY_NOTE = r"(?:^|\n{2,})\[AI Explanation[ ]*[—-][ ]*([^\]]+)\]\s*([\s\S]*?)(?=\n{2,}\[AI Explanation[ ]*[—-]|\s*$)"
+
+
+def user_note(note: Column) -> Column:
+    """A note without the explanation blocks that older versions wrote into it; null where nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(note, LEGACY_NOTE, ""), r"^\s+|\s+$", "")), F.lit(""))
+
+
+def explanation(metadata: Column, note: Column) -> Column:
+    """The explanation in the metadata, else the last one written into the note."""
+    blocks = F.regexp_extract_all(F.coalesce(note, F.lit("")), F.lit(LEGACY_NOTE), F.lit(2))
+    return F.coalesce(F.get_json_object(metadata, "$.ai_explanation.content"), F.nullif(F.trim(F.try_element_at(blocks, F.lit(-1))), F.lit("")))

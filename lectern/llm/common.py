@@ -67,6 +67,8 @@ def sample_by_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     the table's size and however much of it one class holds.
     """
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    if counts.count() <= 10_000:
+        counts = F.broadcast(counts)  # so that rows are thinned where they are read; with more classes they are dealt out
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     thinned = rows.join(counts, label).where(draw * F.col("__n") <= 2.0 * per_class + 50)
     best = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), *sorted(rows.columns))

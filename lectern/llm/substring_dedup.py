@@ -153,8 +153,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
     texts = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     anchors = texts.mapInArrow(_anchors(window, seed), _DDL["anchors"])
-    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    places = anchors.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # joined on another value than the one they were counted by, both sides are exchanged for the join alone, and then
+    # Spark splits the partition of an anchor that very many places share
+    places = (
+        anchors.select(F.bitwise_not("anchor").alias("key"), "doc_id", "at").join(again.select(F.bitwise_not("anchor").alias("key")), "key", "left_semi")
+        .groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    )
 
     windows = texts.join(places, "doc_id").mapInArrow(_extensions(window, seed), _DDL["windows"])
     firsts = (
