@@ -39,7 +39,7 @@ def summary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paper_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         "source", F.col("doc_id").alias("position"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 4 != 0, (1990 + F.col("doc_id") % 30).cast("int")).alias("year"),
-        F.substring("text", 1, 900).alias("tldr"), F.col("lang").alias("method"), F.lit(None).cast("string").alias("result"), F.array(F.lit("a"), F.col("lang"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f")).alias("key_claims"),
+        F.col("text").alias("tldr"), F.col("lang").alias("method"), F.lit(None).cast("string").alias("result"), F.array(F.lit("a"), F.col("lang"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f")).alias("key_claims"),
     )
     return documents.paper_bundle(d, "source").select("source", F.sha2("bundle", 256).alias("bundle_sha256"))
 
@@ -60,7 +60,7 @@ def multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rotated_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 3000")
+    e = table(spark, sf_dir, "events")
     r = geo.rect(F.lit(0.125), (F.col("event_id") % 8) / 16, F.lit(0.25), F.lit(0.0625))
     angle = (F.col("event_id") % 5 * 90).cast("int")
     turned = e.select("event_id", angle.alias("angle"), geo.rotated(r, angle).alias("r"))
@@ -75,7 +75,7 @@ def merged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations with their own colour or their set's, ordered by their top-most rectangle."""
-    e = table(spark, sf_dir, "events").where("event_id < 4000").select("event_id", (F.col("event_id") % 9).alias("set_id"), F.when(F.col("event_id") % 4 == 0, "#EF4444").alias("color"), (F.col("event_id") * 7 % 100).alias("y1"), (F.col("event_id") * 3 % 100).alias("y2"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 9).alias("set_id"), F.when(F.col("event_id") % 4 == 0, "#EF4444").alias("color"), (F.col("event_id") * 7 % 100).alias("y1"), (F.col("event_id") * 3 % 100).alias("y2"))
     sets = spark.range(9).select(F.col("id").alias("set_id"), F.concat(F.lit("#00000"), F.col("id").cast("string")).alias("set_color"))
     rects = F.array(geo.rect(F.lit(0.5), F.col("y1") / 100, F.lit(0.1), F.lit(0.1)), geo.rect(F.lit(0.25), F.col("y2") / 100, F.lit(0.1), F.lit(0.1)))
     joined = e.join(sets, "set_id").withColumn("first", geo.first_position(rects))
@@ -106,13 +106,13 @@ def auto_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = citations.chosen_doi(F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("https://doi.org/10.1234/s"), (F.col("c_custkey") / 4).cast("long").cast("string"), F.lit("."))), F.lit(" "), F.when(F.col("c_custkey") % 4 == 1, text).otherwise("none"))
     title = citations.chosen_title(F.lit("paper.docx"), F.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("Study of supplier "), (F.col("c_custkey") % 50).cast("string"))).otherwise("Other things"))
     papers = c.select(F.col("c_custkey").alias("id"), doi.alias("doi"), title.alias("title"), F.lit(None).cast("string").alias("authors"), F.lit(None).cast("int").alias("year"))
-    works = s.where("s_suppkey <= 40").select(F.concat(F.lit("10.1234/S"), F.col("s_suppkey").cast("string")).alias("doi"), F.concat(F.lit("Study of supplier "), F.col("s_suppkey").cast("string")).alias("title"), F.lit("Cy Doe").alias("authors"), (1980 + F.col("s_suppkey") % 40).cast("int").alias("year"))
+    works = s.select(F.concat(F.lit("10.1234/S"), F.col("s_suppkey").cast("string")).alias("doi"), F.concat(F.lit("Study of supplier "), F.col("s_suppkey").cast("string")).alias("title"), F.lit("Cy Doe").alias("authors"), (1980 + F.col("s_suppkey") % 40).cast("int").alias("year"))
     return citations.auto_citations(papers, works).select("id", "doi", "title", "authors", "year", "source")
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries, highlights and queries read from replies that wrap and break their JSON."""
-    e = table(spark, sf_dir, "events").where("event_id < 1500")
+    e = table(spark, sf_dir, "events")
     n = F.col("event_id").cast("string")
     summary = F.concat(F.lit('```json\n{"tldr": " t'), n, F.lit('\n", "problem": " ", "method": "m", "key_claims": ["a", " ", "b", "c", "d", "e", "f"]}\n```'))
     found = F.concat(F.lit('[{"text": "q'), n, F.lit('", "page": 2}, {"category": "methods"}]'))
@@ -123,7 +123,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    li = table(spark, sf_dir, "lineitem")
     refs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.concat(F.lit("https://x.org/W"), "l_partkey"))).alias("refs"))
     work = F.to_json(F.struct(F.concat(F.lit("https://x.org/W"), "l_orderkey").alias("id"), F.lit("T").alias("title"), F.lit(2001).alias("publication_year"), F.col("refs").alias("referenced_works")))
     csl = F.concat(F.lit('{"title": ["T'), F.col("l_orderkey").cast("string"), F.lit('"], "author": [{"given": "A", "family": "B"}, {"family": "C"}], "issued": {"date-parts": [[1999, 2]]}}'))
@@ -132,7 +132,7 @@ def catalogue_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 1000")
+    e = table(spark, sf_dir, "events")
     n = F.col("event_id").cast("string")
     legacy = F.concat(F.lit("my note "), n, F.lit("\n\n[AI Explanation — 2024]\nfirst\n\n[AI Explanation - 2025]\nsecond "), n)
     note = F.when(F.col("event_id") % 3 == 0, legacy).when(F.col("event_id") % 3 == 1, F.concat(F.lit("plain "), n))
@@ -182,21 +182,21 @@ SQL = {
         substr(string_agg(line, ' ' ORDER BY i) FILTER (WHERE i IN (4, 5) AND doc_id % 4 = 0), 1, 2500) AS conclusion FROM c GROUP BY doc_id)
       SELECT doc_id, sha256(coalesce(abstract, opening) || CASE WHEN coalesce(conclusion, '') <> '' THEN chr(10) || chr(10) || '[Conclusion]' || chr(10) || conclusion ELSE '' END) AS source_sha256 FROM o""",
     "paper_bundle": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-      b AS (SELECT source, k, substr('[' || k || '] Doc ' || doc_id || CASE WHEN doc_id % 4 <> 0 THEN ' (' || (1990 + doc_id % 30) || ')' ELSE '' END || chr(10) || 'TL;DR: ' || substr(text, 1, 900) || chr(10) || 'Method: ' || lang || chr(10) || 'Result: '
+      b AS (SELECT source, k, substr('[' || k || '] Doc ' || doc_id || CASE WHEN doc_id % 4 <> 0 THEN ' (' || (1990 + doc_id % 30) || ')' ELSE '' END || chr(10) || 'TL;DR: ' || text || chr(10) || 'Method: ' || lang || chr(10) || 'Result: '
         || chr(10) || 'Key claims: a; ' || lang || '; c; d; e', 1, 1200) AS b FROM n WHERE k <= 20)
       SELECT source, sha256(string_agg(b, chr(10) || chr(10) ORDER BY k)) AS bundle_sha256 FROM b GROUP BY source""",
     "reading_order": f"""WITH {_BOXES}, d AS (SELECT *, sum((side = 'full')::INT) OVER (PARTITION BY page ORDER BY y, (side = 'full')::INT DESC, event_id ROWS UNBOUNDED PRECEDING) AS band FROM s)
       SELECT event_id, page, side, row_number() OVER (PARTITION BY page ORDER BY band, CASE side WHEN 'full' THEN 0 WHEN 'left' THEN 1 ELSE 2 END, y, event_id)::INT AS reading_no FROM d""",
     "multi_column": f"""WITH {_BOXES} SELECT page, coalesce(count(*) FILTER (WHERE side = 'left') >= 3 AND count(*) FILTER (WHERE side = 'right') >= 3
       AND min(x0 + w / 2.0) FILTER (WHERE side = 'right') - max(x0 + w / 2.0) FILTER (WHERE side = 'left') > 30, false) AS multi_column FROM s GROUP BY page""",
-    "rotated_rects": """WITH r AS (SELECT event_id, event_id % 5 % 4 AS t, 0.125::DOUBLE AS x, (event_id % 8)::DOUBLE / 16 AS y, 0.25::DOUBLE AS w, 0.0625::DOUBLE AS h FROM events WHERE event_id < 3000)
+    "rotated_rects": """WITH r AS (SELECT event_id, event_id % 5 % 4 AS t, 0.125::DOUBLE AS x, (event_id % 8)::DOUBLE / 16 AS y, 0.25::DOUBLE AS w, 0.0625::DOUBLE AS h FROM events)
       SELECT event_id, CASE t WHEN 0 THEN x WHEN 1 THEN 1 - y - h WHEN 2 THEN 1 - x - w ELSE y END AS x, CASE t WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 1 - y - h ELSE 1 - x - w END AS y,
         CASE WHEN t IN (0, 2) THEN w ELSE h END AS w, CASE WHEN t IN (0, 2) THEN h ELSE w END AS h, y AS back_y FROM r""",
     "merged_rects": """WITH e AS (SELECT event_id % 50 AS page, (event_id % 4)::DOUBLE / 8 AS y, (event_id * 13 % 64)::DOUBLE / 64 AS x FROM events),
       s AS (SELECT *, max(x + 0.015625::DOUBLE) OVER (PARTITION BY page, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
       i AS (SELECT *, sum((reach IS NULL OR x > reach + 0.005::DOUBLE)::INT) OVER (PARTITION BY page, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS k FROM s)
       SELECT page, min(x) AS x, y, max(x) + 0.015625::DOUBLE - min(x) AS w FROM i GROUP BY page, y, k""",
-    "annotation_export": """WITH e AS (SELECT event_id, event_id % 9 AS set_id, (event_id * 7 % 100)::DOUBLE / 100 AS y1, (event_id * 3 % 100)::DOUBLE / 100 AS y2 FROM events WHERE event_id < 4000)
+    "annotation_export": """WITH e AS (SELECT event_id, event_id % 9 AS set_id, (event_id * 7 % 100)::DOUBLE / 100 AS y1, (event_id * 3 % 100)::DOUBLE / 100 AS y2 FROM events)
       SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '#EF4444' ELSE '#00000' || set_id END AS color, least(y1, y2) AS first_y, CASE WHEN y2 <= y1 THEN 0.25 ELSE 0.5 END::DOUBLE AS first_x FROM e""",
     "collection_export": """WITH r AS (SELECT n_nationkey, n_name, c_custkey, c_name, c_custkey % 3 <> 0 AS cited, CASE WHEN c_custkey % 5 = 0 THEN 'On ' || c_name ELSE c_name END AS t, c_custkey % 4 * 500 AS y FROM customer JOIN nation ON c_nationkey = n_nationkey),
       g AS (SELECT n_nationkey, n_name, count(*) AS total, count(*) FILTER (WHERE NOT cited) AS missing,
@@ -207,15 +207,15 @@ SQL = {
     "validate_citations": "SELECT n_chars AS ordinal, doc_id, doc_id IN (SELECT doc_id FROM labels) AS has_citation FROM documents",
     "auto_citations": """WITH p AS (SELECT c_custkey AS id, c_custkey % 4 AS m, c_custkey // 4 AS q, c_custkey % 50 AS t FROM customer),
       r AS (SELECT *, CASE m WHEN 0 THEN '10.1234/s' || q WHEN 1 THEN '10.48550/arxiv.2101.' || lpad((id % 10000)::VARCHAR, 5, '0') END AS doi, CASE WHEN m = 2 THEN 'Study of supplier ' || t ELSE 'Other things' END AS title,
-        CASE WHEN m = 0 AND q BETWEEN 0 AND 40 THEN q WHEN m = 2 AND t BETWEEN 0 AND 40 THEN t END AS hit FROM p)
+        CASE WHEN m = 0 AND q IN (SELECT s_suppkey FROM supplier) THEN q WHEN m = 2 AND t IN (SELECT s_suppkey FROM supplier) THEN t END AS hit FROM p)
       SELECT id, CASE WHEN m = 2 AND hit IS NOT NULL THEN '10.1234/S' || hit ELSE doi END AS doi, CASE WHEN hit IS NOT NULL THEN 'Study of supplier ' || hit ELSE title END AS title,
         CASE WHEN hit IS NOT NULL THEN 'Cy Doe' ELSE 'Unknown Author' END AS authors, (CASE WHEN hit IS NOT NULL THEN 1980 + hit % 40 END)::INT AS year,
         CASE WHEN hit IS NULL THEN 'auto' WHEN m = 0 THEN 'lookup' ELSE 'title' END AS source FROM r""",
-    "model_replies": """SELECT event_id, 't' || event_id AS tldr, NULL AS problem, 'a|b|c|d|e' AS claims, 'q' || event_id || '/2/unknown,/0/methods' AS highlights, '{"claims":"c' || event_id || '"}' AS queries FROM events WHERE event_id < 1500""",
+    "model_replies": """SELECT event_id, 't' || event_id AS tldr, NULL AS problem, 'a|b|c|d|e' AS claims, 'q' || event_id || '/2/unknown,/0/methods' AS highlights, '{"claims":"c' || event_id || '"}' AS queries FROM events""",
     "catalogue_works": """SELECT l_orderkey, 'W' || l_orderkey AS id, string_agg(DISTINCT 'W' || l_partkey, ',' ORDER BY 'W' || l_partkey) AS refs, 2001 AS year, 'T' || l_orderkey AS title, 'A B, C' AS authors, 1999 AS issued
-      FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey""",
+      FROM lineitem GROUP BY l_orderkey""",
     "annotation_notes": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'my note ' || event_id WHEN 1 THEN 'plain ' || event_id END AS note,
-      CASE WHEN event_id % 5 = 0 THEN 'meta' WHEN event_id % 3 = 0 THEN 'second ' || event_id END AS explanation FROM events WHERE event_id < 1000""",
+      CASE WHEN event_id % 5 = 0 THEN 'meta' WHEN event_id % 3 = 0 THEN 'second ' || event_id END AS explanation FROM events""",
     "key_resolution": """WITH u AS (SELECT c_custkey AS u, c_custkey % 3 <> 0 AS has, c_custkey % 3 <> 0 AND c_custkey % 5 = 0 AS own FROM customer)
       SELECT u AS user_id, feature, CASE WHEN has THEN CASE feature WHEN 'summary' THEN 'ana' ELSE 'conv-' || (u % 2) END END AS model,
         CASE WHEN own AND u % 10 <> 0 THEN 'no key' WHEN own THEN 'own' ELSE 'shared' END AS key, CASE WHEN NOT own THEN 20 END AS quota

@@ -51,8 +51,8 @@ def missing_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cocitation_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order cites the parts on its lines; parts that at least two member orders cite and that are no members."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select("l_orderkey", F.col("l_partkey").alias("work"))
-    members = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("member"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("work"))
+    members = table(spark, sf_dir, "part").where("p_size <= 7").select(F.col("p_partkey").alias("member"))
     return library.reference_counts(lines, "l_orderkey", "work", members)
 
 
@@ -99,7 +99,7 @@ def semi_anti_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def band_join_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations within two pages of each page number, per user: the band is an equality on shifted pages, so it hashes."""
-    e = table(spark, sf_dir, "events").where("user_id < 50")
+    e = table(spark, sf_dir, "events")
     pages = e.groupBy("user_id", (F.col("event_id") % 40).alias("page")).agg(F.count(F.lit(1)).alias("n"))
     reach = pages.select("user_id", F.explode(F.array(*(F.col("page") + d for d in range(-2, 3)))).alias("page"), F.col("n").alias("near"))
     return pages.join(reach, ["user_id", "page"]).groupBy("user_id", "page").agg(F.sum("near").alias("within_two"))
@@ -187,13 +187,13 @@ def label_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default colour labels overlaid with a user's own."""
     defaults = F.create_map(*(F.lit(x) for x in ("click", "red", "view", "blue", "purchase", "green")))
     own = F.create_map(F.col("event_type"), F.concat(F.lit("own-"), (F.col("user_id") % 3).cast("string")))
-    e = table(spark, sf_dir, "events").where("event_id < 500").withColumn("labels", F.map_zip_with(defaults, own, lambda k, d, o: F.coalesce(o, d)))
+    e = table(spark, sf_dir, "events").withColumn("labels", F.map_zip_with(defaults, own, lambda k, d, o: F.coalesce(o, d)))
     return e.select("event_id", F.coalesce(F.try_element_at("labels", F.lit("click")), F.lit("grey")).alias("click_label"), F.size("labels").alias("n_labels"))
 
 
 def library_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a new selection adds to and takes from an old one, per order."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    li = table(spark, sf_dir, "lineitem")
     g = li.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))).alias("old"), F.collect_set(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey"))).alias("new"))
     return g.select("l_orderkey", F.size(F.array_except("new", "old")).alias("to_add"), F.size(F.array_except("old", "new")).alias("to_remove"), F.size(F.array_intersect("old", "new")).alias("kept"))
 
@@ -212,7 +212,7 @@ SQL = {
     "comparison_matrix": """SELECT doc_id, lang, quality, coalesce(quality, 0) <> 1 AS missing FROM documents LEFT JOIN labels USING (doc_id) WHERE source = 'src1'
       ORDER BY quality ASC NULLS LAST, lower(lang), doc_id LIMIT 50""",
     "missing_citations": "SELECT source, count(*) AS total, count(quality) AS cited, count(*) FILTER (WHERE quality IS NULL) AS missing FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
-    "cocitation_recommend": """SELECT l_partkey AS work, count(*) AS citations FROM lineitem WHERE l_orderkey <= 2000 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 = 0)
+    "cocitation_recommend": """SELECT l_partkey AS work, count(*) AS citations FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 7)
       GROUP BY 1 HAVING count(*) >= 2 ORDER BY citations DESC, work LIMIT 10""",
     "reference_coverage": """SELECT count(*) AS papers_total, count(refs) AS with_refs, count(*) FILTER (WHERE o_orderstatus = 'F') AS without_doi
       FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS refs FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
@@ -222,7 +222,7 @@ SQL = {
     "share_permission_view": "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'comment' ELSE 'view' END AS permission, CASE WHEN conv_id % 2 = 0 THEN text END AS note_content FROM conversations",
     "outer_filtered_on": "SELECT c_custkey, count(o_orderkey) AS urgent FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1",
     "semi_anti_membership": "SELECT c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders) AS member, count(*) AS n FROM customer GROUP BY 1, 2",
-    "band_join_pages": """WITH p AS (SELECT user_id, event_id % 40 AS page, count(*) AS n FROM events WHERE user_id < 50 GROUP BY 1, 2)
+    "band_join_pages": """WITH p AS (SELECT user_id, event_id % 40 AS page, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT a.user_id, a.page, sum(b.n)::BIGINT AS within_two FROM p a JOIN p b ON a.user_id = b.user_id AND abs(a.page - b.page) <= 2 GROUP BY 1, 2""",
     "tree_closure": """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
       t AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT e.parent, t.node, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor)
@@ -251,7 +251,7 @@ SQL = {
       WINDOW a AS (PARTITION BY user_id ORDER BY event_id ROWS 59 PRECEDING), b AS (PARTITION BY user_id ORDER BY event_id ROWS 599 PRECEDING)""",
     "median_filter": "SELECT l_partkey, a[len(a) // 2 + 1] AS upper_median, a[(len(a) - 1) // 2 + 1] AS lower_median FROM (SELECT l_partkey, list_sort(list(l_quantity)) AS a FROM lineitem GROUP BY 1)",
     "label_overlay": """SELECT event_id, CASE WHEN event_type = 'click' THEN 'own-' || (user_id % 3) ELSE 'red' END AS click_label, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 3 ELSE 4 END AS n_labels
-      FROM events WHERE event_id < 500""",
-    "library_set_difference": """WITH g AS (SELECT l_orderkey, l_partkey, bool_or(l_linenumber % 2 = 0) AS o, bool_or(l_linenumber % 3 <> 0) AS n FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1, 2)
+      FROM events""",
+    "library_set_difference": """WITH g AS (SELECT l_orderkey, l_partkey, bool_or(l_linenumber % 2 = 0) AS o, bool_or(l_linenumber % 3 <> 0) AS n FROM lineitem GROUP BY 1, 2)
       SELECT l_orderkey, count(*) FILTER (WHERE n AND NOT o)::INT AS to_add, count(*) FILTER (WHERE o AND NOT n)::INT AS to_remove, count(*) FILTER (WHERE o AND n)::INT AS kept FROM g GROUP BY 1""",
 }

@@ -63,20 +63,20 @@ def doi_isbn_arxiv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    a, b = F.substring("text", 1, 60), F.substring("text", 20, 60)
+    a, b = F.col("text"), F.substring("text", F.lit(20), F.length("text"))
     return d.select("doc_id", F.round(tx.title_similarity(a, b), 6).alias("similarity"), tx.title_matches(a, b).alias("matches"))
 
 
 def bibtex_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    rows = c.join(n, c.c_nationkey == n.n_nationkey).where("c_custkey <= 200")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey)
     entry = ids.bibtex(F.concat(F.lit("Ann "), "n_name", F.lit(", Bo Lee")), F.concat(F.lit("On "), "c_name"), (1990 + F.col("c_custkey") % 30).cast("int"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string"))))
     return rows.select("c_custkey", entry.alias("entry"), ids.safe_file_name(F.concat("c_name", F.lit(" x/y"))).alias("file_name"))
 
 
 def json_tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as a model would return them: fenced, with unusable items among the good ones."""
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     items = F.concat(F.lit('{"names": [" a ", "", "b"], "indexes": ["1", "x", "3", "1", "9", "'), (F.col("event_id") % 7).cast("string"), F.lit('"], "error": "e'), (F.col("event_id") % 3).cast("string"), F.lit('"}'))
     fenced = F.concat(F.lit("```json\n"), items, F.lit("\n```"))
     p = e.select("event_id", js.tolerant_json(fenced, "names array<string>, indexes array<string>").alias("p"), js.error_message(items).alias("error"))
@@ -85,7 +85,7 @@ def json_tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_nested_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chips of an insight: paper numbers resolved to keys and titles."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    o = table(spark, sf_dir, "orders")
     refs = F.array(*(F.struct(F.lit(f"p{i}").alias("id"), F.lit(f"Title {i}").alias("title")) for i in range(1, 6)))
     wanted = F.array(*((F.col("o_orderkey") % m + 1).cast("int") for m in (7, 5, 3)))
     chips = F.filter(F.transform(F.array_distinct(wanted), lambda i: F.get(refs, i - 1)), lambda c: c.isNotNull())
@@ -116,7 +116,7 @@ def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_multitier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stretch of each document as a quote, disturbed in a way that depends on the row, found again."""
     d = table(spark, sf_dir, "documents")
-    page, piece = F.substring("text", 1, 1500), F.substring("text", 40, 120)
+    page, piece = F.col("text"), F.substring("text", 40, 120)
     quote = (
         F.when(F.col("doc_id") % 5 == 0, piece).when(F.col("doc_id") % 5 == 1, F.upper(piece)).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("zzqq "), piece, F.lit(" qqzz")))
         .when(F.col("doc_id") % 5 == 3, F.regexp_replace(piece, "e", "3")).otherwise(F.reverse(piece))
@@ -125,7 +125,7 @@ def quote_multitier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") / 10).cast("long").alias("answer"), F.substring("text", 1, 400).alias("content"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") / 10).cast("long").alias("answer"), F.col("text").alias("content"))
     return matching.keep_first(d, "answer", "doc_id", "content").select("answer", "doc_id")
 
 
@@ -137,7 +137,7 @@ QUERIES = {
 _LINES = "SELECT doc_id, unnest(generate_series(0, len(ls)::BIGINT - 1))::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
 _SET = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), ' +'), lambda t: t <> ''))"
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-_A, _B = "substr(text, 1, 60)", "substr(text, 20, 60)"
+_A, _B = "text", "substr(text, 20)"
 SQL = {
     "extraction_quality": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(replace(text, '--- PAGE ', ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[0-9]+ ---', '', 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents),
       m AS (SELECT doc_id, text, length(t) AS n, length(regexp_replace(t, '[^\p{L} \t\r\n]', '', 'g'))::DOUBLE / nullif(length(t), 0) AS ratio,
@@ -169,9 +169,9 @@ SQL = {
         c <> '' AND t <> '' AND (contains(t, c) OR contains(c, t) OR len(list_intersect(cw, tw)) * 2 >= len(cw)) AS matches FROM i""",
     "bibtex_export": """SELECT c_custkey, '@article{' || lower(n_last) || y || ',' || chr(10) || '  title = {On ' || c_name || '},' || chr(10) || '  author = {Ann ' || n_name || ', Bo Lee},' || chr(10) || '  year = {' || y || '}'
         || CASE WHEN c_custkey % 2 = 0 THEN ',' || chr(10) || '  doi = {10.1/' || c_custkey || '}' ELSE '' END || chr(10) || '}' AS entry, regexp_replace(c_name || ' x/y', '[^A-Za-z0-9._-]+', '_', 'g') AS file_name
-      FROM (SELECT *, 1990 + c_custkey % 30 AS y, string_split_regex('Ann ' || n_name, ' +')[-1] AS n_last FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 200)""",
-    "json_tolerant_parse": """SELECT event_id, 'a|b' AS names, CASE WHEN event_id % 7 IN (2, 4, 5) THEN '1,3,' || (event_id % 7) ELSE '1,3' END AS indexes, 'e' || (event_id % 3) AS error FROM events WHERE event_id < 2000""",
-    "json_nested_payload": """WITH w AS (SELECT o_orderkey, unnest([o_orderkey % 7 + 1, o_orderkey % 5 + 1, o_orderkey % 3 + 1]) AS i, unnest([1, 2, 3]) AS k FROM orders WHERE o_orderkey < 1000),
+      FROM (SELECT *, 1990 + c_custkey % 30 AS y, string_split_regex('Ann ' || n_name, ' +')[-1] AS n_last FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "json_tolerant_parse": """SELECT event_id, 'a|b' AS names, CASE WHEN event_id % 7 IN (2, 4, 5) THEN '1,3,' || (event_id % 7) ELSE '1,3' END AS indexes, 'e' || (event_id % 3) AS error FROM events""",
+    "json_nested_payload": """WITH w AS (SELECT o_orderkey, unnest([o_orderkey % 7 + 1, o_orderkey % 5 + 1, o_orderkey % 3 + 1]) AS i, unnest([1, 2, 3]) AS k FROM orders),
       f AS (SELECT o_orderkey, i, min(k) AS k FROM w WHERE i <= 5 GROUP BY 1, 2)
       SELECT o_orderkey, '{"key":' || o_orderkey || ',"papers":[' || string_agg('{"id":"p' || i || '","title":"Title ' || i || '"}', ',' ORDER BY k) || ']}' AS payload FROM f GROUP BY 1""",
     "conversation_titles": "SELECT conv_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS title FROM conversations WHERE turn = 0",
