@@ -128,6 +128,20 @@ def test_items_in_blocks(spark):
     assert whole == parts
 
 
+def zipf_text(rng, n):
+    return " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.2, n), 200_000))
+
+
+@pytest.mark.parametrize("n", [300, 512, 1500])
+def test_every_item_of_a_large_benchmark_is_found(spark, n):
+    rng = np.random.default_rng(n)
+    items = [(i, zipf_text(rng, int(rng.integers(15, 60)))) for i in range(n)]
+    docs = [(i, f"{zipf_text(rng, int(rng.integers(0, 90)))} {t} {zipf_text(rng, int(rng.integers(0, 90)))}") for i, t in items]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["item_id"] for r in got if r["doc_id"] == r["item_id"]}
+    assert len(found) == n, f"{n - len(found)} items missed"
+
+
 def test_search_against_brute_force(spark):
     """All pairs of a real table in which most five-word runs of an item stand in the document."""
     docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
