@@ -142,6 +142,25 @@ def test_every_item_of_a_large_benchmark_is_found(spark, n):
     assert len(found) == n, f"{n - len(found)} items missed"
 
 
+def test_short_and_common_items_are_found_in_longer_texts(spark):
+    """Whole short items, and long ones of frequent words with a fifth changed, in passages of rarer words."""
+    rng = np.random.default_rng(9)
+    items = [(i, zipf_text(rng, 1 + i % 7)) for i in range(280)]
+    items += [(i, " ".join(f"w{k}" for k in rng.integers(1, 40, 8 + i % 20))) for i in range(280, 340)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        if i >= 280:  # places that leave the answer, the last words, as it is
+            words = [w if k % 5 != 2 or k >= len(words) - 7 else "other" for k, w in enumerate(words)]
+        around = [[f"r{k}" for k in rng.integers(0, 1_000_000, rng.integers(40, 200))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + words + around[1])))
+    docs += [(1000 + d, zipf_text(rng, 400)) for d in range(300)]
+    got = {(r["doc_id"], r["item_id"]) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    short = {(d, i) for d, text in docs for i, item in items[:280] if f" {item} " in f" {text} "}
+    assert short == {(d, i) for d, i in got if i < 280}
+    assert {(i, i) for i in range(280, 340)} <= got
+
+
 def test_search_against_brute_force(spark):
     """All pairs of a real table in which most five-word runs of an item stand in the document."""
     docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
