@@ -2,62 +2,107 @@
 
 A source's documents, in a fixed shuffled order, are cut into blocks.  With weight w, block j of a source is released at
 slot floor(j / w) and due by slot ceil((j + 1) / w); picking the released block with the earliest deadline in every slot
-keeps each source within less than one block of its share at all times.  Weights are shares of a period of slots, so the
-schedule repeats: one period is worked out on the driver (its length is a parameter) and every block finds its slot by its
-number.  A source that runs out leaves its slots empty and the others keep their order.
+keeps each source within less than one block of its share at all times.  The windows come from the weights as given, by
+whole-number arithmetic, so no rounding adds up.  One task works the schedule out, a heap of one entry a source, and writes
+it as it goes; every block finds its slot by its number.  A source that runs out leaves its slots empty and the others keep
+their order.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, written
 
 _DRAW = 1 << 30
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
 def quantised_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, one at least, by largest remainders."""
-    total = sum(weights.values())
-    names = sorted(weights)
+    """Whole slots of a period for each source by largest remainders; one at least, at the cost of the largest."""
+    whole, names = whole_weights(weights), sorted(weights)
+    total = sum(whole.values())
     if period < len(names):
         raise ValueError("the period is shorter than the number of sources")
-    exact = {s: weights[s] / total * (period - len(names)) for s in names}
-    shares = {s: 1 + math.floor(exact[s]) for s in names}
+    shares = {s: whole[s] * period // total for s in names}
     spare = period - sum(shares.values())
-    for s in sorted(names, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:spare]:
+    for s in sorted(names, key=lambda s: (-(whole[s] * period % total), s))[:spare]:
         shares[s] += 1
+    for s in names:
+        if not shares[s]:
+            shares[max(names, key=lambda t: shares[t])] -= 1
+            shares[s] = 1
     return shares
 
 
-def pfair_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, slot, release, deadline) of one period, by earliest deadline first."""
-    period = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]
+def pfair(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block that a source has, by earliest deadline first.
+
+    A source that has run out still takes its turns, unseen, up to a slot of 16 times the number of blocks; from there on
+    it takes none, so that a source of many blocks and next to no weight does not cost a step for each empty slot.  Every
+    block that is there keeps to its window either way.
+    """
+    total, left = sum(weights.values()), sum(blocks.values())
+    unseen_until = 16 * left
+    waiting = [(0, s, 0) for s in sorted(weights)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while left:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), s, j, release))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, slot, release, deadline))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
-    return out
+        if j < blocks[s]:
+            left -= 1
+            yield s, j, slot, release, deadline
+        if j + 1 < blocks[s] or slot < unseen_until:
+            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+        slot += 1
+
+
+def pfair_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block of the period, slot, release, deadline) of one period, by earliest deadline first."""
+    return list(pfair(shares, shares))
+
+
+def _planned(weights: dict[str, int], blocks: dict[str, int], at_once: int):
+    schema = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("block", "slot", "release", "deadline"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plan = pfair(weights, blocks) if batch.num_rows else iter(())
+            while some := list(islice(plan, at_once)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, period: int = 1000, seed: int = 0, rows_per_bucket: int = 20_000) -> DataFrame:
     """Order documents so that each stretch holds the sources by their target weights.
 
     Returns doc_id, source, block (number within the source), slot, release, deadline and position (order of the mix).
-    ``weights`` default to the square root of each source's rows, and sources that it leaves out get the smallest weight
-    it has, so every row comes back.  Sources are a catalogue that fits the driver; their rows never go there.
+    ``weights`` default to the square root of each source's rows, and sources that it leaves out or gives nothing get the
+    smallest weight it has above zero, so every row comes back.  Sources are a catalogue that fits the driver; neither
+    their rows nor the schedule go there, and ``period`` is the number of its slots written at once.
 
     A null source is the source ''.  Ranks are counted in buckets of about ``rows_per_bucket`` rows of one source, so a
     source with a third of all rows is spread over many tasks.  Rows that repeat a doc_id are placed one after the
@@ -70,11 +115,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     schema = "doc_id long, source string, block long, slot long, release long, deadline long, position long"
     if not held:
         return spark.createDataFrame([], schema)
-    wanted = {s: math.sqrt(n) for s, n in held.items()} if weights is None else {s: weights.get(s, min(weights.values())) for s in held}
-    shares = quantised_shares(wanted, max(period, 2 * len(held)))
-    span = sum(shares.values())
-    plan = spark.createDataFrame(pfair_period(shares), "source string, turn long, at long, released long, due long")
-    share = spark.createDataFrame([(s, k) for s, k in shares.items()], "source string, share long")
+    if weights is None:
+        wanted = {s: math.sqrt(n) for s, n in held.items()}
+    else:
+        given = {s: w for s, w in weights.items() if w > 0}
+        wanted = {s: given.get(s, min(given.values(), default=1)) for s in held}
+    blocks = {s: -(-n // block) for s, n in held.items()}
+    plan = written(spark.range(1, numPartitions=1).mapInArrow(_planned(whole_weights(wanted), blocks, period), "source string, block long, slot long, release long, deadline long"), "plan")
 
     buckets = max(1, -(-max(held.values()) // rows_per_bucket))
     rows = rows.withColumn("bucket", (F.col("draw") * buckets / _DRAW).cast("long"))
@@ -83,10 +130,5 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id")
     ranked = rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["source", "bucket"]).withColumn("rank", F.col("offset") + F.col("k") - 1)
 
-    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(share, "source")
-    placed = placed.withColumn("turn", F.col("block") % F.col("share")).withColumn("round", F.floor(F.col("block") / F.col("share"))).join(plan, ["source", "turn"])
-    start = F.col("round") * span
-    return placed.select(
-        "doc_id", "source", "block", (start + F.col("at")).alias("slot"), (start + F.col("released")).alias("release"), (start + F.col("due")).alias("deadline"),
-        ((start + F.col("at")) * block + F.col("rank") % block).alias("position"),
-    )
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(plan, ["source", "block"])
+    return placed.select("doc_id", "source", "block", "slot", "release", "deadline", (F.col("slot") * block + F.col("rank") % block).alias("position"))

@@ -55,6 +55,27 @@ def test_mix_is_whole_and_in_order(spark):
         assert (r["slot"], r["release"], r["deadline"]) == (start + slot, start + release, start + deadline)
 
 
+@pytest.mark.parametrize("weights", [{"big": 100.0} | {f"s{i:03}": 1.0 for i in range(200)}, {"hot": 500.0} | {f"s{i:03}": 1.0 for i in range(499)}, {"hot": 3.1, "a": 1 / 3, "b": 0.7}])
+def test_lag_against_the_weights_given(spark, weights):
+    """Every slot of two periods and more: no source is ever a block or more off its exact share."""
+    rows = [(s, n) for s, w in weights.items() for n in range(int(2500 * w / sum(weights.values())) + 1)]
+    docs = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string")
+    got = sorted((r["slot"], r["source"]) for r in mix_sources(docs, weights=weights, block=1).collect())
+    assert len({t for t, _ in got}) == len(got) == len(rows)
+    done, total, at = Counter(), sum(weights.values()), 0
+    for slot in range(2400):
+        while at < len(got) and got[at][0] <= slot:
+            done[got[at][1]] += 1
+            at += 1
+        assert all(abs(done[s] - (slot + 1) * w / total) < 1 + 1e-9 for s, w in weights.items())
+
+
+def test_mix_keeps_rows_of_a_source_far_below_its_weight(spark):
+    docs = spark.createDataFrame([(i, "rare" if i < 50 else "none" if i < 60 else "most") for i in range(90)], "doc_id long, source string")
+    got = mix_sources(docs, weights={"rare": 1e-9, "most": 1.0, "none": 0.0}, block=1).collect()
+    assert len({r["position"] for r in got}) == 90 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 def test_mix_awkward(spark):
     assert mix_sources(awkward(spark)).count() == awkward(spark).count()
     assert {r["source"] for r in mix_sources(awkward(spark)).collect()} == {"", "s1", "s2"}
