@@ -64,16 +64,32 @@ def rule_pattern(rule: list[str]) -> str:
     return r"\|" + r"\|(.*\|)?".join(rule) + r"\|"
 
 
-def sentence_list(text: Column) -> Column:
-    """Normalised sentences: lower case, letters and digits with single spaces between."""
-    broken = F.regexp_replace(F.lower(text), r"([.!?;:])[ \t\r]+", "$1\n")
-    return F.transform(F.split(broken, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def sentence_text(text: Column) -> Column:
+    """Normalised words with single spaces between; ``Z`` stands at sentence ends and blank lines, a line end at others.
+
+    Lower-case text has no capital of its own.  Marks at the front of a line (as of comments) go first, so that a ``;``
+    among them ends no sentence and a line of nothing else is blank.
+    """
+    low = F.regexp_replace(F.lower(text), "\n[^a-z0-9\n]+", "\n")
+    ended = F.regexp_replace(F.regexp_replace(low, "\n\n+", "Z"), r"[.!?;:](?:[ \t\r]+|(?=[\nZ]))", "Z")
+    ended = F.regexp_replace(ended, "\n*Z[\nZ]*", "Z")
+    plain = F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\nZ]+", " "), " ?([\nZ]) ?", "$1")
+    return F.concat(F.lit("Z"), F.trim(plain), F.lit("Z"))
+
+
+def sentence_pattern() -> str:
+    """Any known sentence, from the start of a line or sentence to the end of one, over any line ends between.
+
+    Shorter ones come first: one that fills its lines counts as itself, whatever the next line would add to it.
+    """
+    return "(?<=[\nZ])(?:" + "|".join(k.replace(" ", "[ \n]") for k in sorted(SENTENCES, key=len)) + ")(?=[\nZ])"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licences named or quoted in every whole text: doc_id, licenses (sorted, comma-joined), n_sentences, sentence_ids.
 
-    Null and empty texts have none.  Rows that repeat a doc_id are scanned each.  Extra columns are ignored; an empty
+    A sentence may run over several lines, as licence texts ship, also behind comment marks; a blank line ends it.  Null
+    and empty texts have none.  Rows that repeat a doc_id are scanned each.  Extra columns are ignored; an empty
     table gives an empty result.
     """
     known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SENTENCES.items()))
@@ -81,7 +97,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     cue = F.lit(False)
     for word in CUES:
         cue = cue | F.contains(low, F.lit(word))
-    ids = F.filter(F.transform(sentence_list(F.col("text")), lambda s: known[s]), lambda i: i.isNotNull())
+    quoted = F.regexp_extract_all(sentence_text(F.col("text")), F.lit(sentence_pattern()), F.lit(0))
+    ids = F.transform(quoted, lambda s: known[F.translate(s, "\n", " ")])
     found = only(docs, "doc_id", "text").select("doc_id", F.when(cue, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     found = found.select("doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     sequence = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -99,6 +100,39 @@ def test_licence_rules(spark):
     assert scan_licenses(empty(spark)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; "])
+def test_wrapped_licences(spark, mark, end):
+    """The texts as they ship: wrapped at several widths, behind comment marks, amid other lines."""
+    rows, want = [], {}
+    for name, text in {"MIT": MIT, "Apache-2.0": APACHE, "BSD-3-Clause": BSD}.items():
+        for width in (40, 72, 79):
+            lines = [line for paragraph in text.split("\n") for line in textwrap.wrap(paragraph, width) or [""]]
+            want[len(rows)] = name
+            rows.append((len(rows), end.join(["import os", "", *(mark + line for line in lines), "", "x = 1"])))
+    rows.append((len(rows), "Licensed under the\n\nMIT License. This is licensed. Under the\nMIT License."))
+    want[len(rows) - 1] = ""
+    assert {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
