@@ -56,7 +56,8 @@ RULES = {
 }
 #: A longer rule that holds a shorter one speaks for it.
 COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
-CUES = ("licen", "permission", "copyright", "redistribut", "warrant", "liab", "free software", "rights reserved")
+#: Parts of single words, at least one in each known sentence, so that no blank or line end between words can hide one.
+CUES = ("licen", "permission", "copyright", "redistribut", "warrant", "liab", "software", "reserved")
 
 
 def rule_pattern(rule: list[str]) -> str:

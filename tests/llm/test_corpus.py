@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from lectern.llm import registry
 from lectern.llm.decontaminate import common_subsequence, decontaminate, find_contamination
-from lectern.llm.licenses import SENTENCES, scan_licenses
+from lectern.llm.licenses import CUES, SENTENCES, scan_licenses
 from lectern.llm.mixing import mix_sources, pfair_period, quantised_shares
 from pyspark.sql import functions as F
 
@@ -133,6 +133,13 @@ def test_wrapped_licences(spark, mark, end):
     assert {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_cues_are_implied_by_the_sentences(spark):
+    assert not [c for c in CUES if " " in c] and not [k for k in SENTENCES if not any(c in w for w in k.split() for c in CUES)]
+    texts = ["All rights  reserved.", "All rights\u00a0reserved", "# all rights\n# reserved\n"]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["licenses"] for r in got] == ["Proprietary"] * 3
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
