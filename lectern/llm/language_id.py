@@ -4,7 +4,8 @@ A text is the set of its character-byte n-grams of lengths 1 to ``longest`` (pre
 places; K(x, y) is the cosine of two such sets.  The model keeps a bounded sample of labelled texts for training and, of
 those, ``landmarks`` texts to span the Nystroem features K(x, L) K(L, L)^-1/2, on which one ridge regressor per language
 is fitted.  Scoring folds all of that into one matrix: presence (rows x width) times weights (width x languages), so a
-slice of texts is scored by one matrix product, whole texts however long.
+slice of texts is scored by one matrix product.  Long texts would fill all places, so the score of a text is the mean over
+consecutive windows of ``WINDOW`` bytes at most, which cover all of it.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from pyspark.sql import functions as F
 from .common import column, only, sample_by_class
 from .words import text_bytes, text_slices
 
-WIDTH, LONGEST = 1 << 13, 4
+WIDTH, LONGEST, WINDOW = 1 << 13, 4, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def presence(texts: pa.Array, width: int = WIDTH, longest: int = LONGEST) -> np.ndarray:
     """rows x width 0/1 matrix of the hashed n-grams in each text (ASCII case folded)."""
-    data, offsets = text_bytes(texts)
+    return _presence(*text_bytes(texts), width, longest)
+
+
+def _presence(data: np.ndarray, offsets: np.ndarray, width: int, longest: int = LONGEST) -> np.ndarray:
     data = _LOWER[data]
-    out = np.zeros((len(texts), width), dtype=np.uint8)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets)) * width
+    out = np.zeros((len(offsets) - 1, width), dtype=np.uint8)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets)) * width
     flat, gram = out.reshape(-1), np.zeros(len(data), dtype=np.uint32)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes to the text's end
     for n in range(1, longest + 1):
@@ -52,9 +56,20 @@ class LanguageModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """rows x languages, each row a distribution."""
-        sets = presence(texts, self.weights.shape[0]).astype(np.float32)
-        norms = np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
-        raw = (sets @ self.weights) / norms + self.bias
+        data, offsets = text_bytes(texts)
+        windows = np.maximum(-(-np.diff(offsets) // WINDOW), 1)
+        first = np.cumsum(windows) - windows
+        text = np.repeat(np.arange(len(texts)), windows)
+        inside = np.arange(len(text)) - first[text]
+        cuts = np.append(offsets[text] + np.diff(offsets)[text] * inside // windows[text], offsets[-1])  # of even length
+        raw = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float64)
+        for at in range(0, len(text), 1 << 12):
+            some = slice(at, min(at + (1 << 12), len(text)))
+            bounds = cuts[at : some.stop + 1]
+            sets = _presence(data[bounds[0] : bounds[-1]], bounds - bounds[0], self.weights.shape[0]).astype(np.float32)
+            norms = np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
+            np.add.at(raw, text[some], (sets @ self.weights) / norms)
+        raw = raw / windows[:, None] + self.bias
         e = np.exp((raw - raw.max(axis=1, keepdims=True)) * self.temperature)
         return e / e.sum(axis=1, keepdims=True)
 

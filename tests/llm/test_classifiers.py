@@ -3,14 +3,16 @@
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lectern.llm import pii, q_op2, q_op8, q_op9
-from lectern.llm.language_id import identify_language, presence
+from lectern.llm.language_id import fit_language_model, identify_language, presence
 from lectern.llm.toxicity import GRAMMAR, Lexicon, Scorer, fit_toxicity, score_toxicity
 from pyspark.sql import functions as F
 
@@ -164,3 +166,21 @@ def test_pii_awkward(spark):
 @pytest.mark.parametrize("text", ["@@", "a@b", "a@b.c@d.e", ".@b.c", "a@-.-"])
 def test_email_edges(text):
     assert sorted(x for x in pii.base_spans(text) if x[0] == 0) == sorted(x for x in plain_spans(text) if x[0] == 0)
+
+
+def test_language_of_texts_of_megabytes():
+    """Distinct held-out texts of one language, joined to 4 MB (said again where the table has fewer), and short texts."""
+    held = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text", "lang"]).to_pylist()
+    by_lang = defaultdict(list)
+    for r in held:
+        if r["lang"] and r["text"]:
+            by_lang[r["lang"]].append(r["text"])
+    train = [(t, lang) for lang, texts in by_lang.items() for t in texts[:500]]
+    model = fit_language_model([t for t, _ in train], [lang for _, lang in train])
+    rng = np.random.default_rng(7)
+    for lang, texts in by_lang.items():
+        body = "\n".join(texts[500:])
+        while len(body) < 8_000_000:  # with words of no language, as ids and names are
+            body += "\n" + " ".join(f"{t} {rng.integers(1 << 40):x}" for t in texts[500:])
+        long = pa.array([body[:4_000_000], body[:8_000_000], texts[500]])
+        assert [model.languages[k] for k in model.scores(long).argmax(axis=1)] == [lang] * 3
