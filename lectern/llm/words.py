@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+PIECE = 1 << 17  # bytes or words that are hashed at once, so that temporaries stay small however long a text is
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -29,17 +30,20 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, 2 * PIECE), _powers(_BASE_INVERSE, 2 * PIECE)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    size = 1 << max(16, int(n + 1).bit_length())
-    return _powers(_BASE, size), _powers(_BASE_INVERSE, size)
+    """Powers 0..n of the hash base and of its inverse modulo 2**64; only a table of one size is kept."""
+    return _kept_powers() if n < 2 * PIECE else (_powers(_BASE, n + 1), _powers(_BASE_INVERSE, n + 1))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,10 +103,18 @@ class Words:
         self.hash = self._hashes() if hashed else None
 
     def _hashes(self) -> np.ndarray:
-        up, down = powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out, at = np.empty(len(self.starts), dtype=np.uint64), 0
+        while at < len(out):
+            low = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, low + PIECE, side="right")))
+            part = self.data[low : self.ends[to - 1]]
+            up, down = powers(len(part))
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUES[part] * up[: len(part)], out=sums[1:])
+            start = self.starts[at:to] - low
+            out[at:to] = mix((sums[self.ends[at:to] - low] - sums[start]) * down[start])
+            at = to
+        return out
 
     @property
     def counts(self) -> np.ndarray:
@@ -110,12 +122,14 @@ class Words:
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each position on; positions too near the slice's end are left out."""
-        if len(self.hash) < n:
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(len(self.hash))
-        sums = np.zeros(len(self.hash) + 1, dtype=np.uint64)
-        np.cumsum(self.hash * up[: len(self.hash)], out=sums[1:])
-        return mix((sums[n:] - sums[:-n]) * down[: len(sums) - n])
+        out = np.zeros(max(0, len(self.hash) - n + 1), dtype=np.uint64)
+        for at in range(0, len(out), PIECE):
+            part = self.hash[at : at + PIECE + n - 1]
+            up, down = powers(len(part))
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            out[at : at + PIECE] = mix((sums[n:] - sums[:-n]) * down[: len(sums) - n])
+        return out
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n words from a position on belong to one row."""
