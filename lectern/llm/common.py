@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset on a single machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="scratch_")
@@ -39,6 +42,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+NO_ID = -(1 << 62)
+
+
+def doc_key() -> Column:
+    """doc_id, and for rows without one a number under all others (ids are above -2**62), the same for equal texts."""
+    return F.coalesce("doc_id", F.lit(NO_ID) - F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+
+
+def shown_id(key: Column) -> Column:
+    """The doc_id that a key stands for: null where there was none."""
+    return F.when(key > NO_ID, key)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns cannot clash with those an operator adds."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

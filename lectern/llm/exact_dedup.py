@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, column, only, written
+from .common import arrow_batch, column, doc_key, only, shown_id, written
 from .words import BLANK, mix, text_bytes, text_slices
 
 #: Pairs of equal digests that are sent to every task for the byte check.
@@ -152,16 +152,17 @@ def _screen(keyed: DataFrame, filters: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string")
 
 
-def exact_dedup(docs: DataFrame, incoming: Column, rows_per_bucket: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, incoming: Column, rows_per_bucket: int = 200_000, keyed: bool = False) -> DataFrame:
     """Group rows whose texts are equal without ASCII blanks; ``incoming`` tells the new batch from the snapshot.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.  Of equal texts the row with the most
     code points in the original stays, then the smallest doc_id.
 
     Null texts count as empty, and empty texts are equal.  Rows that repeat a doc_id count each in group_size and are all
-    marked kept when their id is the one that stays.  Extra columns are ignored; an empty table gives an empty result.
+    marked kept when their id is the one that stays.  Rows with a null doc_id stand before all others, those of one text as
+    repeats of one id, and come back with null (``keyed``: with the key that stands for it).  Extra columns are ignored; an empty table gives an empty result.
     """
-    base = only(docs.withColumn("__new", F.coalesce(incoming, F.lit(False))), "doc_id", "text", "__new")
+    base = only(docs.withColumn("__new", F.coalesce(incoming, F.lit(False))), "doc_id", "text", "__new").withColumn("doc_id", doc_key())
     old, new = base.where(~F.col("__new")), base.where("__new")
     old_rows, new_rows = digests(old), digests(new)
 
@@ -190,8 +191,8 @@ def exact_dedup(docs: DataFrame, incoming: Column, rows_per_bucket: int = 200_00
     key = F.xxhash64("digest", "apart")
     rows = sided(old_rows, False).unionByName(sided(new_rows, True)).withColumn("key", key)
     return rows.join(groups.withColumn("key", key), ["key", "digest", "apart"]).select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        (F.col("doc_id") if keyed else shown_id(F.col("doc_id"))).alias("doc_id"),
+        (F.col("best.doc_id") if keyed else shown_id(F.col("best.doc_id"))).alias("keep_id"),
         "group_size",
         (F.col("doc_id") == F.col("best.doc_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),

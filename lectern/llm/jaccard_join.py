@@ -5,9 +5,11 @@
 2. Representatives meet in buckets of equal MinHash bands.  In a bucket, MinHash values are compared a few at a time and a
    pair is dropped once the posterior probability that its similarity reaches the threshold is under ``tolerance``.
    Pairs never leave the task: a bucket returns the forest that joins its surviving pairs.
-3. Connected components of these forests bring representatives together with their full sets, once each.  There every pair
-   is verified exactly by a product of 0/1 matrices; what leaves is the number of links of each row and a forest.
-Buckets and components beyond ``block`` rows are dealt out as pairs of blocks, so no task gathers a whole large group.
+3. Connected components of these forests bring representatives together with their full sets.  There pairs are pruned in the
+   same way, as most of a long chain are, and the surviving ones verified exactly by a product of 0/1 matrices of their
+   rows; what leaves is the number of links of each row and a forest.
+Buckets and components of more rows or bytes than a block are dealt out as pairs of blocks, so no task gathers a whole large
+group.  A component of n rows is copied n / ``block`` times: its links alone may be n squared, and each is counted.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, column, only, written
+from .common import arrow_batch, column, doc_key, only, shown_id, written
 from .components import connected_components
 from .words import Words, mix, text_slices
 
@@ -111,9 +113,17 @@ def _forest(links: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
     return label
 
 
-def surviving_pairs(values: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that incremental comparison of their MinHash values does not rule out."""
-    a, b = np.triu_indices(len(values), 1)
+def pairs_of_cell(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that a cell is to compare: a block's inner ones, or those across its two blocks."""
+    if (own == other).all():
+        return np.triu_indices(len(own), 1)
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+    return np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def surviving_pairs(values: np.ndarray, threshold: float, tolerance: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows (all, if none are named) that incremental comparison of their MinHash values does not rule out."""
+    a, b = pairs or np.triu_indices(len(values), 1)
     done, matches = 0, np.zeros(len(a), dtype=np.int32)
     for n, least in least_matches(threshold, tolerance):
         for at in range(0, len(a), 1 << 16):
@@ -150,9 +160,9 @@ def _streamed_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -
         yield pa.Table.from_batches(held)
 
 
-def _blocked(rows: DataFrame, group: str, size: Column, block: int, seed: int) -> DataFrame:
-    """Deal each group out as all pairs of its blocks: one pair where the group has up to ``block`` rows."""
-    blocks = F.ceil(size / F.lit(block)).cast("int")
+def _blocked(rows: DataFrame, group: str, blocks: Column, seed: int) -> DataFrame:
+    """Deal each group out as all pairs of its blocks: one pair where the group is one block."""
+    blocks = blocks.cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(seed)), blocks).cast("int")
     return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", "other", *rows.columns
@@ -163,6 +173,14 @@ def _cells(rows: DataFrame, run: Callable, ddl: str) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, ddl)
 
 
+def _values(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("values").to_pylist()), dtype="<u2").reshape(group.num_rows, -1)
+
+
+def _cell_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return pairs_of_cell(group.column("own").to_numpy(), group.column("other").to_numpy())
+
+
 def _bucket_forests(threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
@@ -170,8 +188,7 @@ def _bucket_forests(threshold: float, tolerance: float):
             if group.num_rows < 2:
                 continue
             ids = group.column("rep").to_numpy()
-            values = np.frombuffer(b"".join(group.column("values").to_pylist()), dtype="<u2").reshape(len(ids), -1)
-            root = _forest(surviving_pairs(values, threshold, tolerance), len(ids))
+            root = _forest(surviving_pairs(_values(group), threshold, tolerance, _cell_pairs(group)), len(ids))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             src.append(ids[moved])
             dst.append(ids[root[moved]])
@@ -190,12 +207,12 @@ def _sets(n: int):
             for part in text_slices(batch):
                 value, bounds = shingle_sets(column(part, "text"), n)
                 sets = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "component"), column(part, "copies"), pa.array(sets, pa.binary())], names=["rep", "component", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("doc_id", "component", "copies", "values")), pa.array(sets, pa.binary())], names=["rep", "component", "copies", "values", "shingles"])
 
     return run
 
 
-def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
     """|A and B| for every row A of ``left`` and B of ``right``, by products of 0/1 matrices over ``width`` shingles at a time."""
     value = np.concatenate([sets[i] for i in range(len(sets))])
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -216,7 +233,7 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, w
     return out
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, tolerance: float):
     names = ["rep", "linked", "nearest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,29 +241,24 @@ def _verify(threshold: float):
         for group in _streamed_groups(batches, ("cell",)):
             if group.num_rows < 2:
                 continue
-            ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-            own, other = group.column("own").to_numpy(), group.column("other").to_numpy()
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in group.column("shingles").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            # a cell of two blocks has the pairs across them; one of a single block has its inner pairs
-            inner = bool((own == other).all())
-            left = np.arange(len(ids)) if inner else np.flatnonzero(own == own.min())
-            right = np.arange(len(ids)) if inner else np.flatnonzero(own != own.min())
-            if not len(left) or not len(right):
+            a, b = surviving_pairs(_values(group), threshold, tolerance, _cell_pairs(group))
+            if not len(a):
                 continue
-            shared = shared_counts(sets, left, right)
-            linked = shared >= threshold * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-9
-            if inner:
-                np.fill_diagonal(linked, False)
-            a, b = np.nonzero(linked)
-            a, b = left[a], right[b]
-            count = np.bincount(a, weights=copies[b], minlength=len(ids))
-            if not inner:
-                count += np.bincount(b, weights=copies[a], minlength=len(ids))
+            ids, copies, shingles = group.column("rep").to_numpy(), group.column("copies").to_numpy(), group.column("shingles")
+            some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sets = [np.frombuffer(shingles[i].as_buffer(), dtype=np.uint64) for i in some.tolist()]
+            sizes = np.array([len(s) for s in sets])
+            # the surviving pairs' rows only: one product has all their intersections
+            x, y = place[: len(a)], place[len(a) :]
+            (left, at_left), (right, at_right) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+            shared = shared_counts(sets, left, right)[at_left, at_right]
+            linked = shared >= threshold * (sizes[x] + sizes[y] - shared) - 1e-9
+            a, b = a[linked], b[linked]
+            count = np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))
             root = _forest((a, b), len(ids))
             hit = np.flatnonzero(count)
-            for held, values in zip(out, (ids[hit], count[hit].astype(np.int64), ids[root[hit]]), strict=True):
-                held.append(values)
+            for held, found in zip(out, (ids[hit], count[hit].astype(np.int64), ids[root[hit]]), strict=True):
+                held.append(found)
             if len(out[0]) >= 1024:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
                 out = [[], [], []]
@@ -256,7 +268,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512, block_bytes: int = 4 << 20, keyed: bool = False) -> DataFrame:
     """Link documents whose sets of n-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per document: doc_id, rep_id (smallest doc_id with the same set), class_id (smallest doc_id of its
@@ -264,9 +276,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
 
     Words are runs of non-blank characters, unchanged.  Texts of one to n - 1 words have one shingle, all their words.
     Null texts and texts without words are linked to nothing, not even each other.  A row that repeats a doc_id counts as a
-    copy where its set is the same.  Extra columns are ignored; an empty table gives an empty result.
+    copy where its set is the same.  Rows with a null doc_id stand before all others, those of one text as repeats of one id,
+    and come back with null ids (``keyed``: with the keys that stand for them).  Extra columns are ignored; an empty table
+    gives an empty result.  ``block`` rows and about ``block_bytes`` of shingle hashes bound each side of a cell.
     """
-    docs = only(docs, "doc_id", "text")
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", doc_key())
     sketches = written(docs.mapInArrow(_sketches(n), _SKETCH_DDL), "sketches")
     classes = written(sketches.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     of_reps = sketches.join(classes.select("rep", "set1", "set2"), (sketches.doc_id == F.col("rep")) & (sketches.set1 == classes.set1) & (sketches.set2 == classes.set2)).select("rep", "bands", "values").dropDuplicates(["rep"])
@@ -274,14 +288,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     entries = of_reps.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = entries.join(shared, "bucket").join(of_reps.select("rep", "values"), "rep")
-    forests = _cells(_blocked(met, "bucket", F.col("size"), block, 1), _bucket_forests(threshold, tolerance), "src long, dst long")
+    forests = _cells(_blocked(met, "bucket", F.ceil(F.col("size") / block), 1), _bucket_forests(threshold, tolerance), "src long, dst long")
     candidates = connected_components(forests)
 
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = candidates.join(classes, F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "component", "copies")
-    sets = docs.join(placed, "doc_id").select("doc_id", "component", "copies", "text").mapInArrow(_sets(n), "rep long, component long, copies long, shingles binary")
-    cells = _blocked(sets.dropDuplicates(["rep"]).join(sizes, "component"), "component", F.col("size"), block // 2, 2)
-    verified = written(_cells(cells, _verify(threshold), "rep long, linked long, nearest long"), "verified")
+    placed = candidates.join(classes, F.col("node") == F.col("rep")).join(of_reps, "rep").select(F.col("rep").alias("doc_id"), "component", "copies", "n", "values")
+    sizes = placed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
+    sets = docs.join(placed.drop("n"), "doc_id").select("doc_id", "component", "copies", "values", "text").mapInArrow(_sets(n), "rep long, component long, copies long, values binary, shingles binary")
+    cells = _blocked(sets.dropDuplicates(["rep"]).join(sizes, "component"), "component", F.col("blocks"), 2)
+    verified = written(_cells(cells, _verify(threshold, tolerance), "rep long, linked long, nearest long"), "verified")
 
     links = verified.groupBy("rep").agg(F.sum("linked").alias("linked"))
     groups = connected_components(verified.select(F.col("rep").alias("src"), F.col("nearest").alias("dst")))
@@ -291,4 +305,5 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     )
     with_words = sketches.select("doc_id", "set1", "set2").join(known, ["set1", "set2"]).select("doc_id", F.col("rep").alias("rep_id"), "class_id", "n_links")
     alone = docs.join(sketches.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(alone)
+    out = with_words.unionByName(alone)
+    return out if keyed else out.select(*(shown_id(F.col(c)).alias(c) for c in ("doc_id", "rep_id", "class_id")), "n_links")

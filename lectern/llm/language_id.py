@@ -125,7 +125,7 @@ def identify_language(docs: DataFrame, labelled: Column, per_language: int = 500
 
     Learns from the text and lang of at most ``per_language`` rows of each language among those that ``labelled`` marks
     and whose text and lang are not null.  Texts that are null or have no letter are ``und`` with score 0, as are all
-    texts where nothing is labelled.  Equal texts get equal answers.  Extra columns are ignored; an empty table gives an
+    texts where nothing is labelled.  Equal texts get equal answers; rows that repeat a doc_id, or have none, are judged each.  Extra columns are ignored; an empty table gives an
     empty result.
     """
     known = only(docs.withColumn("__known", labelled), "doc_id", "text", "lang", "__known").where("__known and lang is not null and text is not null")

@@ -96,7 +96,7 @@ def _planned(weights: dict[str, int], blocks: dict[str, int], at_once: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, period: int = 1000, seed: int = 0, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, period: int = 1000, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
     """Order documents so that each stretch holds the sources by their target weights.
 
     Returns doc_id, source, block (number within the source), slot, release, deadline and position (order of the mix).
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
 
     A null source is the source ''.  Ranks are counted in buckets of about ``rows_per_bucket`` rows of one source, so a
     source with a third of all rows is spread over many tasks.  Rows that repeat a doc_id are placed one after the
-    other.  Extra columns are ignored; an empty table gives an empty result.
+    other, as are those without one.  Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "source").withColumn("source", F.coalesce("source", F.lit("")))

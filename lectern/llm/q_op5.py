@@ -22,7 +22,7 @@ def _mark(name: str) -> str:
 SQL = rf"""
 WITH known(sentence, id) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())}),
 parts AS (
-  SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS ps FROM documents
+  SELECT doc_id, string_split(regexp_replace(replace(lower(coalesce(text, '')), 'spdx-license-identifier:', 'spdx-license-identifier'), '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS ps FROM documents
 ), flat AS (
   SELECT doc_id, unnest(ps) AS p, unnest(generate_series(1, len(ps)::BIGINT)) AS k FROM parts
 ), ids AS (

@@ -21,4 +21,4 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", partial(_is_kind, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter("spans", lambda s: s["base"])
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

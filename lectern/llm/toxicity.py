@@ -3,14 +3,15 @@
 Small transducers over token classes (insult, threat, target, negation, reported speech, clause end) are composed into
 one machine.  A clause's tokens run through it; each insult or threat comes out as plain, targeted, negated or reported,
 with the weight its word or stem has.  The lexicon's weights (log-odds of whole words and stems) and the weight of each
-output class (logistic regression on clause sums) are learnt from a bounded sample of labelled rows.
+output class (logistic regression on clause sums) are learnt from a bounded sample of labelled rows.  The sample's texts are
+counted and matched where they are; the driver gets word counts and one row of clause sums a text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, only, sample_by_class
+from .common import column, only, sample_by_class, written
 from .words import text_slices
 
 # fixed values: closed-class words of the four languages
@@ -114,26 +115,26 @@ class Lexicon:
         return 0.0
 
 
-def learn_lexicon(texts: Iterable[str], toxic: Iterable[int], support: int = 6, least_z: float = 5.0) -> Lexicon:
-    """Log-odds by document presence of words and stems that toxic texts favour beyond chance."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    totals = [0, 0]
-    for text, y in zip(texts, toxic, strict=True):
-        totals[y] += 1
-        found = set()
-        for w in set(_WORD.findall(text.lower())):
-            found.add(w + "$")
-            found.update(w[:n] for n in STEMS if len(w) > n)
-        seen[y].update(found)
+def present(text: str) -> set[str]:
+    """The words of a text, marked as whole, and their stems."""
+    found = set()
+    for w in set(_WORD.findall(text.lower())):
+        found.add(w + "$")
+        found.update(w[:n] for n in STEMS if len(w) > n)
+    return found
+
+
+def choose_lexicon(seen: Iterable[tuple[str, int, int]], totals: tuple[int, int], support: int = 6, least_z: float = 5.0) -> Lexicon:
+    """Words and stems that toxic texts favour beyond chance, from (feature, texts with it that are not toxic, that are)."""
     lexicon = Lexicon()
     if not totals[0] or not totals[1]:
         return lexicon
     rate = totals[1] / sum(totals)
-    for feature, c in seen[1].items():
-        n = c + seen[0][feature]
+    for feature, c0, c in seen:
+        n = c + c0
         if n < support:
             continue
-        odds = math.log((c + 0.5) / (totals[1] + 1)) - math.log((seen[0][feature] + 0.5) / (totals[0] + 1))
+        odds = math.log((c + 0.5) / (totals[1] + 1)) - math.log((c0 + 0.5) / (totals[0] + 1))
         z = (c - n * rate) / math.sqrt(n * rate * (1 - rate))
         strong = odds > 1.5 and z > least_z and c > 0.5 * n
         if feature.endswith("$"):
@@ -145,10 +146,21 @@ def learn_lexicon(texts: Iterable[str], toxic: Iterable[int], support: int = 6,
     return lexicon
 
 
+def learn_lexicon(texts: Iterable[str], toxic: Iterable[int], support: int = 6, least_z: float = 5.0) -> Lexicon:
+    """Log-odds by document presence of words and stems that toxic texts favour beyond chance."""
+    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    totals = [0, 0]
+    for text, y in zip(texts, toxic, strict=True):
+        totals[y] += 1
+        for f in present(text):
+            seen[f][y] += 1
+    return choose_lexicon(((f, *c) for f, c in seen.items()), (totals[0], totals[1]), support, least_z)
+
+
 class Scorer:
     """Runs texts through the grammar; token weights are cached, up to a bound."""
 
-    def __init__(self, lexicon: Lexicon, bound: int = 200_000):
+    def __init__(self, lexicon: Lexicon, bound: int = 50_000):
         self.lexicon, self.bound, self.cache = lexicon, bound, {}
 
     def weight(self, token: str) -> float:
@@ -165,7 +177,7 @@ class Scorer:
         lowered = (text or "").lower()
         tokens = _WORD.findall(lowered)
         weight = self.weight
-        if not any(weight(t) for t in tokens):
+        if not any(map(weight, set(tokens))):
             return out
         sums: dict[str, float] = defaultdict(float)
         state, clause, best, matched, last = 0, 0.0, 0.0, 0, 0.0
@@ -205,11 +217,14 @@ class ToxicityModel:
 
 
 def fit_toxicity(texts: list[str], toxic: list[int], totals: dict[int, int] | None = None, ridge: float = 1.0) -> ToxicityModel:
-    """Lexicon and output weights; ``totals`` are the classes' sizes in all labelled rows, which set the prior."""
-    y = np.array(toxic, dtype=float)
+    """Lexicon and output weights from texts at hand."""
     lexicon = learn_lexicon(texts, toxic)
     scorer = Scorer(lexicon)
-    x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), len(OUTPUTS) + 2)
+    return fit_outputs(lexicon, np.array([scorer.features(t) for t in texts]).reshape(len(texts), len(OUTPUTS) + 2), np.array(toxic, dtype=float), totals, ridge)
+
+
+def fit_outputs(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, totals: dict[int, int] | None = None, ridge: float = 1.0) -> ToxicityModel:
+    """Weights of the output classes; ``totals`` are the classes' sizes in all labelled rows, which set the prior."""
     have = {c: int((y == c).sum()) for c in (0, 1)}
     if not len(y) or not have[0] or not have[1]:
         rate = y.mean() if len(y) else 0.0
@@ -228,6 +243,28 @@ def fit_toxicity(texts: list[str], toxic: list[int], totals: dict[int, int] | No
     return ToxicityModel(lexicon, w[:-1], float(w[-1]))
 
 
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and stems of labelled texts with the number of texts of each class that have them, added up by slices."""
+    for batch in batches:
+        for part in text_slices(batch):
+            seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for text, y in zip(column(part, "text").to_pylist(), column(part, "toxic").to_pylist(), strict=True):
+                for f in present(text):
+                    seen[f][y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([c[y] for c in seen.values()], pa.int64()) for y in (0, 1))], names=["feature", "zeros", "ones"])
+
+
+def _featured(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon.value)
+        for batch in batches:
+            for part in text_slices(batch):
+                x = [scorer.features(t).tolist() for t in column(part, "text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([column(part, "toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return run
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = model.value
@@ -247,12 +284,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     ``labels`` has doc_id and toxic (0/1); only rows that ``learn`` marks are learnt from, at most ``per_class`` of each
     class.  Null and empty texts score as texts in which nothing matches; labels that are null or name no document teach
     nothing; where no label of one class is left every score is that of the other.  Rows that repeat a doc_id are scored
-    each.  Extra columns are ignored; an empty table gives an empty result.
+    each, and rows with a null doc_id too (no label names them).  Extra columns are ignored; an empty table gives an empty result.
     """
     marked = only(labels.where(learn), "doc_id", "toxic").where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     some = sample_by_class(marked, "toxic", per_class)  # 2 * per_class ids at most, so small enough to send to every task
-    rows = only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").orderBy("doc_id", "toxic", "text").collect()
-    model = fit_toxicity([r["text"] for r in rows], [r["toxic"] for r in rows], {0: totals.get(0, 1), 1: totals.get(1, 1)})
+    rows = written(only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").select("text", "toxic"), "labelled")
+    seen = rows.mapInArrow(_present, "feature string, zeros long, ones long").groupBy("feature").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    # what the lexicon may hold: words of the sample that are not rare, and stems that toxic texts favour
+    seen = seen.where("zeros + ones >= 6 and (ones > zeros or feature like '%$')").orderBy("feature").collect()
+    sampled = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    lexicon = choose_lexicon(seen, (sampled.get(0, 0), sampled.get(1, 0)))
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)
+    # nine numbers a labelled text; the texts themselves stay where they are
+    taught = sorted((r["toxic"], *r["x"]) for r in rows.mapInArrow(_featured(known), "toxic int, x array<double>").collect())
+    table = np.array(taught, dtype=float).reshape(len(taught), len(OUTPUTS) + 3)
+    model = fit_outputs(lexicon, table[:, 1:], table[:, 0], {0: totals.get(0, 1), 1: totals.get(1, 1)})
+    known.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of the sample
     return only(docs, "doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, predicted int")

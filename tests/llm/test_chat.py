@@ -1,5 +1,7 @@
 """Chat formatting: exact round trips, and the fold of each kind of event."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lectern.llm.chat_format import Conversation, escape, format_chats, parse, read_back, turn_events, unescape
@@ -48,3 +50,22 @@ def test_turns_with_nulls_ties_and_repeats(spark):
     got = {r["conv_id"]: r for r in read_back(format_chats(turn_events(turns))).collect()}
     assert {k: (r["n_turns"], r["loss_chars"]) for k, r in got.items()} == {1: (3, 3), None: (1, 0), 2: (1, 30_000)}
     assert read_back(format_chats(turn_events(turns.limit(0)))).count() == 0
+
+
+def test_random_logs_and_parts(spark):
+    """Logs of every kind of event, with ties, drops and messages opened again, against a fold in plain Python."""
+    rng = random.Random(19)
+    rows = [(rng.randrange(6), rng.randrange(40), rng.choice(["open", "delta", "delta", "edit", "regenerate", "delete"]), rng.choice("abcde"), rng.choice(["user", "assistant", None]), rng.choice(["x", "yy", None, "<|im_end|>"]), "z") for _ in range(600)]
+    plain = {}
+    low = lambda x: (x is not None, x or "")
+    for conv, seq, kind, message, role, text, _ in sorted(rows, key=lambda r: (r[0], r[1], r[3], r[2], low(r[4]), low(r[5]))):
+        plain.setdefault(conv, Conversation()).fold(kind, message, role, text)
+    want = {c: turns for c, p in plain.items() if (turns := parse(p.render("assistant")[0]))}
+    for part_chars in (1 << 24, 30):
+        got = {}
+        for r in format_chats(events(spark, rows), part_chars=part_chars).orderBy("conv_id", "part").collect():
+            got.setdefault(r["conv_id"], []).extend(parse(r["formatted"]))
+            assert len(r["formatted"]) <= max(part_chars, 80)
+        assert got == want
+    whole, parted = (sorted(map(tuple, read_back(format_chats(events(spark, rows), part_chars=n)).collect())) for n in (1 << 24, 30))
+    assert whole == parted

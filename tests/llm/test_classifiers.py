@@ -53,7 +53,7 @@ def test_toxicity_held_out(spark):
     assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]).all()
     held = out[out["held_out"]].merge(labels, on="doc_id")
     tp = ((held["predicted"] == 1) & (held["toxic"] == 1)).sum()
-    assert tp / max(1, (held["toxic"] == 1).sum()) > 0.6
+    assert tp / max(1, (held["toxic"] == 1).sum()) >= 0.9
     assert ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() <= 0.03 * len(held)
 
 
@@ -184,3 +184,49 @@ def test_language_of_texts_of_megabytes():
             body += "\n" + " ".join(f"{t} {rng.integers(1 << 40):x}" for t in texts[500:])
         long = pa.array([body[:4_000_000], body[:8_000_000], texts[500]])
         assert [model.languages[k] for k in model.scores(long).argmax(axis=1)] == [lang] * 3
+
+
+def test_scores_are_those_of_the_kernel():
+    """With every text a landmark, Nystroem features give the exact kernel ridge regression."""
+    rng = random.Random(6)
+    words = {"xx": "alpha beta gamma delta".split(), "yy": "rho sigma tau upsilon".split(), "zz": "eins zwei drei vier".split()}
+    rows = [(" ".join(rng.choices(w, k=6)), lang) for lang, w in words.items() for _ in range(12)]
+    texts, langs = [t for t, _ in rows], [lang for _, lang in rows]
+    model = fit_language_model(texts, langs, landmarks=len(rows))
+    unit = lambda t: (lambda x: x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)))(presence(pa.array(t)).astype(float))
+    seen = ["alpha tau zwei", "drei drei vier eins", "gamma rho", "q"]
+    kernel, across = unit(texts) @ unit(texts).T, unit(seen) @ unit(texts).T
+    y = np.where(np.array(langs)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    mean = y.mean(axis=0)
+    # ridge regression in the features of K is (K + c) a = y on the span of K
+    exact = across @ np.linalg.pinv(kernel, hermitian=True, rcond=1e-6) @ kernel @ np.linalg.solve(kernel + 1e-2 * len(rows) / 100 * np.eye(len(rows)), y - mean) + mean
+    raw = np.log(model.scores(pa.array(seen))) / model.temperature
+    assert np.allclose(raw - raw[:, :1], exact - exact[:, :1], atol=2e-3)
+
+
+def test_added_spans_by_kind(spark):
+    """Planted spans that no base pattern has, among look-alikes: precision and recall of each kind."""
+    rng = random.Random(13)
+    names, filler = ["Jane Roe", "Karl Meier", "Eva Lopez", "Luc Petit"], "the model was run again and the table shows what came out of it".split()
+    rows, truth = [], []
+    for i in range(400):
+        words = " ".join(rng.choices(filler, k=12))
+        kind = i % 8
+        hexed = "".join(rng.choices("0123456789abcdef", k=40))
+        span = {0: f"{rng.choice(['Dr.', 'Mrs.', 'Prof.'])} {rng.choice(names)}", 1: hexed, 2: f"{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"}.get(kind)
+        text = {0: f"{words} said {span} yesterday.", 1: f'{words} token = "{span}" {words}', 2: f"{words} my phone {span} or mail.", 3: f"{words} in version 12.4.11 of it.", 4: f"{words} see page 12-15 and figure 33.", 5: f"{words} path: abc/def1/ghi/jkl/mno {words}", 6: f"{words} section 44-12 order.", 7: words}[kind]
+        if span:
+            truth.append((i, {0: "person", 1: "secret", 2: "number"}[kind], text.index(span), text.index(span) + len(span)))
+        rows.append((i, text))
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["spans"] if not s["base"]}
+    for kind in ("person", "secret", "number"):
+        mine, want = {x for x in got if x[1] == kind}, {x for x in truth if x[1] == kind}
+        assert len(mine & want) >= 0.9 * len(want), (kind, "recall")
+        assert len(mine & want) >= 0.9 * len(mine), (kind, "precision")
+
+
+def test_planted_secrets_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {(r["doc_id"], m.start(1), m.end(1)) for r in docs for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+    got = {(r["doc_id"], *(int(x) for x in s.split(":")[1:])) for r in q_op8.op8_pii(spark, SF).collect() for s in r["spans"].split(",") if s.startswith("secret:")}
+    assert want and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.9 * len(got)

@@ -133,6 +133,63 @@ def test_wrapped_licences(spark, mark, end):
     assert {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+NOTICES = {
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+}
+
+
+def test_notices_and_identifier_lines(spark):
+    rows, want = [], {}
+    for name, text in NOTICES.items():
+        for width, mark in ((60, ""), (79, "# "), (72, " * ")):
+            lines = [line for paragraph in text.split("\n") for line in textwrap.wrap(paragraph, width) or [""]]
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join(["import os", "", *(mark + line for line in lines), "", "x = 1"])))
+    lines = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "BSD-3-Clause": "BSD-3-Clause", "NoSuch-1.0": "", "MIT-0": ""}
+    for spdx, name in lines.items():
+        for line in (f"// SPDX-License-Identifier: {spdx}\nint x;", f"/* SPDX-License-Identifier: {spdx} */"):
+            want[len(rows)] = name
+            rows.append((len(rows), line))
+    assert {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_long_items_with_words_put_in_between(spark):
+    """An item of hundreds of words, with one word put in after every third, stands in a longer stretch than its own."""
+    rng = np.random.default_rng(3)
+    item = [f"w{k}" for k in rng.integers(0, 500, 400)]
+    inside = [x for k, w in enumerate(item) for x in ((w, f"r{k}") if k % 3 == 2 else (w,))]
+    around = [f"q{k}" for k in rng.integers(0, 100_000, 300)]
+    docs = spark.createDataFrame([(1, " ".join(around + inside + around)), (2, " ".join(around))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in find_contamination(docs, items).collect()] == [(1, 7)]
+
+
+def test_blocks_by_words_share_scans(spark):
+    docs, items, _ = leaky(spark)
+    whole = sorted((r["doc_id"], r["item_id"]) for r in find_contamination(docs, items).collect())
+    for options in ({"words_at_once": 100}, {"items_at_once": 3, "blocks_a_scan": 2}):
+        assert sorted((r["doc_id"], r["item_id"]) for r in find_contamination(docs, items, **options).collect()) == whole
+
+
 def test_cues_are_implied_by_the_sentences(spark):
     assert not [c for c in CUES if " " in c] and not [k for k in SENTENCES if not any(c in w for w in k.split() for c in CUES)]
     texts = ["All rights  reserved.", "All rights\u00a0reserved", "# all rights\n# reserved\n"]

@@ -158,3 +158,40 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(chain).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_repeats_are_maximal_and_equal_their_sources(spark):
+    rng = random.Random(17)
+    pieces = [sentence(rng, n) for n in (25, 40, 90)]
+    rows = {i: " ".join(rng.choices([*pieces, sentence(rng, 9)], k=rng.randrange(1, 6))).split() for i in range(50)}
+    out = substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    assert any(r["repeats"] for r in out)
+    for r in out:
+        mine, covered = rows[r["doc_id"]], set()
+        for x in r["repeats"]:
+            a, n, source, b = x["start"], x["n_words"], rows[x["source_id"]], x["source_start"]
+            assert n >= 20 and mine[a : a + n] == source[b : b + n] and (x["source_id"], b) < (r["doc_id"], a)
+            covered.update(range(a, a + n))
+        assert len(covered) == r["n_removed"]
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 2000])
+def test_join_of_a_long_chain(spark, block_bytes):
+    """Neighbours are linked, ends are not: what pruning drops must not cost a link, whatever the blocks."""
+    rng = random.Random(23)
+    words = sentence(rng, 400).split()
+    rows = [(i, " ".join(words[4 * i : 4 * i + 90])) for i in range(70)]
+    check_links(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of every similarity from 0.8 up are linked, those below are not."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(150):
+        words = sentence(rng, 120).split()
+        near = list(words)
+        for at in range(rng.randrange(8)):
+            near[10 + 14 * at] = f"edit{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    check_links(spark.createDataFrame(rows, "doc_id long, text string"))
