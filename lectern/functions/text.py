@@ -58,25 +58,33 @@ def is_quality_chunk(content: Column) -> Column:
     return (F.length(s) >= 50) & (marked | plain)
 
 
+# fixed values: the forms of captions, page numbers, list items, reference and appendix headings
+CAPTION = r"^(?i)(figure|fig\.?|table|tab\.?)[ \t]*[0-9]+"
+PAGE_NOISE = r"^[0-9]{1,4}$"
+LIST_ITEM = r"^([-•*][ \t]|[0-9]+[.)][ \t])"
+REFERENCE_HEADING = r"^[0-9]*\.?[ \t]*(references|bibliography|works cited|literature cited)"
+APPENDIX_WORD, APPENDIX_LETTER = "^(appendix|supplementary)", r"^\(?[A-Z]\)?\.?[ \t]+[^ \t]"
+
+
 def is_caption(text: Column) -> Column:
-    return text.rlike(r"^(?i)(figure|fig\.?|table|tab\.?)[ \t]*[0-9]+")
+    return text.rlike(CAPTION)
 
 
 def is_page_noise(text: Column) -> Column:
-    return text.rlike(r"^[0-9]{1,4}$")
+    return text.rlike(PAGE_NOISE)
 
 
 def is_list_item(text: Column) -> Column:
-    return F.trim(text).rlike(r"^([-•*][ \t]|[0-9]+[.)][ \t])")
+    return F.trim(text).rlike(LIST_ITEM)
 
 
 def is_reference_heading(text: Column) -> Column:
-    return F.lower(F.trim(text)).rlike(r"^[0-9]*\.?[ \t]*(references|bibliography|works cited|literature cited)")
+    return F.lower(F.trim(text)).rlike(REFERENCE_HEADING)
 
 
 def is_appendix_heading(text: Column) -> Column:
     s = F.trim(text)
-    return F.lower(s).rlike("^(appendix|supplementary)") | s.rlike(r"^\(?[A-Z]\)?\.?[ \t]+[^ \t]")
+    return F.lower(s).rlike(APPENDIX_WORD) | s.rlike(APPENDIX_LETTER)
 
 
 def clean_markdown(text: Column) -> Column:
@@ -111,29 +119,12 @@ def conversation_title(text: Column, limit: int = 60) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))).otherwise(text)
 
 
-def extraction_quality(text: Column) -> Column:
-    """struct(score, is_usable, n_warnings) of an extracted text: letters, line lengths, repeated words."""
-    edge = r"^[ \t\r\n]+|[ \t\r\n]+$"
-    bare = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("--- PAGE "), F.lit("")), edge, "")
-    clean = F.regexp_replace(F.regexp_replace(bare, r"[0-9]+ ---", ""), edge, "")
-    n = F.length(clean)
-    letters = F.length(F.regexp_replace(clean, r"[^\p{L} \t\r\n]", ""))
-    ratio = F.try_divide(letters, n)
-    lines = F.filter(F.split(clean, "\n"), lambda x: F.length(F.regexp_replace(x, r"[ \t\r]", "")) > 0)
-    length = F.try_divide(F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)), F.size(lines))
-    words = F.filter(F.split(F.lower(clean), r"[ \t\r\n]+"), lambda x: x != "")
-    unique = F.try_divide(F.size(F.array_distinct(words)), F.size(words))
-    warnings = (ratio < 0.5).cast("int") + (length < 30).cast("int") + ((F.size(words) > 50) & (unique < 0.2)).cast("int")
-    score = F.greatest(F.lit(0.0), F.lit(1.0) - warnings * 0.2 - F.when(ratio < 0.6, 0.3).otherwise(0.0))
-    score = F.round(F.when(n < 100, 0.0).otherwise(score), 6)
-    return F.struct(score.alias("score"), (score >= 0.4).alias("is_usable"), F.when(n < 100, 1).otherwise(warnings).alias("n_warnings"))
-
-
 def is_text_document(text: Column) -> Column:
     return F.length(F.trim(F.regexp_replace(text, r"--- PAGE [0-9]+ ---", ""))) >= 100
 
 
-LEGACY_NOTE = r"(?:^|\n{2,})\[AI Explanation[ ]*[—-][ ]*([^\]]+)\]\s*([\s\S]*?)(?=\n{2,}\[AI Explanation[ ]*[—-]|\s*$)"
+# fixed value: the form of an explanation block in old notes
+LEGACY_NOTE = r"(?:^|\n{2,})\[AI Explanation\s*[—-]\s*([^\]]+)\]\s*([\s\S]*?)(?=\n{2,}\[AI Explanation\s*[—-]|\s*$)"
 
 
 def user_note(note: Column) -> Column:

@@ -45,6 +45,7 @@ def text_blocks(text: Column, lines_per_page: int = 40) -> Column:
     return F.filter(lines, lambda b: b["block_type"].isNotNull())
 
 
+# fixed values: the forms of list items, reference and appendix headings
 _LIST = re.compile(r"^([-•*]\s|\d+[.)]\s)")
 _REFERENCES = re.compile(r"^\d*\.?\s*(references|bibliography|works cited|literature cited)", re.IGNORECASE)
 _APPENDIX = re.compile(r"^(?i:appendix|supplementary)|^\(?[A-Z]\)?\.?\s+\S")

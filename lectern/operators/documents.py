@@ -64,3 +64,36 @@ def paper_bundle(papers: DataFrame, group: str, most_chars: int = 1200, most_pap
     block = F.concat(F.lit("["), F.col("__n").cast("string"), F.lit("] "), "title", year, F.lit("\nTL;DR: "), blank("tldr"), F.lit("\nMethod: "), blank("method"), F.lit("\nResult: "), blank("result"), F.lit("\nKey claims: "), claims)
     blocks = numbered.select(group, "__n", F.substring(block, 1, most_chars).alias("b"))
     return blocks.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("__n", "b"))).alias("l")).select(group, F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("bundle"))
+
+
+def extraction_quality(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` with score, is_usable and n_warnings of an extracted text: letters, line lengths, repeated words.
+
+    Each step is a projection of its own over columns that the one before it made, so that every pattern is run once a text.
+    """
+    edge = r"^[ \t\r\n]+|[ \t\r\n]+$"
+    bare = docs.select(*keep, F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("--- PAGE "), F.lit("")), edge, "").alias("bare"))
+    clean = bare.select(*keep, F.regexp_replace(F.regexp_replace("bare", r"[0-9]+ ---", ""), edge, "").alias("clean"))
+    # a clean text begins and ends with letters, so its blank lines are breaks followed by another break
+    parts = clean.select(
+        *keep,
+        F.length("clean").alias("n"),
+        F.length(F.regexp_replace("clean", r"[^\p{L} \t\r\n]", "")).alias("letters"),
+        F.regexp_replace("clean", r"\n[ \t\r]*(?=\n)", "").alias("lines"),
+        F.split(F.lower("clean"), r"[ \t\r\n]+").alias("words"),
+    )
+    counted = parts.select(
+        *keep,
+        "n",
+        F.try_divide("letters", "n").alias("ratio"),
+        F.length("lines").alias("held"),
+        (F.length("lines") - F.length(F.replace("lines", F.lit("\n"), F.lit("")))).alias("breaks"),
+        F.size("words").alias("n_words"),
+        F.size(F.array_distinct("words")).alias("n_unique"),
+    )
+    short = F.when(F.col("n") > 0, (F.col("held") - F.col("breaks")) / (F.col("breaks") + 1) < 30)
+    warnings = (F.col("ratio") < 0.5).cast("int") + short.cast("int") + ((F.col("n_words") > 50) & (F.col("n_unique") / F.col("n_words") < 0.2)).cast("int")
+    judged = counted.select(*keep, "n", "ratio", warnings.alias("warnings"))
+    score = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("warnings") * 0.2 - F.when(F.col("ratio") < 0.6, 0.3).otherwise(0.0))
+    scored = judged.select(*keep, F.round(F.when(F.col("n") < 100, 0.0).otherwise(score), 6).alias("score"), F.when(F.col("n") < 100, 1).otherwise(F.col("warnings")).alias("n_warnings"))
+    return scored.select(*keep, "score", (F.col("score") >= 0.4).alias("is_usable"), "n_warnings")

@@ -2,18 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
-
 
-def near_duplicate_pairs(rows: DataFrame, group: str, key: str, vector: str, least: float, limit: int) -> DataFrame:
-    """Pairs inside a group whose cosine is ``least`` or more, each once, the best ``limit``."""
-    a = rows.select(group, F.col(key).alias("id_a"), F.col(vector).alias("va"))
-    b = rows.select(group, F.col(key).alias("id_b"), F.col(vector).alias("vb"))
-    pairs = a.join(b, group).where("id_a < id_b").withColumn("similarity", F.round(cosine(F.col("va"), F.col("vb")), 6))
-    return pairs.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id_a", "id_b").limit(limit).select(group, "id_a", "id_b", "similarity")
+def _near_pairs(least: float, limit: int):
+    """The best ``limit`` pairs of each cell by one matrix product: a block's inner pairs, or those across its two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)  # the cells of one task, a few blocks
+        if not rows.num_rows:
+            return
+        cell, own, ids = (rows.column(c).to_numpy() for c in ("cell", "own", "id"))
+        vectors = pc.list_flatten(rows.column("unit")).to_numpy().reshape(rows.num_rows, -1)
+        order = np.argsort(cell, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            crossed = own[part] != own[part].min()
+            left, right = (part, part) if not crossed.any() else (part[~crossed], part[crossed])
+            score = vectors[left] @ vectors[right].T
+            near = score >= least - 1e-6
+            if not crossed.any():
+                near &= ids[left][:, None] < ids[right][None, :]
+            a, b = np.nonzero(near)
+            low, high, score = np.minimum(ids[left[a]], ids[right[b]]), np.maximum(ids[left[a]], ids[right[b]]), score[a, b]
+            best = np.lexsort((high, low, -np.round(score, 6)))[:limit]
+            yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (np.full(len(a), cell[part[0]]), low, high, score)], names=["cell", "id_a", "id_b", "similarity"])
+
+    return run
+
+
+def near_duplicate_pairs(rows: DataFrame, group: str, key: str, vector: str, least: float, limit: int, block: int = 1024) -> DataFrame:
+    """Pairs inside a group whose cosine is ``least`` or more, each once, the best ``limit``.
+
+    A group is dealt out as pairs of blocks of about ``block`` rows, each compared in one task by a matrix product, so a hot group
+    spreads over many tasks and only the best pairs of each cell are written.  Keys are whole numbers and distinct.
+    """
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    units = rows.where(F.col(vector).isNotNull()).select(group, F.col(key).alias("id"), F.col(vector).alias("v"), norm.alias("norm")).where("norm > 0")
+    sizes = units.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = units.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), group, "own", "id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("unit"))
+    found = cells.select("cell", "own", "id", "unit").repartition("cell").mapInArrow(_near_pairs(least, limit), "cell long, id_a long, id_b long, similarity double")
+    named = found.join(units.select(F.col("id").alias("id_a"), group), "id_a")
+    pairs = named.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= least)
+    return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").limit(limit).select(group, "id_a", "id_b", "similarity")
 
 
 def list_library(rows: DataFrame, *, search: str | None = None, title: str = "title", sort: str = "-created", allowed: dict[str, str], key: str, offset: int = 0, limit: int = 20) -> DataFrame:

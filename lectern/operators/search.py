@@ -20,7 +20,7 @@ def vector_top_k(chunks: DataFrame, query: Sequence[float], k: int, *, key: str
     return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
-def keyword_score(tokens: Column, terms: Sequence[str]) -> Column:
+def keyword_score(tokens: str, terms: Sequence[str]) -> Column:
     """Share of a chunk's tokens that are query terms, if it holds every term; null otherwise.
 
     The full-text rank of the database is not published in the reference; this keeps its contract: all terms must match,
@@ -28,16 +28,18 @@ def keyword_score(tokens: Column, terms: Sequence[str]) -> Column:
     """
     if not terms:
         return F.lit(None).cast("double")
-    wanted = F.array(*(F.lit(t) for t in terms))
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t)))
-    every = F.lit(True)
-    for t in terms:
-        every = every & F.array_contains(tokens, t)
-    return F.when(every, F.round(hits / F.size(tokens), 6))
+    hits = [F.size(F.col(tokens)) - F.size(F.array_remove(F.col(tokens), t)) for t in dict.fromkeys(terms)]
+    score = sum(hits[1:], hits[0]) / F.size(tokens)
+    return F.when(F.forall(F.array(*hits), lambda n: n > 0), F.round(score, 6))
 
 
 def keyword_top_k(chunks: DataFrame, terms: Sequence[str], k: int, *, key: str = "id", content: str = "content", score: str = "keyword_score") -> DataFrame:
-    scored = chunks.withColumn(score, keyword_score(tx.search_tokens(F.col(content)), terms))
+    """The best k chunks that hold every term.  A text is cut into tokens once, and only where it has the terms' letters."""
+    held = chunks
+    for t in terms:
+        held = held.where(F.contains(F.lower(content), F.lit(t)))
+    tokens = held.withColumn("__tokens", tx.search_tokens(F.col(content)))
+    scored = tokens.withColumn(score, keyword_score("__tokens", terms)).drop("__tokens")
     return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
@@ -54,12 +56,16 @@ def hybrid_search(chunks: DataFrame, query: Sequence[float], terms: Sequence[str
     if not terms:
         return vector_top_k(chunks, query, k, key=key).withColumnRenamed("score", "combined_score")
     on = join_key or key
-    columns = [c for c in chunks.columns if c != "embedding"]
-    v = vector_top_k(chunks, query, 2 * k, key=key, score="semantic_score").select(*columns, "semantic_score")
-    w = keyword_top_k(chunks, terms, k, key=key).select(*(F.col(c).alias(f"kw_{c}") for c in columns), "keyword_score")
+    # both sides rank narrow rows; the columns of the few chunks that are left are joined last
+    ids = list(dict.fromkeys([key, on]))
+    v = vector_top_k(chunks.select(*ids, "embedding"), query, 2 * k, key=key, score="semantic_score").select(*ids, "semantic_score")
+    w = keyword_top_k(chunks.select(*ids, "content"), terms, k, key=key).select(*(F.col(c).alias(f"kw_{c}") for c in ids), "keyword_score")
     both = v.join(w, F.col(on) == F.col(f"kw_{on}"), "full_outer")
-    fused = both.select(*(F.coalesce(c, f"kw_{c}").alias(c) for c in columns), F.col(f"kw_{key}").alias("__kw"), fused_score("semantic_score", "keyword_score").alias("combined_score"))
-    return fused.orderBy(F.desc("combined_score"), F.asc(key), F.asc_nulls_last("__kw")).limit(k).drop("__kw")
+    fused = both.select(F.coalesce(key, f"kw_{key}").alias(key), F.col(f"kw_{key}").alias("__kw"), fused_score("semantic_score", "keyword_score").alias("combined_score"))
+    best = fused.orderBy(F.desc("combined_score"), F.asc(key), F.asc_nulls_last("__kw")).limit(k)
+    columns = [c for c in chunks.columns if c not in ("embedding", key)]
+    full = chunks.select(key, *columns).join(F.broadcast(best), key)  # k rows
+    return full.orderBy(F.desc("combined_score"), F.asc(key), F.asc_nulls_last("__kw")).limit(k).select(key, *columns, "combined_score")
 
 
 def best_per_document(rows: DataFrame, document: str, score: str, limit: int, *, key: str = "id") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, library, retrieval, state, text, training
+from . import documents, library, reading, retrieval, state, text, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (retrieval, library, state, text, training, documents)
+PARTS = (retrieval, library, state, text, training, documents, reading)
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,12 @@ from ..streaming import streams
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:
-    """A stream's own folder under the one the cluster shares."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams_")
+    """A stream's own folder under the one the cluster shares; a temporary one where none is set on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="streams_")
     return f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 

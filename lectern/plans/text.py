@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 from ..functions import json as js
 from ..functions import text as tx
-from ..operators import chunking, matching
+from ..operators import chunking, documents, matching
 from ..sources.tables import table
 
 
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.extraction_quality(F.col("text")).alias("q"), tx.is_text_document(F.col("text")).alias("is_text"))
-    return d.select("doc_id", "q.score", "q.is_usable", "q.n_warnings", "is_text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", tx.is_text_document(F.col("text")).alias("is_text"))
+    return documents.extraction_quality(d, "text", "doc_id", "is_text")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +46,22 @@ def reassemble(events: DataFrame, message: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream through all that is there now and return its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drive a stream through all that is there now and read its result back from the files beside its checkpoint.
+
+    In complete mode each batch is the whole result and takes the place of the one before; in append mode a batch writes a
+    folder of its own, so one that is run again after a failure writes the same rows to the same place.
+    """
+    result = f"{checkpoint}/result"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result}/batch={number if mode == 'append' else 0}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(result)
 
 
 def run_each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
