@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table, written
+from lectern.llm.common import doc_key, table, written
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.jaccard_join import jaccard_join
@@ -21,22 +21,35 @@ from lectern.llm.toxicity import score_toxicity
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key for every row in place of doc_id (see ``doc_key``), beside their own columns."""
+    return docs.select(doc_key().alias("__key"), "*")
+
+
+def _asked(named: DataFrame) -> DataFrame:
+    return named.select(F.col("__key").alias("doc_id"), "text")
+
+
+def _only_keys(named: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``named`` whose key is (or is not) among the doc_ids of ``keys``, with the columns of the documents."""
+    return named.join(keys.select(F.col("doc_id").alias("__key")).distinct(), "__key", how).select(*(F.col(f"`{c}`") for c in named.columns if c != "__key"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = score_toxicity(docs, table(spark, sf_dir, "labels"), learn=F.lit(True))
-    return _only_ids(docs, scores.where("predicted = 1"), "left_anti")
+    named = _keyed(docs)
+    scores = score_toxicity(_asked(named), table(spark, sf_dir, "labels"), learn=F.lit(True))
+    return _only_keys(named, scores.where("predicted = 1"), "left_anti")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = _keyed(docs)
     incoming = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
-    return _only_ids(docs, exact_dedup(docs, incoming).where("kept"), "left_semi")
+    return _only_keys(named, exact_dedup(_asked(named), incoming, keyed=True).where("kept"), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only_ids(docs, jaccard_join(docs, n=5, threshold=0.8).where("doc_id = class_id"), "left_semi")
+    named = _keyed(docs)
+    return _only_keys(named, jaccard_join(_asked(named), n=5, threshold=0.8, keyed=True).where("doc_id = class_id"), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
