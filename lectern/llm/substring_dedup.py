@@ -6,14 +6,14 @@
    windows pick the same gram at the same offset, so documents that share a window meet at that anchor.  Anchors are
    counted with map-side combine; those seen once are dropped and the others go back to their documents.
 3. An anchor is extended both ways over all windows that chose it: its stretch, of ``window`` words up to
-   2 * ``window`` - ``seed``.  A stretch whose words equal those of an earlier one is matched to the first of them.  The
-   different stretches are compared by their windows, again word for word, and each window is matched to its first place.
-4. Matches of a document with one source on one diagonal join up over neighbouring anchors into maximal repeats; those of
-   ``window`` words and more are removed.
-
-Grouping and joining is on the words themselves, so no two stretches count as equal by a hash.  No step gathers the places
-of one anchor, stretch or window: a passage that a third of all documents share costs one partial row a task and a join
-with one row on the other side, which Spark splits.
+   2 * ``window`` - ``seed``.  Stretches meet by their words themselves, and all but the first of equal ones repeat it from
+   end to end.  The first ones are compared by their windows, under two independent 64-bit prints of the words, and a
+   window that is not the first of its kind repeats an earlier one.
+4. Repeated windows of neighbouring anchors that overlap join up into maximal repeats, all of ``window`` words or more, and
+   their words are removed.
+
+No step gathers the places of one anchor, stretch or window: a passage that a third of all documents share costs one
+partial row a task, and what goes back to the documents are the places of first ones.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from .words import Words, text_slices
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 _STRETCHES = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
-_REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
+_REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("repeats", _REPEATS)])
-_REPEATS_DDL = "array<struct<start:long,n_words:long,source_id:long,source_start:long>>"
+_REPEATS_DDL = "array<struct<start:long,n_words:long>>"
 _DDL = {
     "prints": "doc_id long, n_words long, digest binary",
     "anchors": "anchor long, doc_id long, at int",
@@ -82,29 +82,37 @@ def _anchors(window: int, seed: int):
     return run
 
 
-def _entries(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row and value of every entry of a list column; null lists are empty."""
-    counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-    return np.repeat(np.arange(len(lists)), counts), lists.flatten()
+def _marks(words: Words, lists: pa.Array) -> np.ndarray:
+    """For each word whether it stands at a place of its row's list; null lists are empty."""
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))
+    at = np.asarray(lists.flatten(), dtype=np.int64)
+    inside = at < words.counts[row]
+    out = np.zeros(len(words.starts), dtype=bool)
+    out[words.row_from[row[inside]] + at[inside]] = True
+    return out
+
+
+def _at_places(words: Words, places: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that chose an anchor which repeats, and for each the first start of its stretch."""
+    starts, owner, _ = _owners(words, window, seed)
+    chosen = _marks(words, places)[owner] if len(owner) else np.zeros(0, dtype=bool)
+    starts, owner = starts[chosen], owner[chosen]
+    if not len(starts):
+        return starts, starts
+    first = np.r_[True, owner[1:] != owner[:-1]]
+    return starts, starts[np.flatnonzero(first)[np.cumsum(first) - 1]]
 
 
 def _stretches(window: int, seed: int):
-    """The words of all windows that chose an anchor which repeats, and where they start."""
+    """The words of each anchor's stretch, and where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(column(part, "text"))
-                starts, owner, _ = _owners(words, window, seed)
-                row, at = _entries(column(part, "places"))
-                at = np.asarray(at, dtype=np.int64)
-                inside = at < words.counts[row]
-                marked = np.zeros(len(words.hash), dtype=bool)
-                marked[words.row_from[row[inside]] + at[inside]] = True
-                starts, owner = starts[marked[owner]], owner[marked[owner]]
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-                last = np.r_[first[1:], len(owner)] - 1 if len(first) else first
-                low, high = starts[first], starts[last] + window - 1
+                starts, stretch = _at_places(words, column(part, "places"), window, seed)
+                low, count = np.unique(stretch, return_counts=True)
+                high = low + count + window - 2
                 texts = [b" ".join(words.data[a:b].tobytes().split()) for a, b in zip(words.starts[low].tolist(), words.ends[high].tolist(), strict=True)]
                 ids = np.asarray(column(part, "doc_id"))
                 row = words.row[low] if len(low) else low
@@ -113,38 +121,29 @@ def _stretches(window: int, seed: int):
     return run
 
 
-def maximal_repeats(row: np.ndarray, at: np.ndarray, n: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Matches of a row with one source on one diagonal that overlap or touch, joined: row, start, words, source, its start."""
-    order = np.lexsort((at, at - source_at, source, row))
-    row, at, n, source, source_at = (x[order] for x in (row, at, n, source, source_at))
-    if not len(row):
-        return row, at, n, source, source_at
-    lane = np.ones(len(row), dtype=bool)
-    lane[1:] = (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (at[1:] - source_at[1:] != at[:-1] - source_at[:-1])
-    # a running maximum within each lane: lanes are lifted above all ends of those before
-    lift = (np.cumsum(lane) - 1) * (int((at + n).max()) + 1)
-    reach = np.maximum.accumulate(at + n + lift)
-    fresh = lane.copy()
-    fresh[1:] |= at[1:] + lift[1:] > reach[:-1]
+def maximal_repeats(starts: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length of the runs of words that windows at these sorted starts, with these rows, cover."""
+    if not len(starts):
+        return starts, starts
+    fresh = np.r_[True, (starts[1:] > starts[:-1] + window) | (row[1:] != row[:-1])]
     first = np.flatnonzero(fresh)
-    last = np.r_[first[1:], len(row)] - 1
-    return row[first], at[first], (reach - lift)[last] - at[first], source[first], source_at[first]
+    last = np.r_[first[1:], len(starts)] - 1
+    return starts[first], starts[last] + window - starts[first]
 
 
-def _strip(window: int):
+def _strip(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                words = Words(column(part, "text"), hashed=False)
-                row, hits = _entries(column(part, "hits"))
-                at, n, source, source_at = (np.asarray(hits.field(i), dtype=np.int64) for i in range(4))
-                inside = at + n <= words.counts[row]
-                row, at, n, source, source_at = maximal_repeats(*(x[inside] for x in (row, at, n, source, source_at)))
-                long = n >= window
-                row, at, n, source, source_at = (x[long] for x in (row, at, n, source, source_at))
+                words = Words(column(part, "text"))
+                starts, stretch = _at_places(words, column(part, "places"), window, seed)
+                first_stretch, first_window = _marks(words, column(part, "leaders")), _marks(words, column(part, "firsts"))
+                repeated = starts[~(first_stretch[stretch] & first_window[starts])]
+                low, n = maximal_repeats(repeated, words.row[repeated] if len(repeated) else repeated, window)
+                row = words.row[low] if len(low) else low
                 depth = np.zeros(len(words.starts) + 1, dtype=np.int32)
-                np.add.at(depth, words.row_from[row] + at, 1)
-                np.add.at(depth, words.row_from[row] + at + n, -1)
+                np.add.at(depth, low, 1)
+                np.add.at(depth, low + n, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 totals = np.concatenate([[0], np.cumsum(gone)])
                 removed = totals[words.row_from[1:]] - totals[words.row_from[:-1]]
@@ -155,31 +154,15 @@ def _strip(window: int):
                         keep = ~gone[words.row_from[i] : words.row_from[i + 1]]
                         pieces = [pieces[j] for j in np.flatnonzero(keep)]
                     texts.append(b" ".join(pieces))
-                found = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (at, n, source, source_at)], fields=list(_REPEATS.value_type))
+                found = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (low - words.row_from[row], n)], fields=list(_REPEATS.value_type))
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield arrow_batch(_KEPT, [column(part, "doc_id"), words.counts, removed, pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), found)])
 
     return run
 
 
-def _matches(stretches: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at, n, source_id, source_at): runs of words that equal those of a run which starts earlier, at its first place."""
-    first = F.min(F.struct("doc_id", "at"))
-    leaders = stretches.groupBy("words").agg(first.alias("first"))
-    # joined by another key than the one they were grouped by, both sides are exchanged for the join alone, and then Spark
-    # splits the partition of a stretch that very many places share
-    key = F.xxhash64("words")
-    followers = stretches.withColumn("key", key).join(leaders.withColumn("key", key), ["key", "words"]).where(F.struct("doc_id", "at") != F.col("first"))
-    whole = followers.select("doc_id", "at", F.size(F.split("words", " ")).alias("n"), "first")
-
-    listed = leaders.select("first", F.split("words", " ").alias("ws"))
-    offsets = F.sequence(F.lit(0), F.size("ws") - F.lit(window))
-    windows = listed.select("first", F.posexplode(F.transform(offsets, lambda o: F.array_join(F.slice("ws", o + 1, window), " "))).alias("o", "words"))
-    windows = windows.select("words", F.col("first.doc_id").alias("doc_id"), (F.col("first.at") + F.col("o")).alias("at"))
-    earliest = windows.groupBy("words").agg(first.alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    single = windows.withColumn("key", key).join(earliest.withColumn("key", key), ["key", "words"]).where(F.struct("doc_id", "at") != F.col("first"))
-    single = single.select("doc_id", "at", F.lit(window).alias("n"), "first")
-    return whole.unionByName(single).select("doc_id", "at", "n", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"))
+def _listed(firsts: DataFrame, name: str) -> DataFrame:
+    return firsts.select("first.doc_id", "first.at").groupBy("doc_id").agg(F.collect_list("at").alias(name))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFrame:
@@ -187,32 +170,39 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
 
     Earlier means a smaller ``doc_id``, or an earlier start in the same document; windows are judged on the input.
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space) and repeats: the maximal repeats removed,
-    each with its start, words, and the document and word at which its source starts.
+    each with its first word (from 0) and its number of words.
 
     Null and empty texts have no words: (0, 0, '').  Texts under ``window`` words keep all.  Rows that repeat a doc_id
     with the same text stand at the same place, so neither is earlier and both come back; a doc_id is to name one text.
-    Rows with a null doc_id stand before all others, those of one text at one place, and come back with a null doc_id (also
-    as a source).  Extra columns are ignored; an empty table gives an empty result.
+    Rows with a null doc_id stand before all others, those of one text at one place, and come back with a null doc_id.
+    Extra columns are ignored; an empty table gives an empty result.
     """
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", doc_key())
-    searched = docs.mapInArrow(_fingerprints, _DDL["prints"]).where(F.col("n_words") >= window)
-    keepers = searched.groupBy("digest").agg(F.min("doc_id").alias("keeper"))
-    key = F.xxhash64("digest")
-    copies = searched.withColumn("key", key).join(keepers.withColumn("key", key), ["key", "digest"]).where("doc_id <> keeper").select("doc_id", "n_words", "keeper")
     # one filter for all branches, so that they share one exchange of the texts
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", doc_key()).where("doc_id is not null")
+    searched = docs.mapInArrow(_fingerprints, _DDL["prints"]).where(F.col("n_words") >= window)
+    keepers = searched.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    copies = searched.join(keepers, "doc_id", "left_anti")
     texts = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     anchors = texts.mapInArrow(_anchors(window, seed), _DDL["anchors"])
     again = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # joined on another value than the one they were counted by, both sides are exchanged for the join alone, and then
+    # Spark splits the partition of an anchor that very many places share
     places = (
         anchors.select(F.bitwise_not("anchor").alias("key"), "doc_id", "at").join(again.select(F.bitwise_not("anchor").alias("key")), "key", "left_semi")
         .groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     )
 
-    stretches = texts.join(places, "doc_id").mapInArrow(_stretches(window, seed), _DDL["stretches"])
-    hits = _matches(stretches, window).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "source_id", "source_at")).alias("hits"))
-    cut = texts.join(hits, "doc_id", "left").mapInArrow(_strip(window), _DDL["kept"])
-    copied = F.array(F.struct(F.lit(0).cast("long").alias("start"), "n_words", F.col("keeper").alias("source_id"), F.lit(0).cast("long").alias("source_start")))
+    first = F.min(F.struct("doc_id", "at")).alias("first")
+    leaders = texts.join(places, "doc_id").mapInArrow(_stretches(window, seed), _DDL["stretches"]).groupBy("words").agg(first)
+    listed = leaders.select("first", F.split("words", " ").alias("ws"))
+    spelled = F.transform(F.sequence(F.lit(0), F.size("ws") - F.lit(window)), lambda o: F.array_join(F.slice("ws", o + 1, window), " "))
+    windows = listed.select("first", F.posexplode(spelled).alias("o", "words")).select(
+        F.xxhash64("words").alias("p1"), F.xxhash64(F.lit("other"), "words").alias("p2"), F.col("first.doc_id").alias("doc_id"), (F.col("first.at") + F.col("o")).alias("at")
+    )
+    firsts = windows.groupBy("p1", "p2").agg(first)
+
+    cut = texts.join(places, "doc_id", "left").join(_listed(leaders, "leaders"), "doc_id", "left").join(_listed(firsts, "firsts"), "doc_id", "left").mapInArrow(_strip(window, seed), _DDL["kept"])
+    copied = F.array(F.struct(F.lit(0).cast("long").alias("start"), "n_words"))
     out = cut.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), copied.alias("repeats")))
-    named = F.transform("repeats", lambda r: r.withField("source_id", shown_id(r["source_id"])))
-    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text", named.alias("repeats"))
+    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text", "repeats")

@@ -160,18 +160,25 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
-def test_repeats_are_maximal_and_equal_their_sources(spark):
+def test_repeats_are_maximal_and_stand_earlier(spark):
+    """The repeats cover what is removed, do not touch, and each of their windows starts somewhere earlier."""
     rng = random.Random(17)
     pieces = [sentence(rng, n) for n in (25, 40, 90)]
     rows = {i: " ".join(rng.choices([*pieces, sentence(rng, 9)], k=rng.randrange(1, 6))).split() for i in range(50)}
     out = substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
-    assert any(r["repeats"] for r in out)
+    assert any(len(r["repeats"]) > 1 for r in out)
+    first = {}
+    for d in sorted(rows):
+        for s in range(len(rows[d]) - 19):
+            first.setdefault(tuple(rows[d][s : s + 20]), (d, s))
     for r in out:
-        mine, covered = rows[r["doc_id"]], set()
-        for x in r["repeats"]:
-            a, n, source, b = x["start"], x["n_words"], rows[x["source_id"]], x["source_start"]
-            assert n >= 20 and mine[a : a + n] == source[b : b + n] and (x["source_id"], b) < (r["doc_id"], a)
-            covered.update(range(a, a + n))
+        mine, covered, end = rows[r["doc_id"]], set(), -1
+        for a, n in r["repeats"]:
+            assert n >= 20 and a > end
+            end = a + n
+            covered.update(range(a, end))
+            for edge in (a, end - 20):
+                assert first[tuple(mine[edge : edge + 20])] < (r["doc_id"], edge)
         assert len(covered) == r["n_removed"]
 
 
