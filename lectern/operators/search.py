@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import text as tx
 from ..functions.vector import cosine, vector_literal
 
@@ -20,40 +24,65 @@ def vector_top_k(chunks: DataFrame, query: Sequence[float], k: int, *, key: str
     return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
-def keyword_score(tokens: str, terms: Sequence[str]) -> Column:
-    """Share of a chunk's tokens that are query terms, if it holds every term; null otherwise.
+def word_forms(chunks: DataFrame, terms: Sequence[str], *, content: str = "content") -> dict[str, list[str]]:
+    """The words of the texts that have each term as their stem: distinct words that begin like a term, stemmed where they are."""
+    openings = F.array(*(F.lit(english.opening(t)) for t in terms))
+    tokens = F.filter(english.plain_tokens(F.col(content)), lambda w: F.exists(openings, lambda o: F.startswith(w, o)))
+    words = chunks.where(reduce(or_, (english.may_hold(F.col(content), t) for t in terms))).select(F.explode(tokens).alias("word")).distinct()
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = pdf.assign(term=[english.stem(w) for w in pdf["word"]])
+            yield found[found["term"].isin(list(terms))]
+
+    out: dict[str, list[str]] = {t: [] for t in terms}
+    for r in words.mapInPandas(known, "word string, term string").orderBy("word").collect():  # the endings of a few stems
+        out[r["term"]].append(r["word"])
+    return out
+
+
+def keyword_matches(chunks: DataFrame, terms: Sequence[str], *, content: str = "content", score: str = "keyword_score") -> DataFrame:
+    """The chunks that hold every term (stems, see ``english.query_terms``), with the terms' share of their lexemes.
 
     The full-text rank of the database is not published in the reference; this keeps its contract: all terms must match,
-    the score is positive and grows with their frequency, and a query without terms matches nothing.
+    the score is positive and grows with their frequency, and a query without terms (as one of stop words) matches nothing.
+    The terms are first spelled out as the words that the texts have, so that chunks are matched and ranked by built-in
+    functions, and only those with the terms' letters are cut into tokens.
     """
-    if not terms:
-        return F.lit(None).cast("double")
-    hits = [F.size(F.col(tokens)) - F.size(F.array_remove(F.col(tokens), t)) for t in dict.fromkeys(terms)]
-    score = sum(hits[1:], hits[0]) / F.size(tokens)
-    return F.when(F.forall(F.array(*hits), lambda n: n > 0), F.round(score, 6))
+    forms = word_forms(chunks, terms, content=content) if terms else {}
+    if not all(forms.values()) or not forms:
+        return chunks.where(F.lit(False)).withColumn(score, F.lit(None).cast("double"))
+    held = chunks
+    for t in terms:
+        held = held.where(english.may_hold(F.col(content), t))
+    counted = held.withColumn("__tokens", english.plain_tokens(F.col(content)))
+    hits = []
+
+    def outside(wanted: Column):
+        return lambda w: ~F.array_contains(wanted, w)
+
+    for words in forms.values():
+        wanted = F.array(*(F.lit(w) for w in words))
+        counted = counted.where(F.arrays_overlap("__tokens", wanted))
+        hits.append(F.size("__tokens") - F.size(F.filter("__tokens", outside(wanted))))
+    return counted.withColumn(score, F.round(sum(hits[1:], hits[0]) / F.size("__tokens"), 6)).drop("__tokens")
 
 
 def keyword_top_k(chunks: DataFrame, terms: Sequence[str], k: int, *, key: str = "id", content: str = "content", score: str = "keyword_score") -> DataFrame:
-    """The best k chunks that hold every term.  A text is cut into tokens once, and only where it has the terms' letters."""
-    held = chunks
-    for t in terms:
-        held = held.where(F.contains(F.lower(content), F.lit(t)))
-    tokens = held.withColumn("__tokens", tx.search_tokens(F.col(content)))
-    scored = tokens.withColumn(score, keyword_score("__tokens", terms)).drop("__tokens")
-    return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(key)).limit(k)
+    return keyword_matches(chunks, terms, content=content, score=score).orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
 def fused_score(semantic: str, keyword: str) -> Column:
     return F.round(F.coalesce(F.col(semantic), F.lit(0.0)) * SEMANTIC_WEIGHT + F.coalesce(F.col(keyword), F.lit(0.0)) * KEYWORD_WEIGHT, 6)
 
 
-def hybrid_search(chunks: DataFrame, query: Sequence[float], terms: Sequence[str], k: int, *, key: str = "id", join_key: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: Sequence[float], terms: Sequence[str] | None, k: int, *, key: str = "id", join_key: str | None = None) -> DataFrame:
     """Nearest 2k chunks and best k keyword chunks, joined in full, fused, the best k.
 
-    ``join_key`` other than the chunk key (a document id) keeps the fan-out of a document's chunks on both sides.  An
-    empty query falls back to the vector side.
+    ``join_key`` other than the chunk key (a document id) keeps the fan-out of a document's chunks on both sides.  Without
+    a query text (None) only the vector side is asked; one of stop words alone has no terms and its keyword side is empty.
     """
-    if not terms:
+    if terms is None:
         return vector_top_k(chunks, query, k, key=key).withColumnRenamed("score", "combined_score")
     on = join_key or key
     # both sides rank narrow rows; the columns of the few chunks that are left are joined last

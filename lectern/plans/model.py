@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.english import STOP_WORDS, query_terms
 from ..sources.tables import table
 
 QUERY_ID = 0
-TERMS = ["the", "of"]
+QUESTION = "The thinging of the nd"
+TERMS = query_terms(QUESTION)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,9 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = QUERY_ID) -> li
     return list(row["embedding"])
 
 
+#: The question's two terms, by the words that have their stems.
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+_THING, _ND = "regexp_matches(t, '^thing(s|es|ed|ly|ing|ingly|edly|lyed|lying)?$')", "t = 'nd'"
 SQL = f"""
 q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = {QUERY_ID}),
 vectors AS (
@@ -49,11 +54,11 @@ vectors AS (
 ),
 chunks AS (
   SELECT id, pdf_id, pdf_id % 3 AS collection, page_number, end_page_number, CASE WHEN id % 5 = 0 THEN 'table' ELSE 'paragraph' END AS chunk_type,
-    text AS content, score, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '') AS toks
+    text AS content, score, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '' AND t NOT IN ({_STOP})) AS toks
   FROM vectors JOIN documents ON doc_id = id
 ),
 words AS (
-  SELECT *, CASE WHEN list_contains(toks, 'the') AND list_contains(toks, 'of')
-    THEN round(len(list_filter(toks, lambda t: t IN ('the', 'of')))::DOUBLE / len(toks), 6) END AS kw FROM chunks
+  SELECT *, CASE WHEN len(list_filter(toks, lambda t: {_THING})) > 0 AND len(list_filter(toks, lambda t: {_ND})) > 0
+    THEN round(len(list_filter(toks, lambda t: {_THING} OR {_ND}))::DOUBLE / len(toks), 6) END AS kw FROM chunks
 )
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import text as tx
 from ..functions.vector import mean_vectors
 from ..operators import library, search
@@ -28,6 +29,17 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "pdf_id", "page_number", "end_page_number", "combined_score")
 
 
+def hybrid_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of stop words alone matches no text, so the vector side alone is weighted."""
+    out = search.hybrid_search(model.chunks(spark, sf_dir), model.query_vector(spark, sf_dir), english.query_terms("What is it that they were"), 10)
+    return out.select("id", "pdf_id", "combined_score")
+
+
+def fulltext_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks that hold the question's words in any form, with their rank."""
+    return search.keyword_matches(model.chunks(spark, sf_dir), model.TERMS).select("id", "pdf_id", "keyword_score")
+
+
 def hybrid_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the documents of one collection, through the bridge table of its members."""
     members = table(spark, sf_dir, "nation").where("n_nationkey < 10 and n_regionkey = 1").select(F.col("n_nationkey").alias("pdf_id"), F.col("n_name").alias("pdf_title"))
@@ -115,7 +127,7 @@ def collection_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n"), 256).alias("context_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, hybrid_search, hybrid_collection, library_best_per_doc, library_vector_best, chunk_type_filter, proximity_boost, per_doc_cap, rerank_order, context_budget, near_duplicate_pairs, mean_vector, shortlist_merge, snippet_projection, collection_context)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, hybrid_search, hybrid_stop_words, fulltext_match, hybrid_collection, library_best_per_doc, library_vector_best, chunk_type_filter, proximity_boost, per_doc_cap, rerank_order, context_budget, near_duplicate_pairs, mean_vector, shortlist_merge, snippet_projection, collection_context)}
 
 _TOP = "ORDER BY score DESC, id LIMIT"
 _FUSED = "round(coalesce(v.score, 0) * 0.7 + coalesce(k.kw, 0) * 0.3, 6)"
@@ -126,6 +138,8 @@ SQL = {
       SELECT coalesce(v.id, k.id) AS id, coalesce(v.pdf_id, k.pdf_id) AS pdf_id, coalesce(v.page_number, k.page_number) AS page_number,
         coalesce(v.end_page_number, k.end_page_number) AS end_page_number, {_FUSED} AS combined_score
       FROM v FULL OUTER JOIN k ON v.id = k.id ORDER BY combined_score DESC, 1 LIMIT 10""",
+    "hybrid_stop_words": f"{WITH} SELECT id, pdf_id, round(score * 0.7, 6) AS combined_score FROM (SELECT * FROM vectors {_TOP} 20) ORDER BY 3 DESC, id LIMIT 10",
+    "fulltext_match": f"{WITH} SELECT id, pdf_id, kw AS keyword_score FROM words WHERE kw IS NOT NULL",
     "hybrid_collection": f"""{WITH}, c AS (SELECT words.*, n_name AS pdf_title FROM words JOIN nation ON n_nationkey = pdf_id WHERE n_nationkey < 10 AND n_regionkey = 1),
       v AS (SELECT * FROM c {_TOP} 16), k AS (SELECT * FROM c WHERE kw IS NOT NULL ORDER BY kw DESC, id LIMIT 8)
       SELECT coalesce(v.id, k.id) AS id, coalesce(v.pdf_id, k.pdf_id) AS pdf_id, coalesce(v.pdf_title, k.pdf_title) AS pdf_title, {_FUSED} AS combined_score

@@ -54,14 +54,14 @@ def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") ->
     result = f"{checkpoint}/result"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{result}/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{result}/batch_{number if mode == 'append' else 0}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(result)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{result}/*")
 
 
 def run_each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:

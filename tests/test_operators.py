@@ -1,11 +1,15 @@
 """Operators on small cases with known answers."""
 
+import random
+
+import numpy as np
 import pytest
+from lectern.functions import english
 from lectern.functions import identifiers as ids
 from lectern.functions import json as js
 from lectern.functions import text as tx
 from lectern.functions.vector import cosine, vector_literal
-from lectern.operators import chunking, dml, library, matching, search, state, training
+from lectern.operators import chunking, dml, library, matching, reading, search, state, training
 from lectern.sources.tables import scoped, write_documents
 from lectern.streaming import streams
 from pyspark.sql import functions as F
@@ -239,3 +243,71 @@ def test_intervals(spark):
     rows = spark.createDataFrame([(1, 0, 5), (1, 3, 8), (1, 10, 12), (2, 0, 1)], "g int, low int, high int")
     got = sorted((r["g"], r["low"], r["high"], r["n"]) for r in library.merge_intervals(rows, "g", "low", "high").collect())
     assert got == [(1, 0, 8, 2), (1, 10, 12, 1), (2, 0, 1, 1)]
+
+
+@pytest.mark.parametrize(("word", "stemmed"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("hopping", "hop"), ("filing", "file"), ("happily", "happili"), ("relational", "relat"), ("generously", "generous"), ("sensibility", "sensibl"), ("dying", "die"), ("knees", "knee"), ("communism", "communism"), ("controlling", "control"), ("by", "by")])
+def test_stems(word, stemmed):
+    assert english.stem(word) == stemmed
+    assert word.startswith(english.opening(stemmed)) or stemmed in english.IRREGULAR.values()
+
+
+def test_full_text_matches_forms_and_no_stop_words(spark):
+    rows = spark.createDataFrame([(1, "The thing was running"), (2, "Things run, and the runs thing."), (3, "nothing runs"), (4, None)], "id long, content string")
+    assert english.query_terms("The things that ran and RUN") == ["thing", "ran", "run"]
+    assert {r["id"]: r["keyword_score"] for r in search.keyword_matches(rows, english.query_terms("a running thing")).collect()} == {1: 1.0, 2: 1.0}
+    assert search.keyword_matches(rows, english.query_terms("it was the")).count() == 0
+
+
+def brute_char_span(hay, needle, least=0.65):
+    m, n = len(hay), len(needle)
+    if n < 4 or not m:
+        return None
+    table = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m):
+        for j in range(n):
+            table[i + 1][j + 1] = table[i][j] + 1 if hay[i] == needle[j] else max(table[i][j + 1], table[i + 1][j])
+    if table[m][n] < least * n:
+        return None
+    i, j, used = m, n, []
+    while i and j:
+        if hay[i - 1] == needle[j - 1]:
+            used.append(i - 1)
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    low, high = min(used), max(used) + 1
+    return (low, high) if 0.4 * n <= high - low <= 2.5 * n else None
+
+
+def test_character_spans_against_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        hay, needle = ("".join(rng.choices("abcd ", k=rng.randrange(lo, hi))) for lo, hi in ((0, 60), (2, 30)))
+        assert matching.char_span(hay, needle) == brute_char_span(hay, needle)
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_duplicate_pairs_in_blocks(spark, block):
+    rng = random.Random(9)
+    rows = [(i, i % 2, [rng.random() for _ in range(4)]) for i in range(40)] + [(40, 0, [0.0] * 4), (41, 1, None)]
+    frame = spark.createDataFrame(rows, "id long, pdf int, v array<float>")
+    unit = {i: (p, np.array(v) / np.linalg.norm(v)) for i, p, v in rows if v and any(v)}
+    want = sorted((-round(float(unit[a][1] @ unit[b][1]), 6), a, b) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= 0.9)[:25]
+    got = [(-r["similarity"], r["id_a"], r["id_b"]) for r in library.near_duplicate_pairs(frame, "pdf", "id", "v", 0.9, 25, block=block).collect()]
+    assert [g[1:] for g in got] == [w[1:] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want], atol=2e-6)
+
+
+def test_sentence_starts(spark):
+    text = "One ends. Two has e.g. Seven. Three goes on. and Four"
+    start = lambda low, high, skip: one(spark, reading.sentence_start(F.lit(text), F.lit(low), F.lit(high), skip))
+    assert start(0, 26, True) == text.index("Two") and start(0, 26, False) == text.index("Seven")
+    assert start(12, 60, True) == text.index("Three") and start(0, 5, True) == -1
+    assert start(21, 26, True) == -1 and start(21, 26, False) == text.index("Seven")
+
+
+def test_headings(spark):
+    text = "[HEADING L3] Marked\nx\n\n2.1 Inner Part\n\nmethods\n\nA Title Of Some Length\n\nnot A Title at all here\n\n" + "Running\n\n".join(["x\n\nResults\n\n"] * 4)
+    got = [(r["title"], r["level"]) for r in reading.headings(spark.createDataFrame([(1, text), (2, None)], "id long, t string"), "id", "t").orderBy("at").collect()]
+    assert got == [("Marked", 3), ("Inner Part", 2), ("Methods", 1), ("A Title Of Some Length", 2)]
