@@ -129,3 +129,15 @@ def merge_intervals(rows: DataFrame, group: str, low: str, high: str) -> DataFra
     starts = rows.withColumn("fresh", F.when(reach.isNull() | (F.col(low) > reach), 1).otherwise(0))
     islands = starts.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(group, "island").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, upper_median, lower_median) from counts of each value, so a key's rows are added up before they meet."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(key).orderBy(value)
+    placed = counts.withColumn("end", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(key)))
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((F.col("end") > place) & (F.col("end") - F.col("n") <= place), F.col(value)))
+
+    return placed.groupBy(key).agg(value_at(F.floor(F.col("total") / 2)).alias("upper_median"), value_at(F.floor((F.col("total") - 1) / 2)).alias("lower_median"))

@@ -132,14 +132,18 @@ def pages_overlap(page: Column, end_page: Column, pages: Sequence[int]) -> Colum
 
 
 def assemble_context(rows: DataFrame, group: str, rank: str, content: str, page: str, end_page: str, section: str, budget: int = CONTEXT_TOKENS) -> DataFrame:
-    """Chunks of each context that fit the token budget, in rank order; the one that overflows is cut if over 50 tokens are left."""
+    """Chunks of each context that fit the token budget, in rank order; the one that overflows is cut if over 50 tokens are left.
+
+    ``rank`` is distinct within a context.  Token counts are added up without the texts, which only the chunks kept join again.
+    """
     labelled = rows.withColumn("chunk_text", F.concat(tx.context_header(F.col(page), F.col(end_page), F.col(section)), F.lit("\n"), F.col(content)))
-    labelled = labelled.withColumn("tokens", tx.token_count(F.col("chunk_text")))
+    narrow = labelled.select(group, rank, tx.token_count(F.col("chunk_text")).alias("tokens"))
     before = Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    run = labelled.withColumn("used", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    run = narrow.withColumn("used", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     fits = F.col("used") + F.col("tokens") <= budget
     cut = ~fits & (F.col("used") < budget) & (budget - F.col("used") > LEAST_REST)
     # the first chunk that does not fit ends the context
     earlier = run.withColumn("overflow", (~fits).cast("int")).withColumn("overflows", F.coalesce(F.sum("overflow").over(before), F.lit(0)))
-    kept = earlier.where((F.col("overflows") == 0) & (fits | cut))
-    return kept.withColumn("piece", F.when(fits, F.col("chunk_text")).otherwise(tx.truncate_tokens(F.col("chunk_text"), F.lit(budget) - F.col("used"))))
+    kept = earlier.where((F.col("overflows") == 0) & (fits | cut)).select(F.col(group).alias("__group"), F.col(rank).alias("__rank"), "tokens", "used")
+    texts = labelled.join(kept, F.col(group).eqNullSafe(F.col("__group")) & (F.col(rank) == F.col("__rank"))).drop("__group", "__rank")
+    return texts.withColumn("piece", F.when(fits, F.col("chunk_text")).otherwise(tx.truncate_tokens(F.col("chunk_text"), F.lit(budget) - F.col("used"))))

@@ -179,8 +179,7 @@ def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper and lower medians: the middle values of the sorted list, not their mean."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("a"))
-    return g.select("l_partkey", F.get("a", (F.size("a") / 2).cast("int")).alias("upper_median"), F.get("a", ((F.size("a") - 1) / 2).cast("int")).alias("lower_median"))
+    return library.medians(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity")
 
 
 def label_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:

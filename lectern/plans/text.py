@@ -125,7 +125,10 @@ def quote_multitier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") / 10).cast("long").alias("answer"), F.col("text").alias("content"))
+    """The chunks of an answer; every third is one of two texts that share all words but one or two of sixty."""
+    answer = (F.col("doc_id") / 10).cast("long")
+    planted = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "), F.lit(" Tail"), (F.col("doc_id") % 2).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"), F.when(F.col("doc_id") % 3 == 1, planted).otherwise(F.col("text")).alias("content"))
     return matching.keep_first(d, "answer", "doc_id", "content").select("answer", "doc_id")
 
 
@@ -179,6 +182,14 @@ SQL = {
       SELECT page_id, regexp_replace(nullif(h, ''), '^www\.', '') AS host, string_split(url, '/')[-1] AS short_id, regexp_matches(url, '^(?i)https?://') AND h <> '' AND NOT
         regexp_matches(h, '^(localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\..*|\[?::1\]?)$') AS safe FROM h""",
     "page_range_expand": "SELECT r_regionkey, ['1,2,3,7', '5', NULL, NULL, '2,3,4'][r_regionkey + 1] AS pages FROM region",
+    "context_dedup_jaccard": r"""WITH RECURSIVE d AS (SELECT doc_id, doc_id // 10 AS answer, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY doc_id // 10) AS n,
+        list_distinct(list_filter(string_split_regex(lower(coalesce(CASE WHEN doc_id % 3 = 1 THEN array_to_string(list_transform(generate_series(1, 60), lambda i: 'w' || i), ' ') || ' Tail' || doc_id % 2 ELSE text END, '')), '\s+'), lambda x: x <> '')) AS ws FROM documents),
+      p AS (SELECT b.doc_id AS later, list(a.doc_id) AS near FROM d a JOIN d b ON a.answer = b.answer AND a.k < b.k
+        WHERE len(list_intersect(a.ws, b.ws)) > 0.9::DOUBLE * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) GROUP BY 1),
+      r AS (SELECT answer, 0::BIGINT AS k, []::BIGINT[] AS kept FROM d WHERE k = 1 UNION ALL
+        SELECT r.answer, d.k, CASE WHEN n = 1 OR (len(ws) > 0 AND NOT list_has_any(kept, coalesce(near, []))) THEN list_append(kept, d.doc_id) ELSE kept END
+        FROM r JOIN d ON d.answer = r.answer AND d.k = r.k + 1 LEFT JOIN p ON later = d.doc_id)
+      SELECT answer, unnest(kept) AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY k DESC) AS z FROM r) WHERE z = 1""",
     "quote_containment": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS q FROM benchmark WHERE length(text) >= 10)
       SELECT doc_id, item_id FROM d JOIN q ON contains(t, q)""",
 }
