@@ -48,13 +48,14 @@ def test_language_awkward(spark):
 
 
 def test_toxicity_held_out(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
-    out = q_op9.op9_toxicity(spark, SF).toPandas()
+    sf = "/root/testdata/sf0.1"  # smaller tables hold out six toxic rows, too few to tell
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    out = q_op9.op9_toxicity(spark, sf).toPandas()
     assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]).all()
     held = out[out["held_out"]].merge(labels, on="doc_id")
     tp = ((held["predicted"] == 1) & (held["toxic"] == 1)).sum()
     assert tp / max(1, (held["toxic"] == 1).sum()) >= 0.9
-    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() <= 0.03 * len(held)
+    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() <= 0.01 * len(held)
 
 
 def written(symbols):
