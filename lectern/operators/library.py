@@ -18,15 +18,16 @@ def _near_pairs(least: float, limit: int):
         rows = pa.Table.from_batches(batches)  # the cells of one task, a few blocks
         if not rows.num_rows:
             return
-        cell, own, ids = (rows.column(c).to_numpy() for c in ("cell", "own", "id"))
+        cell, own, other, ids = (rows.column(c).to_numpy() for c in ("cell", "own", "other", "id"))
         vectors = pc.list_flatten(rows.column("unit")).to_numpy().reshape(rows.num_rows, -1)
         order = np.argsort(cell, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            crossed = own[part] != own[part].min()
-            left, right = (part, part) if not crossed.any() else (part[~crossed], part[crossed])
+            inner = (own[part] == other[part]).all()
+            first = own[part] == own[part].min()
+            left, right = (part, part) if inner else (part[first], part[~first])
             score = vectors[left] @ vectors[right].T
             near = score >= least - 1e-6
-            if not crossed.any():
+            if inner:
                 near &= ids[left][:, None] < ids[right][None, :]
             a, b = np.nonzero(near)
             low, high, score = np.minimum(ids[left[a]], ids[right[b]]), np.maximum(ids[left[a]], ids[right[b]]), score[a, b]
@@ -46,8 +47,8 @@ def near_duplicate_pairs(rows: DataFrame, group: str, key: str, vector: str, lea
     units = rows.where(F.col(vector).isNotNull()).select(group, F.col(key).alias("id"), F.col(vector).alias("v"), norm.alias("norm")).where("norm > 0")
     sizes = units.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = units.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), group, "own", "id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("unit"))
-    found = cells.select("cell", "own", "id", "unit").repartition("cell").mapInArrow(_near_pairs(least, limit), "cell long, id_a long, id_b long, similarity double")
+    cells = dealt.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", "other", "id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("unit"))
+    found = cells.repartition("cell").mapInArrow(_near_pairs(least, limit), "cell long, id_a long, id_b long, similarity double")
     named = found.join(units.select(F.col("id").alias("id_a"), group), "id_a")
     pairs = named.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= least)
     return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").limit(limit).select(group, "id_a", "id_b", "similarity")
