@@ -138,7 +138,7 @@ SQL = {
       SELECT coalesce(v.id, k.id) AS id, coalesce(v.pdf_id, k.pdf_id) AS pdf_id, coalesce(v.page_number, k.page_number) AS page_number,
         coalesce(v.end_page_number, k.end_page_number) AS end_page_number, {_FUSED} AS combined_score
       FROM v FULL OUTER JOIN k ON v.id = k.id ORDER BY combined_score DESC, 1 LIMIT 10""",
-    "hybrid_stop_words": f"{WITH} SELECT id, pdf_id, round(score * 0.7, 6) AS combined_score FROM (SELECT * FROM vectors {_TOP} 20) ORDER BY 3 DESC, id LIMIT 10",
+    "hybrid_stop_words": f"{WITH} SELECT id, pdf_id, round(score * 0.7, 6) AS combined_score FROM (SELECT * FROM chunks {_TOP} 20) ORDER BY 3 DESC, id LIMIT 10",
     "fulltext_match": f"{WITH} SELECT id, pdf_id, kw AS keyword_score FROM words WHERE kw IS NOT NULL",
     "hybrid_collection": f"""{WITH}, c AS (SELECT words.*, n_name AS pdf_title FROM words JOIN nation ON n_nationkey = pdf_id WHERE n_nationkey < 10 AND n_regionkey = 1),
       v AS (SELECT * FROM c {_TOP} 16), k AS (SELECT * FROM c WHERE kw IS NOT NULL ORDER BY kw DESC, id LIMIT 8)
