@@ -34,23 +34,6 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: w // common for s, w in whole.items()}
 
 
-def quantised_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source by largest remainders; one at least, at the cost of the largest."""
-    whole, names = whole_weights(weights), sorted(weights)
-    total = sum(whole.values())
-    if period < len(names):
-        raise ValueError("the period is shorter than the number of sources")
-    shares = {s: whole[s] * period // total for s in names}
-    spare = period - sum(shares.values())
-    for s in sorted(names, key=lambda s: (-(whole[s] * period % total), s))[:spare]:
-        shares[s] += 1
-    for s in names:
-        if not shares[s]:
-            shares[max(names, key=lambda t: shares[t])] -= 1
-            shares[s] = 1
-    return shares
-
-
 def pfair(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, deadline) of every block that a source has, by earliest deadline first.
 
@@ -79,11 +62,6 @@ def pfair(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str
         slot += 1
 
 
-def pfair_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, slot, release, deadline) of one period, by earliest deadline first."""
-    return list(pfair(shares, shares))
-
-
 def _planned(weights: dict[str, int], blocks: dict[str, int], at_once: int):
     schema = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("block", "slot", "release", "deadline"))])
 

@@ -4,13 +4,14 @@ import math
 import random
 import textwrap
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from lectern.llm import registry
 from lectern.llm.decontaminate import common_subsequence, decontaminate, find_contamination
 from lectern.llm.licenses import CUES, SENTENCES, scan_licenses
-from lectern.llm.mixing import mix_sources, pfair_period, quantised_shares
+from lectern.llm.mixing import mix_sources, pfair, whole_weights
 from pyspark.sql import functions as F
 
 from ..oracle import both
@@ -25,17 +26,30 @@ def test_query_matches_sql(spark, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1e-6}, {chr(97 + i): i + 1 for i in range(12)}])
-def test_deadlines_and_lag(weights):
-    shares = quantised_shares(weights, 1000)
-    plan = pfair_period(shares)
-    assert sum(shares.values()) == 1000 and sorted(p[2] for p in plan) == list(range(1000))
+def plain_schedule(weights, blocks):
+    """Slot by slot over all sources, in fractions: of the released blocks the one due first, then by name."""
+    total, done, out = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), []
+    while any(done[s] < blocks[s] for s in weights):
+        slot = sum(done.values())
+        window = {s: (math.floor(done[s] * total / Fraction(w)), math.ceil((done[s] + 1) * total / Fraction(w))) for s, w in weights.items()}
+        due, s = min((d, s) for s, (r, d) in window.items() if r <= slot)
+        if done[s] < blocks[s]:
+            out.append((s, done[s], slot, *window[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 0.01}, {"x": 0.3, "y": 1 / 3, "z": 2.7}, {chr(97 + i): i + 1 for i in range(12)}])
+def test_schedule_against_plain_python(weights):
+    total = sum(map(Fraction, weights.values()))
+    blocks = {s: 1 + int(400 * Fraction(w) / total) for s, w in weights.items()}
+    plan = list(pfair(whole_weights(weights), blocks))
+    assert plan == plain_schedule(weights, blocks)
     done = Counter()
-    for s, j, slot, release, deadline in plan:
-        assert release == math.floor(j * 1000 / shares[s]) <= slot < deadline == math.ceil((j + 1) * 1000 / shares[s])
+    for s, _, slot, release, deadline in plan:
+        assert release <= slot < deadline
         done[s] += 1
-        for t, k in shares.items():
-            assert abs(done[t] - (slot + 1) * k / 1000) < 1
+    assert done == blocks
 
 
 def test_mix_is_whole_and_in_order(spark):
@@ -47,13 +61,10 @@ def test_mix_is_whole_and_in_order(spark):
     per_block = Counter((r["source"], r["block"]) for r in got)
     last = {s: max(b for t, b in per_block if t == s) for s in {r["source"] for r in got}}
     assert all(n == 8 for (s, b), n in per_block.items() if b < last[s])
-    shares = quantised_shares({s: {"hot": 3, "s0": 1}.get(s, 1) for s in last}, 100)
-    period = {(s, j): (slot, r, d) for s, j, slot, r, d in pfair_period(shares)}
+    whole = {s: {"hot": 3, "s0": 1}.get(s, 1) for s in last}
     for r in got:
-        k = shares[r["source"]]
-        slot, release, deadline = period[r["source"], r["block"] % k]
-        start = r["block"] // k * 100
-        assert (r["slot"], r["release"], r["deadline"]) == (start + slot, start + release, start + deadline)
+        j, w, total = r["block"], whole[r["source"]], sum(whole.values())
+        assert r["release"] == j * total // w <= r["slot"] < r["deadline"] == -(-(j + 1) * total // w)
 
 
 @pytest.mark.parametrize("weights", [{"big": 100.0} | {f"s{i:03}": 1.0 for i in range(200)}, {"hot": 500.0} | {f"s{i:03}": 1.0 for i in range(499)}, {"hot": 3.1, "a": 1 / 3, "b": 0.7}])
