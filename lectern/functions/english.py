@@ -8,8 +8,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import text as tx
-
 # fixed values: the usual English stop words
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
@@ -120,10 +118,15 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(map(stem, words)))
 
 
-def plain_tokens(text: Column) -> Column:
-    """A text's tokens that are no stop words, in order, with repeats."""
-    stop = F.array(*(F.lit(w) for w in sorted(STOP_WORDS)))
-    return F.filter(tx.search_tokens(text), lambda t: ~F.array_contains(stop, t))
+def plain_text(text: Column) -> Column:
+    """A text's tokens that are no stop words, in order, each between blanks."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    return F.regexp_replace(spaced, f"(?<= )(?:{'|'.join(sorted(STOP_WORDS))})(?= )", "")
+
+
+def token_pattern(words: list[str]) -> str:
+    """Any of these words as a whole token of a plain text."""
+    return f"(?<= )(?:{'|'.join(words)})(?= )"
 
 
 def opening(term: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +26,9 @@ def vector_top_k(chunks: DataFrame, query: Sequence[float], k: int, *, key: str
 
 def word_forms(chunks: DataFrame, terms: Sequence[str], *, content: str = "content") -> dict[str, list[str]]:
     """The words of the texts that have each term as their stem: distinct words that begin like a term, stemmed where they are."""
-    openings = F.array(*(F.lit(english.opening(t)) for t in terms))
-    tokens = F.filter(english.plain_tokens(F.col(content)), lambda w: F.exists(openings, lambda o: F.startswith(w, o)))
-    words = chunks.where(reduce(or_, (english.may_hold(F.col(content), t) for t in terms))).select(F.explode(tokens).alias("word")).distinct()
+    begun = english.token_pattern([f"{english.opening(t)}[a-z0-9]*" for t in terms])
+    held = chunks.where(reduce(or_, (english.may_hold(F.col(content), t) for t in terms)))
+    words = held.select(F.explode(F.regexp_extract_all(english.plain_text(F.col(content)), F.lit(begun), 0)).alias("word")).distinct()
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,17 +55,14 @@ def keyword_matches(chunks: DataFrame, terms: Sequence[str], *, content: str = "
     held = chunks
     for t in terms:
         held = held.where(english.may_hold(F.col(content), t))
-    counted = held.withColumn("__tokens", english.plain_tokens(F.col(content)))
-    hits = []
-
-    def outside(wanted: Column):
-        return lambda w: ~F.array_contains(wanted, w)
-
-    for words in forms.values():
-        wanted = F.array(*(F.lit(w) for w in words))
-        counted = counted.where(F.arrays_overlap("__tokens", wanted))
-        hits.append(F.size("__tokens") - F.size(F.filter("__tokens", outside(wanted))))
-    return counted.withColumn(score, F.round(sum(hits[1:], hits[0]) / F.size("__tokens"), 6)).drop("__tokens")
+    # counts over one column of plain text, which is made once
+    plain = held.withColumn("__plain", english.plain_text(F.col(content)))
+    hits = [F.regexp_count("__plain", F.lit(english.token_pattern(words))).alias(f"__hits{k}") for k, words in enumerate(forms.values())]
+    counted = plain.select("*", *hits, F.regexp_count("__plain", F.lit("[a-z0-9]+")).alias("__all"))
+    for k in range(len(hits)):
+        counted = counted.where(F.col(f"__hits{k}") > 0)
+    total = reduce(add, (F.col(f"__hits{k}") for k in range(len(hits))))
+    return counted.withColumn(score, F.round(total / F.col("__all"), 6)).drop("__plain", "__all", *(f"__hits{k}" for k in range(len(hits))))
 
 
 def keyword_top_k(chunks: DataFrame, terms: Sequence[str], k: int, *, key: str = "id", content: str = "content", score: str = "keyword_score") -> DataFrame:
