@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_op1, q_op2, q_op3, q_op4, q_op5, q_op6, q_op7, q_op8, q_op9, q_op10, q_op11, q_op12
+from . import q_op1, q_op2, q_op3, q_op4, q_op5, q_op6, q_op7, q_op8, q_op9, q_op10, q_op11, q_op12, q_op13
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_decontamination": q_op10.op10_decontamination,
         "op11_hard_negatives": q_op11.op11_hard_negatives,
         "op12_source_divergence": q_op12.op12_source_divergence,
+        "op13_lm_score": q_op13.op13_lm_score,
     }
 
 
