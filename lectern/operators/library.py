@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written
+
 
 def _near_pairs(least: float, limit: int):
     """The best ``limit`` pairs of each cell by one matrix product: a block's inner pairs, or those across its two blocks."""
@@ -78,25 +80,67 @@ def name_counts(rows: DataFrame, names: str, limit: int = 10) -> DataFrame:
     return split.groupBy("name").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "name").limit(limit)
 
 
-def tree_closure(spark: SparkSession, edges: DataFrame, most_levels: int = 64) -> DataFrame:
-    """All (ancestor, node, depth) of an adjacency list (node, parent); cycles end where they close."""
-    frontier = edges.where("parent is not null").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth"))
-    closure, step = frontier, frontier
-    up = edges.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-    for depth in range(2, most_levels + 1):
-        step = step.join(up, "ancestor").select(F.col("next").alias("ancestor"), "node", F.lit(depth).alias("depth"))
-        step = step.join(closure.select("ancestor", "node"), ["ancestor", "node"], "left_anti")
-        if step.limit(1).count() == 0:
+def tree_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """All (ancestor, node, depth) of an adjacency list (node, parent), the shortest depth of each pair.
+
+    Paths double: pairs up to depth d and pairs of just d make all up to 2 d, so the rounds follow the logarithm of
+    the depth and each is a written table.  Circles end where no pair is new; a node in one is its own ancestor.
+    """
+    closure = written(edges.where("parent is not null").select(F.col("parent").alias("ancestor"), "node", F.lit(1).cast("long").alias("depth")).distinct(), "closure")
+    reach, pairs = 1, closure.count()
+    while pairs:
+        far = closure.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("middle"), "depth")
+        near = closure.select("ancestor", F.col("node").alias("middle"), F.col("depth").alias("more"))
+        longer = far.join(near, "middle").select("ancestor", "node", (F.col("depth") + F.col("more")).alias("depth"))
+        both = written(closure.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "closure")
+        found = both.count()
+        discard(closure)
+        closure, reach = both, 2 * reach
+        if found == pairs:
             break
-        closure = closure.unionByName(step)
+        pairs = found
     return closure
 
 
+def tree_levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, root, depth) of every node of an adjacency list with one parent a node; nodes that lead into a circle have no root.
+
+    Pointers double: each round a node's pointer takes over that of the node it points to, so the rounds follow the logarithm
+    of the depth and a round moves one row a node.
+    """
+    kind = edges.schema["parent"].dataType
+    own = edges.select("node", "parent").unionByName(edges.where("parent is not null").select(F.col("parent").alias("node"), F.lit(None).cast(kind).alias("parent")))
+    parents = own.groupBy("node").agg(F.max("parent").alias("up"))
+    jump = written(parents.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth")), "levels")
+    nodes, reach = jump.count(), 1
+    while reach < nodes and jump.where("root is null").limit(1).count():
+        further = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        moved = jump.where("root is null").join(further, "up").select("node", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        both = written(jump.where("root is not null").unionByName(moved), "levels")
+        discard(jump)
+        jump, reach = both, 2 * reach
+    return jump.select("node", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
+
+
 def makes_cycle(spark: SparkSession, edges: DataFrame, node, new_parent) -> bool:
-    """Whether putting ``node`` under ``new_parent`` closes a circle."""
+    """Whether putting ``node`` under ``new_parent`` closes a circle: whether it is among the new parent's ancestors.
+
+    The known ancestors double each round, by pointers of twice the length, so nothing but one node's way up is kept.
+    """
     if node == new_parent:
         return True
-    return tree_closure(spark, edges).where((F.col("ancestor") == node) & (F.col("node") == new_parent)).limit(1).count() > 0
+    jump = edges.where("parent is not null").select("node", "parent")
+    found, known = spark.range(1).select(F.lit(new_parent).cast(edges.schema["node"].dataType).alias("at")), 1
+    while True:
+        found = written(found.unionByName(found.join(jump, F.col("at") == F.col("node")).select(F.col("parent").alias("at"))).distinct(), "ancestors")
+        if found.where(F.col("at") == node).limit(1).count():
+            return True
+        now = found.count()
+        if now == known:
+            return False
+        known = now
+        further = jump.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        jump = written(jump.join(further, "parent").select("node", F.col("next").alias("parent")), "jumps")
 
 
 def swap_positions(rows: DataFrame, key: str, position: str, a, b) -> DataFrame:

@@ -113,6 +113,12 @@ def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.tree_closure(spark, regions.unionByName(nations))
 
 
+def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions as a deep forest: a document follows the one before it, every thousandth starts anew."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") % 1000 != 0, F.col("doc_id") - 1).alias("parent"))
+    return library.tree_levels(spark, d)
+
+
 def reparent_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") > 0, (F.col("n_nationkey") / 3).cast("int")).alias("parent_id"), (F.col("n_nationkey") % 3).alias("position"))
     moved = library.reparent_children(n, "id", "parent_id", 2)
@@ -199,7 +205,7 @@ def library_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_duplicate_groups, list_library, collection_overview, top_authors, comparison_matrix, missing_citations, cocitation_recommend, reference_coverage, recent_additions, timeline_by_year, page_color_groups, share_permission_view, outer_filtered_on, semi_anti_membership, band_join_pages, tree_closure, reparent_swap, history_last_n, upsert_latest, insert_if_missing, unique_violations, cascade_delete, merge_intervals, running_layout, rolling_mean, median_filter, label_overlay, library_set_difference)
+    for f in (exact_duplicate_groups, list_library, collection_overview, top_authors, comparison_matrix, missing_citations, cocitation_recommend, reference_coverage, recent_additions, timeline_by_year, page_color_groups, share_permission_view, outer_filtered_on, semi_anti_membership, band_join_pages, tree_closure, tree_levels, reparent_swap, history_last_n, upsert_latest, insert_if_missing, unique_violations, cascade_delete, merge_intervals, running_layout, rolling_mean, median_filter, label_overlay, library_set_difference)
 }
 
 SQL = {
@@ -223,6 +229,8 @@ SQL = {
     "semi_anti_membership": "SELECT c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders) AS member, count(*) AS n FROM customer GROUP BY 1, 2",
     "band_join_pages": """WITH p AS (SELECT user_id, event_id % 40 AS page, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT a.user_id, a.page, sum(b.n)::BIGINT AS within_two FROM p a JOIN p b ON a.user_id = b.user_id AND abs(a.page - b.page) <= 2 GROUP BY 1, 2""",
+    "tree_levels": """WITH RECURSIVE t AS (SELECT doc_id AS node, doc_id AS root, 0::BIGINT AS depth FROM documents WHERE doc_id % 1000 = 0
+      UNION ALL SELECT doc_id, root, depth + 1 FROM t JOIN documents ON doc_id = node + 1 AND doc_id % 1000 <> 0) SELECT * FROM t""",
     "tree_closure": """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
       t AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT e.parent, t.node, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor)
       SELECT ancestor, node, depth FROM t""",

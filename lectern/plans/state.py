@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..sources.scratch import new_folder
 from ..sources.tables import table
 from ..streaming import streams
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    """A stream's own folder under the one the cluster shares; a temporary one where none is set on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="streams_")
-    return f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}"
-
-
 def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = state.daily_quota(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id", 2)
     return out.select("event_id", "use_no", "allowed", "remaining")
@@ -75,12 +62,12 @@ def sse_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.daily_usage(streams.event_stream(spark, sf_dir, "events.parquet"))
-    return streams.run_to_table(stream, _checkpoint(spark, "daily_usage"))
+    return streams.run_to_table(stream, new_folder(spark, "daily_usage"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.sessions(streams.event_stream(spark, sf_dir, "events.parquet"))
-    out = streams.run_to_table(stream, _checkpoint(spark, "sessions"))
+    out = streams.run_to_table(stream, new_folder(spark, "sessions"))
     return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 

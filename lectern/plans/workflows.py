@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +9,16 @@ from ..functions import json as js
 from ..functions import text as tx
 from ..operators import chunking, documents, matching, reading, state
 from ..sources import tables
+from ..sources.scratch import new_folder
 from ..sources.tables import table
 from ..streaming import streams
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one the cluster shares; a temporary one where none is set on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="workflows_")
-    return f"{root.rstrip('/')}/{name}_{uuid.uuid4().hex}"
-
-
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to blocks, chunks that are worth embedding and their embedding inputs, written by source; indexed again, a source is replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), chunking.text_blocks(F.col("text")).alias("blocks"))
     inputs = chunking.embed_inputs(chunking.chunk_documents(docs), docs.select("doc_id", "source", "title"))
-    folder = _folder(spark, "chunks")
+    folder = new_folder(spark, "chunks")
     rows = inputs.select("source", "doc_id", "chunk_index", "content", "embed_input")
     tables.write_documents(rows, folder, "source")
     tables.write_documents(rows.where("source = 'src1'"), folder, "source")
@@ -84,7 +71,7 @@ def owned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as JSON lines and read back."""
-    folder = _folder(spark, "lines")
+    folder = new_folder(spark, "lines")
     tables.write_jsonl(table(spark, sf_dir, "benchmark"), folder)
     return spark.read.schema("item_id long, text string").json(folder).select("item_id", F.sha2("text", 256).alias("text_sha256"))
 
@@ -123,7 +110,7 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each client in windows of an hour, from a stream."""
     events = streams.event_stream(spark, sf_dir, "events.parquet")
     stream = streams.rate_windows(events.withColumn("client", F.col("user_id") % 5), "client", "ts", "1 hour", late="1 day")
-    return streams.run_to_table(stream, _folder(spark, "rates")).select("client", F.unix_timestamp("started").alias("started"), "n")
+    return streams.run_to_table(stream, new_folder(spark, "rates")).select("client", F.unix_timestamp("started").alias("started"), "n")
 
 
 QUERIES = {f.__name__: f for f in (index_documents, highlight_extraction, synthesis_themes, markdown_blocks, owned_lookup, jsonl_sink, json_array_sink, uploaded_files, section_titles, job_progress, layout_title, stream_rates)}

@@ -311,3 +311,25 @@ def test_headings(spark):
     text = "[HEADING L3] Marked\nx\n\n2.1 Inner Part\n\nmethods\n\nA Title Of Some Length\n\nnot A Title at all here\n\n" + "Running\n\n".join(["x\n\nResults\n\n"] * 4)
     got = [(r["title"], r["level"]) for r in reading.headings(spark.createDataFrame([(1, text), (2, None)], "id long, t string"), "id", "t").orderBy("at").collect()]
     assert got == [("Marked", 3), ("Inner Part", 2), ("Methods", 1), ("A Title Of Some Length", 2)]
+
+
+def test_deep_trees(spark):
+    rng = random.Random(8)
+    ids = list(range(10_000))
+    rng.shuffle(ids)
+    chain = spark.createDataFrame([(a, b) for a, b in zip(ids[1:], ids)] + [(-1, -2), (-2, -3), (-3, -2)], "node long, parent long")
+    got = {r["node"]: (r["root"], r["depth"]) for r in library.tree_levels(spark, chain).collect()}
+    assert all(got[x] == (ids[0], k) for k, x in enumerate(ids)) and {got[-1], got[-2], got[-3]} == {(None, None)} and len(got) == 10_003
+    assert library.makes_cycle(spark, chain, ids[3], ids[9000]) and not library.makes_cycle(spark, chain, ids[9000], ids[3])
+    assert library.makes_cycle(spark, chain, -3, -1) and not library.makes_cycle(spark, chain, -1, -3)
+
+
+def test_closure_of_a_deep_tree(spark):
+    rng = random.Random(9)
+    ids = list(range(1000))
+    rng.shuffle(ids)
+    chain = spark.createDataFrame([(a, b) for a, b in zip(ids[1:], ids)], "node long, parent long")
+    out = library.tree_closure(spark, chain)
+    place = {x: k for k, x in enumerate(ids)}
+    assert out.count() == 1000 * 999 // 2
+    assert all(place[r["node"]] - place[r["ancestor"]] == r["depth"] for r in out.where("node % 97 = 0").collect())
