@@ -28,13 +28,33 @@ LOWER[65:91] += 32
 #: No word is empty or has a blank: the end of a text counts as a token, its beginning is only a context.
 END, BEGIN = "", " "
 LANE = 512  # words that one lane of a traversal reads
-ASKED = "bucket int, chunk int, words array<string>, word_n array<int>, grams array<long>, gram_n array<int>"
-TOLD = "chunk int, bucket int, word_n array<long>, gram_n array<long>, tokens long, types long"
+KEPT_BYTES = 5  # of an n-gram's hash, beside the part of it that chose the bucket
+ASKED = "bucket int, chunk int, words string, word_n binary, grams binary, gram_n binary"
+TOLD = "chunk int, bucket int, word_n binary, gram_n binary, tokens long, types long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+def packed(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(counts.max(initial=0))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(packs: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(b, f"u{b[0]}", offset=1) for b in packs.to_pylist()]
+
+
+def short(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+
+
+def lengthened(packs: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for b in packs.to_pylist():
+        wide = np.zeros((len(b) // KEPT_BYTES, 8), np.uint8)
+        wide[:, :KEPT_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEPT_BYTES)
+        out.append(wide.view(np.uint64).ravel())
+    return out
 
 
 class Grams:
@@ -49,94 +69,91 @@ class Grams:
         rows = np.arange(found.rows)
         self.starts = found.row_from[:-1] + 2 * rows  # each text's BEGIN
         self.ends = found.row_from[1:] + 2 * rows + 1  # each text's END
-        self.row = np.repeat(rows, found.counts + 2)
+        self.row = np.repeat(rows.astype(np.int32), found.counts + 2)
         size = len(self.row)
-        inner = np.ones(size, bool)
-        inner[self.starts] = inner[self.ends] = False
         bounds = np.zeros(len(found.starts) + 1, np.int64)
         np.cumsum(found.ends - found.starts, out=bounds[1:])
         held = found.data[~BLANK[found.data]]
         named = pa.LargeStringArray.from_buffers(len(found.starts), pa.py_buffer(bounds), pa.py_buffer(held)).dictionary_encode()
+        del found, bounds, held
         sort = pc.sort_indices(named.dictionary).to_numpy()  # so that the order of the texts does not show
-        place = np.empty(len(sort), np.int64)
+        place = np.empty(len(sort), np.int32)
         place[sort] = np.arange(2, len(sort) + 2)
         self.end, self.begin = 0, 1
         self.words = pa.concat_arrays([pa.array([END, BEGIN], pa.large_string()), named.dictionary.take(pa.array(sort))])
-        self.word = np.empty(size, np.int64)
+        self.word = np.full(size, -1, np.int32)
         self.word[self.ends], self.word[self.starts] = self.end, self.begin
-        self.word[inner] = place[np.asarray(named.indices)]
+        self.word[self.word < 0] = place[np.asarray(named.indices)]
+        del named, sort, place
         self.word_hash = np.concatenate([mix(np.arange(1, 3, dtype=np.uint64)), Words(self.words.slice(2)).hash])
         self.at, self.prefix, self.last, self.suffix, self.hash = [], [], [], [], []
-        before, before_hash, deep = self.word, self.word_hash, np.arange(size) - self.starts[self.row]
+        before, before_hash, first = self.word, self.word_hash, np.zeros(size, bool)
         for m in range(2, order + 1):
-            here = np.flatnonzero(deep >= m - 1)
-            pair = before[here - 1] * len(self.words) + self.word[here]
-            once, first, of = np.unique(pair, return_index=True, return_inverse=True)
-            now = np.full(size, -1, np.int64)
+            first[np.minimum(self.starts + m - 2, self.ends)] = True  # too few tokens before these
+            here = np.flatnonzero(~first)
+            once, of = np.unique(before[here - 1].astype(np.int64) * len(self.words) + self.word[here], return_inverse=True)
+            now = np.full(size, -1, np.int32)
             now[here] = of
+            suffix = np.empty(len(once), np.int32)
+            suffix[of] = before[here]
+            del of, here
             self.at.append(now)
-            self.prefix.append(once // len(self.words))
-            self.last.append(once % len(self.words))
-            self.suffix.append(before[here[first]])
+            self.prefix.append((once // len(self.words)).astype(np.int32))
+            self.last.append((once % len(self.words)).astype(np.int32))
+            self.suffix.append(suffix)
             before_hash = mix(before_hash[self.prefix[-1]] * np.uint64(0x9E3779B97F4A7C15) + self.word_hash[self.last[-1]] + np.uint64(m))
             self.hash.append(before_hash)
             before = now
 
     def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of the words, and of the n-grams of all levels after each other, by bucket, with the buckets' bounds."""
-        out = []
         grams = np.concatenate(self.hash) if self.hash else np.zeros(0, np.uint64)
-        for hashes, order in ((self.word_hash, None), (grams, np.argsort(grams, kind="stable"))):
-            bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
-            order = np.arange(len(hashes)) if order is None else order
-            order = order[np.argsort(bucket[order], kind="stable")]
-            out += [order, np.searchsorted(bucket[order], np.arange(buckets + 1))]
+        by_hash = np.argsort(grams, kind="stable")
+        out = []
+        for hashes, order in ((self.word_hash, np.arange(len(self.word_hash))), (grams, by_hash)):
+            bucket = ((hashes >> np.uint64(8 * KEPT_BYTES)) % np.uint64(buckets)).astype(np.int32)[order]
+            sort = np.argsort(bucket, kind="stable")
+            out += [order[sort], np.searchsorted(bucket[sort], np.arange(buckets + 1))]
         return tuple(out)
 
 
 def _ask(order: int, buckets: int):
     def run(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
+        chunk = part["chunk"][0].as_py()
         grams = Grams(part["text"].combine_chunks(), order)
-        learns = np.asarray(part["learns"].combine_chunks()).astype(np.int64)[grams.row]
-        counted = [np.bincount(grams.word, weights=learns, minlength=len(grams.words))]
-        for at, level in zip(grams.at, grams.hash, strict=True):
-            counted.append(np.bincount(at[at >= 0], weights=learns[at >= 0], minlength=len(level)))
+        learns = part["learns"].combine_chunks().to_numpy(zero_copy_only=False)[grams.row]
+        word_n = np.bincount(grams.word[learns], minlength=len(grams.words))
+        gram_n = [np.bincount(at[learns & (at >= 0)], minlength=len(level)) for at, level in zip(grams.at, grams.hash, strict=True)]
         words, word_cut, many, cut = grams.asked(buckets)
-        hashes = np.concatenate(grams.hash) if grams.hash else np.zeros(0, np.uint64)
-        gram_n = np.concatenate(counted[1:]) if grams.hash else np.zeros(0)
-        columns = [
-            np.arange(buckets, dtype=np.int32), np.full(buckets, part["chunk"][0].as_py(), np.int32),
-            _lists(grams.words.take(pa.array(words)).cast(pa.string()), word_cut), _lists(pa.array(counted[0][words].astype(np.int32)), word_cut),
-            _lists(pa.array(hashes[many].view(np.int64)), cut), _lists(pa.array(gram_n[many].astype(np.int32)), cut),
-        ]
-        asks = (np.diff(word_cut) > 0) | (np.diff(cut) > 0)
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["bucket", "chunk", "words", "word_n", "grams", "gram_n"]).filter(pa.array(asks))
+        hashes, gram_n = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (grams.hash, gram_n))
+        named, word_n, hashes, gram_n = grams.words.take(pa.array(words)), word_n[words], hashes[many], gram_n[many]
+        rows = []
+        for b in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(cut) > 0)).tolist():
+            w, g = slice(word_cut[b], word_cut[b + 1]), slice(cut[b], cut[b + 1])
+            spelled = "\n".join(named[w].to_pylist()) if w.stop > w.start else None  # END alone is '', none is null
+            rows.append((b, chunk, spelled, packed(word_n[w]), short(hashes[g]), packed(gram_n[g])))
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "chunk", "words", "word_n", "grams", "gram_n"])
 
     return run
 
 
-def _flat(part: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
-    lists = part[name].combine_chunks()
-    bounds = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum(pc.list_value_length(lists).to_numpy(), out=bounds[1:])
-    return lists.flatten(), bounds
-
-
 def _tell(part: pa.Table) -> pa.Table:
     """Sums of a bucket over all chunks, in the order that each chunk asked for them."""
-    words, word_cut = _flat(part, "words")
-    named = words.dictionary_encode()
+    words = pc.split_pattern(part["words"].combine_chunks(), "\n")
+    word_cut = np.cumsum([0, *pc.fill_null(pc.list_value_length(words), 0).to_pylist()])
+    named = words.flatten().dictionary_encode()
     place = np.asarray(named.indices)
-    total = np.bincount(place, weights=_flat(part, "word_n")[0].to_numpy(), minlength=len(named.dictionary)).astype(np.int64)
+    total = np.bincount(place, weights=np.concatenate(unpacked(part["word_n"])), minlength=len(named.dictionary)).astype(np.int64)
     token = np.asarray(pc.not_equal(named.dictionary, BEGIN))
-    grams, cut = _flat(part, "grams")
-    _, of = np.unique(grams.to_numpy(), return_inverse=True)
-    sums = np.bincount(of, weights=_flat(part, "gram_n")[0].to_numpy()).astype(np.int64)
-    first = np.arange(part.num_rows) == 0
-    tokens, types = int(total[token].sum()), int((total[token] > 0).sum())
-    columns = [part["chunk"], part["bucket"], _lists(pa.array(total[place]), word_cut), _lists(pa.array(sums[of]), cut), pa.array(np.where(first, tokens, 0)), pa.array(np.where(first, types, 0))]
-    return pa.Table.from_arrays(columns, names=["chunk", "bucket", "word_n", "gram_n", "tokens", "types"])
+    grams = lengthened(part["grams"])
+    cut = np.cumsum([0, *map(len, grams)])
+    _, of = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = np.bincount(of, weights=np.concatenate(unpacked(part["gram_n"]))).astype(np.int64)
+    word_n, gram_n = ([packed(x[at[i] : at[i + 1]]) for i in range(part.num_rows)] for x, at in ((total[place], word_cut), (sums[of], cut)))
+    tokens, types = np.zeros((2, part.num_rows), np.int64)
+    tokens[0], types[0] = total[token].sum(), (total[token] > 0).sum()
+    return pa.Table.from_arrays([part["chunk"], part["bucket"], *map(pa.array, (word_n, gram_n, tokens, types))], names=["chunk", "bucket", "word_n", "gram_n", "tokens", "types"])
 
 
 class Automaton:
@@ -160,7 +177,7 @@ class Automaton:
             n, prefix, suffix, last = held[m - 1], grams.prefix[m - 2], grams.suffix[m - 2], grams.last[m - 2]
             p = (n + mass * p[suffix]) / (held[m - 2][prefix] + mass)
             there = n > 0
-            keys.append((at[m - 2] + prefix[there]) * self.width + last[there])
+            keys.append((at[m - 2] + prefix[there].astype(np.int64)) * self.width + last[there])
             weights.append(np.log10(p[there]))
             after.append(at[m - 1] + np.flatnonzero(there) if m < order else at[m - 2] + suffix[there])
         for m in range(1, order):  # contexts of m tokens
@@ -216,15 +233,13 @@ class Automaton:
 
 def _score(order: int, buckets: int, mass: float):
     def run(part: pa.Table, told: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
         grams = Grams(part["text"].combine_chunks(), order)
         words, word_cut, many, cut = grams.asked(buckets)
         word_n, gram_n = np.zeros(len(words), np.int64), np.zeros(len(many), np.int64)
-        told_words, told_grams = _flat(told, "word_n"), _flat(told, "gram_n")
-        flat_words, flat_grams = told_words[0].to_numpy(), told_grams[0].to_numpy()
-        for i, b in enumerate(told["bucket"].to_pylist()):
-            word_n[words[word_cut[b] : word_cut[b + 1]]] = flat_words[told_words[1][i] : told_words[1][i + 1]]
-            gram_n[many[cut[b] : cut[b + 1]]] = flat_grams[told_grams[1][i] : told_grams[1][i + 1]]
+        for b, w, g in zip(told["bucket"].to_pylist(), unpacked(told["word_n"]), unpacked(told["gram_n"]), strict=True):
+            word_n[words[word_cut[b] : word_cut[b + 1]]] = w
+            gram_n[many[cut[b] : cut[b + 1]]] = g
+        del words, many
         tokens, types = told["all_tokens"][0].as_py(), told["all_types"][0].as_py()
         levels = np.split(gram_n, np.cumsum([len(h) for h in grams.hash])[:-1]) if grams.hash else []
         model = Automaton(grams, word_n, levels, tokens, types, mass)
@@ -246,8 +261,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mass: float =
 
     Tokens are words between ASCII blanks with A to Z lower-cased, then one end of the text.  Returns doc_id, held_out,
     n_tokens, n_known (tokens that training has), train_tokens (tokens of training), base_score (the sum over single
-    tokens, each with one count more) and score (the automaton's).  Single words are counted by their text, n-grams by a
-    hash of 64 bits.
+    tokens, each with one count more) and score (the automaton's).  Single words are counted by their text, n-grams by
+    some 40 bits of a hash within their bucket, which stays as full however large the corpus is.
 
     Null and empty texts have the end alone.  Rows that repeat a doc_id are texts of their own; null ids stay null.  A null
     ``held_out`` is no.  Without training texts every token has probability 1.  Other columns are ignored; an empty
