@@ -57,7 +57,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, block=32, period=1000)
+    return mix_sources(docs, block=32)
 
 
 STAGES: list[tuple[str, Stage]] = [
