@@ -1,10 +1,7 @@
-"""Helpers that the operators share: tables, shared scratch tables, empty-safe Arrow output."""
+"""Helpers that the operators share: tables, keys of rows, empty-safe Arrow output."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,36 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+from ..sources.scratch import discard, new_folder, written
+
+__all__ = ["NO_ID", "arrow_batch", "column", "discard", "doc_key", "new_folder", "only", "sample_by_class", "shown_id", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset on a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="scratch_")
-    return _LOCAL_SCRATCH[app]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write a frame to the shared folder and read it back.
-
-    A lost executor then costs a reread of its part, not a rerun of all that came before.
-    """
-    path = f"{scratch_root(df.sparkSession)}/{label}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 NO_ID = -(1 << 62)
 
 

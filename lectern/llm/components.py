@@ -1,29 +1,47 @@
-"""Connected components by label propagation with pointer jumping, in DataFrame joins."""
+"""Connected components by contraction, in DataFrame joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of an edge (src, dst); the component is its smallest node.
 
-    Each round takes the smallest label among a node's neighbours (a partial aggregate, so a hub costs one row a task)
-    and then jumps to that label's own label.  Labels are written to the shared folder after each round.
+    In each round every node takes the name of the first among itself and its neighbours, in an order that a hash draws anew
+    for the round, and nodes of one name become one.  Whatever the shape of the graph and the order of its ids, a fixed
+    share of the nodes goes each time, so the rounds follow the logarithm of the nodes, on chains too, and the tables
+    shrink.  Then the names are followed back from the last round to the first.  A hub costs one partial row a task where
+    names are taken; every round's tables are written to the shared folder, and go when they are used up.
     """
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "edges")
-    labels = written(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("low"))
-        lower = labels.join(near, F.col("node") == F.col("src")).select("node", F.col("component").alias("old"), F.least("component", "low").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        moved = written(
-            lower.join(jump, F.col("low") == F.col("at"), "left").select("node", "old", F.coalesce(F.least("low", "further"), "low").alias("component")), "labels"
-        )
-        labels = moved.select("node", "component")
-        if moved.where("component <> old").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    pairs = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = written(pairs.where("src <> dst").distinct(), "pairs")
+    least = pairs.select(F.col("src").alias("node"), F.col("src").alias("least")).distinct()
+    rounds: list[DataFrame] = []
+    while not pairs.isEmpty():
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("draw"), F.col(c).alias("node"))  # noqa: B023, E731
+        first = pairs.groupBy("src").agg(F.least(F.min(drawn("dst")), F.min(drawn("src"))).alias("first")).select(F.col("src").alias("node"), F.col("first.node").alias("name"))
+        named = written(first.join(least, "node"), "named")
+        rounds.append(named)
+        src, dst = named.select(F.col("node").alias("src"), F.col("name").alias("a")), named.select(F.col("node").alias("dst"), F.col("name").alias("b"))
+        joined = pairs.join(src, "src").join(dst, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        fewer = written(joined, "pairs")
+        discard(pairs)
+        pairs = fewer
+        least = named.groupBy("name").agg(F.min("least").alias("least")).withColumnRenamed("name", "node")
+    if not rounds:
+        return least.select("node", F.col("least").alias("component"))
+    known = None
+    for named in reversed(rounds):
+        ends = named.groupBy("name").agg(F.min("least").alias("component"))
+        if known is not None:
+            later = known.select(F.col("node").alias("name"), F.col("component").alias("later"))
+            ends = ends.join(later, "name", "left").select("name", F.coalesce("later", "component").alias("component"))
+        before, known = known, written(named.select("node", "name").join(ends, "name").select("node", "component"), "components")
+        if before is not None:
+            discard(before)
+    discard(*rounds)
+    return known

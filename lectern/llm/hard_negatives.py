@@ -13,7 +13,6 @@ every anchor, so tasks send a few rows an anchor and no row is moved.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batch, column, scratch_root, shown_id
+from .common import NO_ID, arrow_batch, column, new_folder, shown_id
 
 BITS = 8
 LARGEST = 1 << 52  # a product's bound: doubles hold it exactly, and a hundred times it fits a long
@@ -261,7 +260,7 @@ def mine_hard_negatives(
     size = rows.agg(F.max(F.size("vector"))).first()[0]
     if size is None:
         return spark.createDataFrame([], OUT)
-    folder = f"{scratch_root(spark)}/negatives_{uuid.uuid4().hex}"
+    folder = new_folder(spark, "negatives")
     asking, idle = (1 << 62), 0  # the row number's second-highest bit says whether a row asks
     numbered = rows.select((F.monotonically_increasing_id() + F.when(F.col("asks"), asking).otherwise(idle)).alias("row"), "key", "label", "vector")
     numbered.mapInArrow(_encoder(size, levels, scale, seed), CODED).write.parquet(f"{folder}/codes")
