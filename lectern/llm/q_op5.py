@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .licenses import COVERS, RULES, SENTENCES, rule_pattern, scan_licenses
+from .licenses import COVERS, RULES, SENTENCES, scan_licenses
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,7 +11,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule(name: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches(seq, '{rule_pattern(r)}')" for r in RULES[name]) + ")"
+    in_order = lambda rule: r"\|" + r"\|(.*\|)?".join(i.replace(".", "\\.") for i in rule) + r"\|"
+    return "(" + " OR ".join(f"regexp_matches(seq, '{in_order(r)}')" for r in RULES[name]) + ")"
 
 
 def _mark(name: str) -> str:
