@@ -26,20 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, column, doc_key, only, shown_id
+from .common import arrow_batch, column, doc_key, only
 from .words import Words, text_slices
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("shown", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 _STRETCHES = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.string())])
 _REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("repeats", _REPEATS)])
+_KEPT = pa.schema([("shown", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("repeats", _REPEATS)])
 _REPEATS_DDL = "array<struct<start:long,n_words:long>>"
 _DDL = {
-    "prints": "doc_id long, n_words long, digest binary",
+    "prints": "doc_id long, shown long, n_words long, digest binary",
     "anchors": "anchor long, doc_id long, at int",
     "stretches": "doc_id long, at int, words string",
-    "kept": f"doc_id long, n_words long, n_removed long, kept_text string, repeats {_REPEATS_DDL}",
+    "kept": f"shown long, n_words long, n_removed long, kept_text string, repeats {_REPEATS_DDL}",
 }
 
 
@@ -53,7 +53,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in text_slices(batch):
             words = Words(column(part, "text"), hashed=False)
             digests = [hashlib.sha256(b" ".join(_pieces(words, i))).digest() for i in range(part.num_rows)]
-            yield arrow_batch(_PRINTS, [column(part, "doc_id"), words.counts, pa.array(digests, pa.binary())])
+            yield arrow_batch(_PRINTS, [column(part, "doc_id"), column(part, "shown"), words.counts, pa.array(digests, pa.binary())])
 
 
 def _owners(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def _strip(window: int, seed: int):
                     texts.append(b" ".join(pieces))
                 found = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (low - words.row_from[row], n)], fields=list(_REPEATS.value_type))
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield arrow_batch(_KEPT, [column(part, "doc_id"), words.counts, removed, pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), found)])
+                yield arrow_batch(_KEPT, [column(part, "shown"), words.counts, removed, pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), found)])
 
     return run
 
@@ -165,6 +165,25 @@ def _listed(firsts: DataFrame, name: str) -> DataFrame:
     return firsts.select("first.doc_id", "first.at").groupBy("doc_id").agg(F.collect_list("at").alias(name))
 
 
+AFTER_ALL = 1 << 62  # keys from here on stand after every doc_id
+MOST_SENT = 100_000  # ids that are sent to every task; more are dealt out, with the same result
+
+
+def _one_text_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, shown, text): doc_id is the key that one text alone has, shown the id that the row came with.
+
+    Of the different texts under one id, the first by a hash keeps the id as its key; the others get keys after all ids.
+    """
+    keyed = only(docs, "doc_id", "text").select(doc_key().alias("doc_id"), F.col("doc_id").alias("shown"), "text")
+    several = keyed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("first"), F.max(F.xxhash64("text")).alias("last")).where("first <> last").select("doc_id", "first")
+    n = several.count()
+    if not n:
+        return keyed
+    met = keyed.join(F.broadcast(several) if n <= MOST_SENT else several, "doc_id", "left")
+    moved = F.lit(AFTER_ALL) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    return met.select(F.when(F.xxhash64("text") != F.col("first"), moved).otherwise(F.col("doc_id")).alias("doc_id"), "shown", "text")
+
+
 def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier.
 
@@ -173,12 +192,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
     each with its first word (from 0) and its number of words.
 
     Null and empty texts have no words: (0, 0, '').  Texts under ``window`` words keep all.  Rows that repeat a doc_id
-    with the same text stand at the same place, so neither is earlier and both come back; a doc_id is to name one text.
-    Rows with a null doc_id stand before all others, those of one text at one place, and come back with a null doc_id.
-    Extra columns are ignored; an empty table gives an empty result.
+    with the same text stand at the same place, so neither is earlier and both come back.  Of rows that repeat a doc_id with
+    other texts, the first by a hash of the text stands at the id's place and the others after all documents; every
+    row comes back.  Rows with a null doc_id stand before all others, those of one text at one place, and come back with a
+    null doc_id.  Extra columns are ignored; an empty table gives an empty result.
     """
     # one filter for all branches, so that they share one exchange of the texts
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", doc_key()).where("doc_id is not null")
+    docs = _one_text_each(docs).where("doc_id is not null")
     searched = docs.mapInArrow(_fingerprints, _DDL["prints"]).where(F.col("n_words") >= window)
     keepers = searched.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     copies = searched.join(keepers, "doc_id", "left_anti")
@@ -204,5 +224,5 @@ def substring_dedup(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFra
 
     cut = texts.join(places, "doc_id", "left").join(_listed(leaders, "leaders"), "doc_id", "left").join(_listed(firsts, "firsts"), "doc_id", "left").mapInArrow(_strip(window, seed), _DDL["kept"])
     copied = F.array(F.struct(F.lit(0).cast("long").alias("start"), "n_words"))
-    out = cut.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), copied.alias("repeats")))
-    return out.select(shown_id(F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text", "repeats")
+    out = cut.unionByName(copies.select("shown", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), copied.alias("repeats")))
+    return out.select(F.col("shown").alias("doc_id"), "n_words", "n_removed", "kept_text", "repeats")
