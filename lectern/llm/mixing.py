@@ -4,8 +4,8 @@ A source's documents, in a fixed shuffled order, are cut into blocks.  With weig
 slot floor(j / w) and due by slot ceil((j + 1) / w); picking the released block with the earliest deadline in every slot
 keeps each source within less than one block of its share at all times.  The windows come from the weights as given, by
 whole-number arithmetic, so no rounding adds up.  One task works the schedule out, a heap of one entry a source, and writes
-it as it goes; every block finds its slot by its number.  A source that runs out leaves its slots empty and the others keep
-their order.
+it as it goes; every block finds its slot by its number.  A source that runs out takes no more turns, and
+the others keep to their windows.
 """
 
 from __future__ import annotations
@@ -37,27 +37,22 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
 def pfair(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, deadline) of every block that a source has, by earliest deadline first.
 
-    A source that has run out still takes its turns, unseen, up to a slot of 16 times the number of blocks; from there on
-    it takes none, so that a source of many blocks and next to no weight does not cost a step for each empty slot.  Every
-    block that is there keeps to its window either way.
+    A source that has run out takes no more turns; slots in which no block is released yet stay empty.
     """
-    total, left = sum(weights.values()), sum(blocks.values())
-    unseen_until = 16 * left
-    waiting = [(0, s, 0) for s in sorted(weights)]
+    total = sum(weights.values())
+    waiting = [(0, s, 0) for s in sorted(weights) if blocks[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
     slot = 0
-    while left:
+    while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        if j < blocks[s]:
-            left -= 1
-            yield s, j, slot, release, deadline
-        if j + 1 < blocks[s] or slot < unseen_until:
+        yield s, j, slot, release, deadline
+        if j + 1 < blocks[s]:
             heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
         slot += 1
 
@@ -74,13 +69,13 @@ def _planned(weights: dict[str, int], blocks: dict[str, int], at_once: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, period: int = 1000, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, slots_at_once: int = 1000, seed: int = 0, rows_per_bucket: int = 5_000) -> DataFrame:
     """Order documents so that each stretch holds the sources by their target weights.
 
     Returns doc_id, source, block (number within the source), slot, release, deadline and position (order of the mix).
     ``weights`` default to the square root of each source's rows, and sources that it leaves out or gives nothing get the
     smallest weight it has above zero, so every row comes back.  Sources are a catalogue that fits the driver; neither
-    their rows nor the schedule go there, and ``period`` is the number of its slots written at once.
+    their rows nor the schedule go there, and ``slots_at_once`` is the number of its slots written at once.
 
     A null source is the source ''.  Ranks are counted in buckets of about ``rows_per_bucket`` rows of one source, so a
     source with a third of all rows is spread over many tasks.  Rows that repeat a doc_id are placed one after the
@@ -99,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
         given = {s: w for s, w in weights.items() if w > 0}
         wanted = {s: given.get(s, min(given.values(), default=1)) for s in held}
     blocks = {s: -(-n // block) for s, n in held.items()}
-    plan = written(spark.range(1, numPartitions=1).mapInArrow(_planned(whole_weights(wanted), blocks, period), "source string, block long, slot long, release long, deadline long"), "plan")
+    plan = written(spark.range(1, numPartitions=1).mapInArrow(_planned(whole_weights(wanted), blocks, slots_at_once), "source string, block long, slot long, release long, deadline long"), "plan")
 
     buckets = max(1, -(-max(held.values()) // rows_per_bucket))
     rows = rows.withColumn("bucket", (F.col("draw") * buckets / _DRAW).cast("long"))

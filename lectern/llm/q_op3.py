@@ -7,4 +7,4 @@ from .mixing import mix_sources
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), block=32, period=1000)
+    return mix_sources(table(spark, sf_dir, "documents"), block=32)
