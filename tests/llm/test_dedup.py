@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from lectern.llm import components
+from lectern.llm.common import written
 from lectern.llm.components import connected_components
 from lectern.llm.exact_dedup import build_fuse_filter, exact_dedup, probe_fuse_filter
 from lectern.llm.jaccard_join import jaccard_join, least_matches, shared_counts, surviving_pairs
@@ -154,6 +156,46 @@ def test_shared_counts():
     assert (got[off] == np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])[off]).all()
 
 
+@pytest.mark.parametrize("n", [400, 10_000])
+def test_components_of_shuffled_chains(spark, monkeypatch, n):
+    ids = list(range(n))
+    random.Random(n).shuffle(ids)
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(name) or written(df, name))
+    got = connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0} and tables.count("named") < 20
+
+
+def test_components_of_all_shapes(spark):
+    rng = random.Random(12)
+    star = [(9000, i) for i in range(8000, 8400)]
+    edges = star + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1700)] + [(4000 + i, 4000 + (i + 1) % 50) for i in range(50)] * 2
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()} == {x: root(x) for x in linked}
+
+
+def test_join_of_a_shuffled_chain(spark):
+    """Eight hundred revisions, each near the next alone, with ids in no order."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(8 * 800 + 90)]
+    texts, ids = [" ".join(words[8 * i : 8 * i + 90]) for i in range(800)], list(range(800))
+    rng.shuffle(ids)
+    got = jaccard_join(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+    by_place = sorted(got, key=lambda r: ids.index(r["doc_id"]))
+    assert {r["class_id"] for r in got} == {0} and [r["n_links"] for r in by_place] == [1] + [2] * 798 + [1]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(chain).collect()}
@@ -202,3 +244,24 @@ def test_recall_by_similarity(spark):
             near[10 + 14 * at] = f"edit{rng.randrange(10**6)}"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
     check_links(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("most_sent", [100_000, 0])
+def test_substrings_of_ids_with_several_texts(spark, monkeypatch, most_sent):
+    """No row is lost: a copy of an earlier text under an id that names a short text too, and long texts under one id."""
+    from lectern.llm import substring_dedup as op
+
+    monkeypatch.setattr(op, "MOST_SENT", most_sent)
+    rng = random.Random(14)
+    a, b, c = (sentence(rng, 30) for _ in range(3))
+    rows = [(3, a), (5, a), (5, "a short one"), (7, b), (7, c), (7, c), (9, b + " and " + c), (8, None), (8, "")]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(d for d, *_ in got) == sorted(d for d, _ in rows)
+    by_id = defaultdict(list)
+    for d, n, gone, kept in got:
+        by_id[d].append((n, gone, kept))
+    assert by_id[3] == [(30, 0, a)] and sorted(by_id[5]) == [(3, 0, "a short one"), (30, 30, "")] and by_id[8] == [(0, 0, "")] * 2
+    # one of the two texts of 7 stands before 9, the other after it
+    assert sum(n for n, *_ in by_id[7]) == 90 and by_id[9][0][0] == 61
+    kept = [k for _, _, k in by_id[7]] + [by_id[9][0][2]]
+    assert (b in by_id[9][0][2]) != (c in by_id[9][0][2]) and all(any(x in k for k in kept) for x in (b, c))
