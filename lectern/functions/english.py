@@ -114,25 +114,5 @@ def stem(word: str) -> str:
 
 def query_terms(query: str) -> list[str]:
     """Distinct stems of a query's words that are no stop words: none of them may be missing from a match."""
-    words = [w for w in re.split("[^a-z0-9]+", query.lower()) if w and w not in STOP_WORDS]
+    words = [w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS]
     return list(dict.fromkeys(map(stem, words)))
-
-
-def plain_text(text: Column) -> Column:
-    """A text's tokens that are no stop words, in order, each between blanks."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    return F.regexp_replace(spaced, f"(?<= )(?:{'|'.join(sorted(STOP_WORDS))})(?= )", "")
-
-
-def token_pattern(words: list[str]) -> str:
-    """Any of these words as a whole token of a plain text."""
-    return f"(?<= )(?:{'|'.join(words)})(?= )"
-
-
-def opening(term: str) -> str:
-    """Letters that every word with this stem begins with: all but the last, which endings may change."""
-    return term[:-1] if len(term) > 2 and term not in IRREGULAR.values() else term[:1]
-
-
-def may_hold(text: Column, term: str) -> Column:
-    return F.contains(F.lower(text), F.lit(opening(term)))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import add, or_
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import english
 from ..functions import text as tx
 from ..functions.vector import cosine, vector_literal
+from . import postings
 
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 CONTEXT_TOKENS, LEAST_REST = 6000, 50
@@ -24,68 +21,34 @@ def vector_top_k(chunks: DataFrame, query: Sequence[float], k: int, *, key: str
     return scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
-def word_forms(chunks: DataFrame, terms: Sequence[str], *, content: str = "content") -> dict[str, list[str]]:
-    """The words of the texts that have each term as their stem: distinct words that begin like a term, stemmed where they are."""
-    begun = english.token_pattern([f"{english.opening(t)}[a-z0-9]*" for t in terms])
-    held = chunks.where(reduce(or_, (english.may_hold(F.col(content), t) for t in terms)))
-    words = held.select(F.explode(F.regexp_extract_all(english.plain_text(F.col(content)), F.lit(begun), 0)).alias("word")).distinct()
+def keyword_matches(chunks: DataFrame, terms: Sequence[str], *, key: str = "id", content: str = "content", score: str = "keyword_score") -> DataFrame:
+    """The chunks that hold every term (stems, see ``english.query_terms``) with their rank, from their texts, without an index."""
+    found = postings.matches(postings.postings(chunks, key=key, content=content, only=terms), terms, key=key, score=score)
+    return chunks.join(found, key)
 
-    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = pdf.assign(term=[english.stem(w) for w in pdf["word"]])
-            yield found[found["term"].isin(list(terms))]
 
-    out: dict[str, list[str]] = {t: [] for t in terms}
-    for r in words.mapInPandas(known, "word string, term string").orderBy("word").collect():  # the endings of a few stems
-        out[r["term"]].append(r["word"])
-    return out
-
-
-def keyword_matches(chunks: DataFrame, terms: Sequence[str], *, content: str = "content", score: str = "keyword_score") -> DataFrame:
-    """The chunks that hold every term (stems, see ``english.query_terms``), with the terms' share of their lexemes.
-
-    The full-text rank of the database is not published in the reference; this keeps its contract: all terms must match,
-    the score is positive and grows with their frequency, and a query without terms (as one of stop words) matches nothing.
-    The terms are first spelled out as the words that the texts have, so that chunks are matched and ranked by built-in
-    functions, and only those with the terms' letters are cut into tokens.
-    """
-    forms = word_forms(chunks, terms, content=content) if terms else {}
-    if not all(forms.values()) or not forms:
-        return chunks.where(F.lit(False)).withColumn(score, F.lit(None).cast("double"))
-    held = chunks
-    for t in terms:
-        held = held.where(english.may_hold(F.col(content), t))
-    # counts over one column of plain text, which is made once
-    plain = held.withColumn("__plain", english.plain_text(F.col(content)))
-    hits = [F.regexp_count("__plain", F.lit(english.token_pattern(words))).alias(f"__hits{k}") for k, words in enumerate(forms.values())]
-    counted = plain.select("*", *hits, F.regexp_count("__plain", F.lit("[a-z0-9]+")).alias("__all"))
-    for k in range(len(hits)):
-        counted = counted.where(F.col(f"__hits{k}") > 0)
-    total = reduce(add, (F.col(f"__hits{k}") for k in range(len(hits))))
-    return counted.withColumn(score, F.round(total / F.col("__all"), 6)).drop("__plain", "__all", *(f"__hits{k}" for k in range(len(hits))))
-
-
-def keyword_top_k(chunks: DataFrame, terms: Sequence[str], k: int, *, key: str = "id", content: str = "content", score: str = "keyword_score") -> DataFrame:
-    return keyword_matches(chunks, terms, content=content, score=score).orderBy(F.desc(score), F.asc(key)).limit(k)
+def keyword_top_k(found: DataFrame, k: int, *, key: str = "id", score: str = "keyword_score") -> DataFrame:
+    return found.orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
 def fused_score(semantic: str, keyword: str) -> Column:
     return F.round(F.coalesce(F.col(semantic), F.lit(0.0)) * SEMANTIC_WEIGHT + F.coalesce(F.col(keyword), F.lit(0.0)) * KEYWORD_WEIGHT, 6)
 
 
-def hybrid_search(chunks: DataFrame, query: Sequence[float], terms: Sequence[str] | None, k: int, *, key: str = "id", join_key: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: Sequence[float], found: DataFrame | None, k: int, *, key: str = "id", join_key: str | None = None) -> DataFrame:
     """Nearest 2k chunks and best k keyword chunks, joined in full, fused, the best k.
 
-    ``join_key`` other than the chunk key (a document id) keeps the fan-out of a document's chunks on both sides.  Without
-    a query text (None) only the vector side is asked; one of stop words alone has no terms and its keyword side is empty.
+    ``found`` has (key, keyword_score) of the chunks that match the question, as ``PostingsIndex.matches`` gives them; those outside
+    ``chunks`` fall away.  ``join_key`` other than the chunk key (a document id) keeps the fan-out of a document's chunks on both
+    sides.  Without a question in words (None) only the vector side is asked; one of stop words alone matches nothing.
     """
-    if terms is None:
+    if found is None:
         return vector_top_k(chunks, query, k, key=key).withColumnRenamed("score", "combined_score")
     on = join_key or key
     # both sides rank narrow rows; the columns of the few chunks that are left are joined last
     ids = list(dict.fromkeys([key, on]))
     v = vector_top_k(chunks.select(*ids, "embedding"), query, 2 * k, key=key, score="semantic_score").select(*ids, "semantic_score")
-    w = keyword_top_k(chunks.select(*ids, "content"), terms, k, key=key).select(*(F.col(c).alias(f"kw_{c}") for c in ids), "keyword_score")
+    w = keyword_top_k(chunks.select(*ids).join(found, key), k, key=key).select(*(F.col(c).alias(f"kw_{c}") for c in ids), "keyword_score")
     both = v.join(w, F.col(on) == F.col(f"kw_{on}"), "full_outer")
     fused = both.select(F.coalesce(key, f"kw_{key}").alias(key), F.col(f"kw_{key}").alias("__kw"), fused_score("semantic_score", "keyword_score").alias("combined_score"))
     best = fused.orderBy(F.desc("combined_score"), F.asc(key), F.asc_nulls_last("__kw")).limit(k)

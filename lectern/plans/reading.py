@@ -170,14 +170,14 @@ def paper_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search of a collection by meaning and words, three times the limit, as it comes, with snippets."""
     members = _members(spark, sf_dir).select("pdf_id", "pdf_title")
-    out = search.hybrid_search(model.chunks(spark, sf_dir).join(members, "pdf_id"), model.query_vector(spark, sf_dir), model.TERMS, 5 * 3)
+    out = search.hybrid_search(model.chunks(spark, sf_dir).join(members, "pdf_id"), model.query_vector(spark, sf_dir), model.text_index(spark, sf_dir).matches(model.TERMS), 5 * 3)
     return out.select("id", "pdf_id", "pdf_title", "page_number", F.sha2(F.substring("content", 1, 300), 256).alias("snippet_sha256"), "combined_score")
 
 
 def explain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of an explanation: the four best chunks of one document, with page labels, in one text."""
     rows = scoped(model.chunks(spark, sf_dir), pdf_id=3)
-    top = search.hybrid_search(rows, model.query_vector(spark, sf_dir), model.TERMS, 4)
+    top = search.hybrid_search(rows, model.query_vector(spark, sf_dir), model.text_index(spark, sf_dir).matches(model.TERMS), 4)
     part = F.concat(tx.context_header(F.col("page_number"), F.col("end_page_number"), F.lit(None).cast("string")), F.lit("\n"), "content")
     listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("combined_score")).alias("s"), "id", part.alias("part")))).alias("parts"))
     return listed.select(F.size("parts").alias("n_chunks"), F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n"), 256).alias("context_sha256"))

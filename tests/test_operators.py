@@ -37,9 +37,9 @@ def test_cosine_of_zero_and_null(spark):
 
 
 def test_keyword_side_needs_every_term(spark):
-    rows = spark.createDataFrame([(1, "red fox"), (2, "red red fox dog"), (3, "fox")], "id long, content string")
-    assert [r["id"] for r in search.keyword_top_k(rows, ["red", "fox"], 5).collect()] == [1, 2]
-    assert search.keyword_top_k(rows, [], 5).count() == 0
+    rows = spark.createDataFrame([(1, "red and then, far off, a fox"), (2, "red red fox dog"), (3, "fox"), (4, "fox red")], "id long, content string")
+    assert [r["id"] for r in search.keyword_top_k(search.keyword_matches(rows, ["red", "fox"]), 5).collect()] == [2, 4, 1]
+    assert search.keyword_matches(rows, []).count() == 0
 
 
 def test_cap_and_best(spark):
@@ -248,13 +248,12 @@ def test_intervals(spark):
 @pytest.mark.parametrize(("word", "stemmed"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("hopping", "hop"), ("filing", "file"), ("happily", "happili"), ("relational", "relat"), ("generously", "generous"), ("sensibility", "sensibl"), ("dying", "die"), ("knees", "knee"), ("communism", "communism"), ("controlling", "control"), ("by", "by")])
 def test_stems(word, stemmed):
     assert english.stem(word) == stemmed
-    assert word.startswith(english.opening(stemmed)) or stemmed in english.IRREGULAR.values()
 
 
 def test_full_text_matches_forms_and_no_stop_words(spark):
     rows = spark.createDataFrame([(1, "The thing was running"), (2, "Things run, and the runs thing."), (3, "nothing runs"), (4, None)], "id long, content string")
     assert english.query_terms("The things that ran and RUN") == ["thing", "ran", "run"]
-    assert {r["id"]: r["keyword_score"] for r in search.keyword_matches(rows, english.query_terms("a running thing")).collect()} == {1: 1.0, 2: 1.0}
+    assert {r["id"] for r in search.keyword_matches(rows, english.query_terms("a running thing")).collect()} == {1, 2}
     assert search.keyword_matches(rows, english.query_terms("it was the")).count() == 0
 
 
