@@ -9,6 +9,7 @@ from ..functions import english
 from ..functions import text as tx
 from ..functions.vector import mean_vectors
 from ..operators import library, search
+from ..operators.neighbours import CellIndex
 from ..operators.postings import PostingsIndex
 from ..sources.scratch import new_folder
 from ..sources.tables import scoped, table
@@ -66,6 +67,29 @@ def library_best_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("pdf_id", "id", F.substring("content", 1, 300).alias("snippet"), "combined_score")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> CellIndex:
+    return CellIndex(spark, new_folder(spark, "cells")).build(model.vectors(spark, sf_dir))
+
+
+def _questions(spark: SparkSession, sf_dir: str, rest: int, of: int = 50) -> DataFrame:
+    return model.vectors(spark, sf_dir).where(F.col("id") % of == rest).select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("unit"))
+
+
+def neighbours_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest chunks of many questions at once, through the cells, with every cell read that may hold one."""
+    return _cells(spark, sf_dir).search(_questions(spark, sf_dir, 0), 10).select("query_id", "id", "score", "rank")
+
+
+def neighbours_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells probed as measured on some questions, and the recall of others' ten nearest chunks at that number."""
+    index = _cells(spark, sf_dir)
+    probes = index.probes_for(_questions(spark, sf_dir, 1, of=10), 10, least=0.98)
+    asked = _questions(spark, sf_dir, 0)
+    exact, got = index.search(asked, 10), index.search(asked, 10, probes)
+    hits = exact.select("query_id", "id").join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("questions"), (F.count("hit") / F.count(F.lit(1)) >= 0.95).alias("enough"))
+
+
 def library_vector_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector-only library search: three times the limit, then the best chunk of each document."""
     top = search.vector_top_k(model.vectors(spark, sf_dir), model.query_vector(spark, sf_dir), 15)
@@ -138,7 +162,7 @@ def collection_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n"), 256).alias("context_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, hybrid_search, hybrid_stop_words, fulltext_match, fulltext_index, hybrid_collection, library_best_per_doc, library_vector_best, chunk_type_filter, proximity_boost, per_doc_cap, rerank_order, context_budget, near_duplicate_pairs, mean_vector, shortlist_merge, snippet_projection, collection_context)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_by_label, hybrid_search, hybrid_stop_words, fulltext_match, fulltext_index, hybrid_collection, library_best_per_doc, neighbours_exact, neighbours_recall, library_vector_best, chunk_type_filter, proximity_boost, per_doc_cap, rerank_order, context_budget, near_duplicate_pairs, mean_vector, shortlist_merge, snippet_projection, collection_context)}
 
 _TOP = "ORDER BY score DESC, id LIMIT"
 _FUSED = "round(coalesce(v.score, 0) * 0.7 + coalesce(k.kw, 0) * 0.3, 6)"
@@ -162,6 +186,10 @@ SQL = {
         FROM v FULL OUTER JOIN k ON v.pdf_id = k.pdf_id ORDER BY combined_score DESC, 2, kid NULLS LAST LIMIT 10),
       r AS (SELECT *, row_number() OVER (PARTITION BY pdf_id ORDER BY combined_score DESC, id) AS rn FROM f)
       SELECT pdf_id, id, substr(content, 1, 300) AS snippet, combined_score FROM r WHERE rn = 1 ORDER BY combined_score DESC, pdf_id LIMIT 10""",
+    "neighbours_exact": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)
+      SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""",
+    "neighbours_recall": "SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "library_vector_best": f"""{WITH}, t AS (SELECT * FROM vectors {_TOP} 15), r AS (SELECT *, row_number() OVER (PARTITION BY pdf_id ORDER BY score DESC, id) AS rn FROM t)
       SELECT pdf_id, page_number, score FROM r WHERE rn = 1 ORDER BY score DESC, pdf_id LIMIT 5""",
     "chunk_type_filter": f"{WITH} SELECT id, chunk_type, score FROM chunks WHERE chunk_type IN ('table') {_TOP} 10",
