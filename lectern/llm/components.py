@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     least = pairs.select(F.col("src").alias("node"), F.col("src").alias("least")).distinct()
     rounds: list[DataFrame] = []
     while not pairs.isEmpty():
-        drawn = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("draw"), F.col(c).alias("node"))  # noqa: B023, E731
-        first = pairs.groupBy("src").agg(F.least(F.min(drawn("dst")), F.min(drawn("src"))).alias("first")).select(F.col("src").alias("node"), F.col("first.node").alias("name"))
+        draw = lambda c: F.xxhash64(F.lit(len(rounds)), c)  # noqa: B023, E731
+        near = pairs.groupBy("src").agg(F.min(draw("dst")).alias("least_draw"), F.min_by("dst", draw("dst")).alias("near"))
+        first = near.select(F.col("src").alias("node"), F.when(draw("src") <= F.col("least_draw"), F.col("src")).otherwise(F.col("near")).alias("name"))
         named = written(first.join(least, "node"), "named")
         rounds.append(named)
         src, dst = named.select(F.col("node").alias("src"), F.col("name").alias("a")), named.select(F.col("node").alias("dst"), F.col("name").alias("b"))
