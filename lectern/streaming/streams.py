@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .keyed import rocks_state
+
+FIGURES = "batch long, state_rows long, late_rows long"
 ENVELOPE = "kind string, seq long, token string"
 
 
@@ -45,23 +48,35 @@ def reassemble(events: DataFrame, message: str) -> DataFrame:
     return tokens.select(message, F.array_join(F.transform("parts", lambda p: p["token"]), "").alias("text"), F.size("parts").alias("n_tokens"))
 
 
-def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drive a stream through all that is there now and read its result back from the files beside its checkpoint.
 
-    In complete mode each batch is the whole result and takes the place of the one before; in append mode a batch writes a
-    folder of its own, so one that is run again after a failure writes the same rows to the same place.
+    In append mode a row is written once, when the watermark says that it is final, and its state is let go; a batch writes a
+    folder of its own, so one that is run again after a failure writes the same rows to the same place.  In complete mode
+    each batch is the whole result and takes the place of the one before.  The stream's figures (rows in the state, rows
+    dropped as late) are beside the result, a line of JSON a batch.
     """
     result = f"{checkpoint}/result"
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{result}/batch_none")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{result}/batch_{number if mode == 'append' else 0}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
+    with rocks_state(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
+        figures = [(p["batchId"], o["numRowsTotal"], o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"]]
     finally:
         query.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{result}/*")
+    spark.createDataFrame(figures, FIGURES).coalesce(1).write.mode("append").json(f"{checkpoint}/figures")
+    return spark.read.schema(stream.schema).parquet(f"{result}/*")
+
+
+def figures(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(batch, state_rows, late_rows) of the runs over a checkpoint."""
+    return spark.read.schema(FIGURES).json(f"{checkpoint}/figures")
 
 
 def run_each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
