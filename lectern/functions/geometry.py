@@ -40,6 +40,42 @@ def merge_line_rects(rows: DataFrame, group: str, x: str, y: str, w: str, h: str
     return runs.groupBy(group, y, h, "__run").agg(F.min(x).alias(x), F.max(F.col(x) + F.col(w)).alias("right")).select(group, x, y, (F.col("right") - F.col(x)).alias(w), h)
 
 
+def range_rects(ranges: DataFrame, items: DataFrame, pages: DataFrame, key: str = "range_id", least: float = 0.0) -> DataFrame:
+    """(range, page, rects) of character ranges of page texts: each item that a range meets gives its share of the item's box.
+
+    ``ranges`` has (key, page, from, to); ``items`` (page, start, end, str, transform, width, height) with the place of each text item in
+    the page's text, its affine transform and its size; ``pages`` (page, page_width, page_height, rotation).  Blanks at an
+    item's ends are not covered, boxes of one line are merged, and the page's rotation is applied last.  Rectangles not over
+    ``least`` in both sizes fall away, and ranges that keep none too.
+    """
+    met = ranges.join(items, "page").where((F.col("start") < F.col("to")) & (F.col("end") > F.col("from"))).join(pages, "page")
+    n = F.length("str")
+    low, high = F.greatest(F.lit(0), F.col("from") - F.col("start")), F.least(n, F.col("to") - F.col("start"))
+    bare_from = n - F.length(F.regexp_replace("str", r"^\s+", ""))
+    bare_to = F.length(F.regexp_replace("str", r"\s+$", ""))
+    first = F.when(low == 0, F.greatest(low, bare_from)).otherwise(low)
+    last = F.when(high == n, F.least(high, bare_to)).otherwise(high)
+    t = lambda i: F.col("transform")[i]
+    placed = met.select(
+        key, "page", "page_width", "page_height", "rotation", "width", n.alias("n"), first.alias("first"), last.alias("last"), t(0).alias("a"), t(1).alias("b"), t(4).alias("left"), t(5).alias("base"),
+        F.sqrt(t(0) * t(0) + t(1) * t(1)).alias("along"), F.sqrt(t(2) * t(2) + t(3) * t(3)).alias("across"), "height",
+    ).where("first < last and along > 0 and across > 0 and page_width > 0 and page_height > 0")
+    tall = F.coalesce(F.nullif(F.col("height"), F.lit(0.0)), F.col("across"))
+    boxes = placed.select(
+        key, "page", "rotation",
+        ((F.col("left") + F.col("first") / F.col("n") * F.col("width") * F.col("a") / F.col("along")) / F.col("page_width")).alias("x"),
+        ((F.col("page_height") - F.col("base") - tall) / F.col("page_height")).alias("y"),
+        ((F.col("last") - F.col("first")) / F.col("n") * F.abs("width") / F.col("page_width")).alias("w"),
+        (tall / F.col("page_height")).alias("h"),
+    ).where("w > 0 and h > 0")
+    # heights and tops of one line differ by rounding alone
+    lined = boxes.withColumn("line", F.struct(F.col(key).alias("of"), F.col("page").alias("page"), F.col("rotation").alias("rotation"), F.round(F.col("y") * 5000).alias("top"), F.round(F.col("h") * 5000).alias("tall")))
+    tops = lined.groupBy("line").agg(F.min("y").alias("y"), F.min("h").alias("h"))
+    merged = merge_line_rects(lined.drop("y", "h").join(tops, "line"), "line", "x", "y", "w", "h").where((F.col("w") > least) & (F.col("h") > least))
+    turned = merged.select(F.col("line.of").alias(key), F.col("line.page").alias("page"), "y", "x", rotated(rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")), F.col("line.rotation")).alias("r"))
+    return turned.groupBy(key, "page").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r"))).alias("l")).select(key, "page", F.transform("l", lambda o: o["r"]).alias("rects"))
+
+
 def column_of(x0: Column, x1: Column, width: float) -> Column:
     """full, left or right: where a block of a page stands."""
     return F.when(x1 - x0 > width * 0.8, "full").when((x0 + x1) / 2 < width / 2, "left").otherwise("right")

@@ -45,10 +45,11 @@ def text_blocks(text: Column, lines_per_page: int = 40) -> Column:
     return F.filter(lines, lambda b: b["block_type"].isNotNull())
 
 
-# fixed values: the forms of list items, reference and appendix headings
-_LIST = re.compile(r"^([-•*]\s|\d+[.)]\s)")
-_REFERENCES = re.compile(r"^\d*\.?\s*(references|bibliography|works cited|literature cited)", re.IGNORECASE)
-_APPENDIX = re.compile(r"^(?i:appendix|supplementary)|^\(?[A-Z]\)?\.?\s+\S")
+_LIST, _REFERENCES, _LETTERED = re.compile(tx.LIST_ITEM), re.compile(tx.REFERENCE_HEADING, re.IGNORECASE), re.compile(tx.APPENDIX_LETTER)
+
+
+def is_appendix(title: str) -> bool:
+    return title.lower().startswith(tx.APPENDIX_WORDS) or bool(_LETTERED.match(title))
 
 
 def token_count(text: str) -> int:
@@ -117,7 +118,7 @@ class Fold:
             if title and _REFERENCES.match(title):
                 self.flush()
                 self.skipping = True
-            elif not self.skipping or (title and _APPENDIX.match(title)):
+            elif not self.skipping or (title and is_appendix(title)):
                 self.flush()
                 self.skipping = False
         elif self.skipping or (not text and kind not in ATOMIC):

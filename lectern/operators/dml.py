@@ -45,3 +45,8 @@ def check_violations(rows: DataFrame, **allowed) -> DataFrame:
     for name, values in allowed.items():
         bad = bad | ~F.coalesce(F.col(name).isin(*values), F.lit(False))
     return rows.where(bad)
+
+
+def backfill(rows: DataFrame, column: str, *sources: str) -> DataFrame:
+    """Fill a column's nulls from the first of the sources that has a value; what it has stays."""
+    return rows.withColumn(column, F.coalesce(column, *sources))

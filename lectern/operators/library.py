@@ -143,6 +143,20 @@ def makes_cycle(spark: SparkSession, edges: DataFrame, node, new_parent) -> bool
         jump = written(jump.join(further, "parent").select("node", F.col("next").alias("parent")), "jumps")
 
 
+def shared_view(shares: DataFrame, sets: DataFrame, notes: DataFrame, pdfs: DataFrame, users: DataFrame) -> DataFrame:
+    """What each share's link shows: a row for every annotation of its set, one without a note where the set is empty.
+
+    ``shares`` (token, set_id, shared_by, permission), ``sets`` (set_id, pdf_id, color), ``notes`` (set_id, turn, note), ``pdfs`` (pdf_id,
+    title), ``users`` (user_id, display_name, login).  Notes are shown to those who may comment; a paper or a sharer that is
+    gone is named as unknown, and a set without a colour has the default one.
+    """
+    opened = shares.join(sets, "set_id").join(pdfs, "pdf_id", "left").join(users, F.col("shared_by") == F.col("user_id"), "left").join(notes, "set_id", "left")
+    return opened.select(
+        "token", "set_id", "pdf_id", F.coalesce("title", F.lit("Unknown PDF")).alias("pdf_title"), "permission", F.coalesce("color", F.lit("#FFFF00")).alias("color"),
+        F.coalesce(F.nullif("display_name", F.lit("")), F.nullif("login", F.lit("")), F.lit("Unknown")).alias("shared_by"), "turn", F.when(F.col("permission") == "comment", F.col("note")).alias("note"),
+    )
+
+
 def swap_positions(rows: DataFrame, key: str, position: str, a, b) -> DataFrame:
     """Two siblings change places."""
     at = {r[key]: r[position] for r in rows.where(F.col(key).isin(a, b)).select(key, position).collect()}

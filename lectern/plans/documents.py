@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import json as js
 from ..functions import text as tx
-from ..operators import chunking, citations, documents
+from ..operators import blocks, chunking, citations, documents
 from ..sources.tables import table
 
 
@@ -154,10 +154,16 @@ def key_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marker text of pages to typed blocks, counted."""
-    pages = documents.pages_of(_marked(spark, sf_dir), "doc_id", "marked")
-    blocks = pages.select("page_number", F.explode(chunking.text_blocks(F.col("content"))).alias("b"))
-    return blocks.groupBy("page_number", F.col("b.block_type").alias("block_type")).agg(F.count(F.lit(1)).alias("n"))
+    """Texts in marked pages to typed blocks: headings that stay open over pages, tables between their marks, captions."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("--- PAGE 1 ---\n[HEADING L1] Doc "), n, F.lit("\n\n[HEADING L2] Part\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n[TABLE]\n| a |\n| "), n, F.lit(" |\n[/TABLE]\n--- PAGE 2 ---\n[TABLE CAPTION] Table 1: "), n,
+        F.lit("\n\n[HEADING L2] Next\n\n"), F.coalesce("text", F.lit("")),
+    )
+    pages = documents.pages_of(table(spark, sf_dir, "documents").select("doc_id", text.alias("marked")), "doc_id", "marked")
+    out = blocks.marked_blocks(pages, "doc_id", "page_number", "content")
+    grouped = out.groupBy("doc_id", "page_number", "block_type", F.array_join("section_path", " > ").alias("path"))
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), "|"), 256).alias("content_sha256"))
 
 
 QUERIES = {
@@ -220,8 +226,14 @@ SQL = {
       SELECT u AS user_id, feature, CASE WHEN has THEN CASE feature WHEN 'summary' THEN 'ana' ELSE 'conv-' || (u % 2) END END AS model,
         CASE WHEN own AND u % 10 <> 0 THEN 'no key' WHEN own THEN 'own' ELSE 'shared' END AS key, CASE WHEN NOT own THEN 20 END AS quota
       FROM u, (VALUES ('chat'), ('explain_paraphrase'), ('summary')) f(feature)""",
-    "legacy_blocks": rf"""WITH l AS (SELECT k, trim(line) AS line FROM ({_LINES})), t AS (SELECT k, CASE WHEN regexp_matches(line, '^[0-9]{{1,4}}$') THEN NULL WHEN regexp_matches(line, '^#{{1,6}} ') THEN 'heading'
-        WHEN regexp_matches(line, '^[ ]*\|.*\|[ ]*$') THEN 'table' WHEN regexp_matches(line, '^(\$\$|\\\[)') THEN 'equation' WHEN regexp_matches(line, '^(```|    )') THEN 'code'
-        WHEN regexp_matches(line, '^(?i)(figure|fig\.?|table|tab\.?)[ \t]*[0-9]+') THEN 'caption' WHEN line <> '' THEN 'paragraph' END AS t FROM l)
-      SELECT k::INT AS page_number, t AS block_type, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY 1, 2""",
+    "legacy_blocks": r"""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS part, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10) || chr(10)))::BIGINT)) AS k FROM documents),
+      t AS (SELECT doc_id, k, regexp_replace(part, '^[ \t\r\n\x0B\x0C]+|[ \t\r\n\x0B\x0C]+$', '', 'g') AS content FROM p),
+      g AS (SELECT doc_id, count(*) AS n, sha256(string_agg(content, '|' ORDER BY k)) AS h FROM t WHERE content <> '' GROUP BY doc_id)
+      SELECT doc_id, 1 AS page_number, 'paragraph' AS block_type, 'Doc ' || doc_id || ' > Part' AS path, n, h AS content_sha256 FROM g
+      UNION ALL SELECT doc_id, 2, 'paragraph', 'Doc ' || doc_id || ' > Next', n, h FROM g
+      UNION ALL SELECT doc_id, 1, 'heading', 'Doc ' || doc_id, 1, sha256('[HEADING L1] Doc ' || doc_id) FROM documents
+      UNION ALL SELECT doc_id, 1, 'heading', 'Doc ' || doc_id || ' > Part', 1, sha256('[HEADING L2] Part') FROM documents
+      UNION ALL SELECT doc_id, 2, 'heading', 'Doc ' || doc_id || ' > Next', 1, sha256('[HEADING L2] Next') FROM documents
+      UNION ALL SELECT doc_id, 1, 'table', 'Doc ' || doc_id || ' > Part', 1, sha256('| a |' || chr(10) || '| ' || doc_id || ' |') FROM documents
+      UNION ALL SELECT doc_id, 2, 'caption', 'Doc ' || doc_id || ' > Part', 1, sha256('[TABLE CAPTION] Table 1: ' || doc_id) FROM documents""",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, library, reading, retrieval, state, text, training, workflows
+from . import documents, library, pages, reading, retrieval, state, text, training, workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (retrieval, library, state, text, training, documents, reading, workflows)
+PARTS = (retrieval, library, state, text, training, documents, reading, workflows, pages)
 
 
 def queries() -> dict[str, Query]:

@@ -153,7 +153,7 @@ SQL = {
         OR (regexp_matches(s, '[.!?]') AND len(string_split_regex(s, '[ \t\r\n]+')) >= 8 AND NOT (length(s) < 80 AND regexp_matches(s, '[0-9]$'))))) AS n_good FROM s GROUP BY 1""",
     "block_classify": rf"""WITH l AS ({_LINES})
       SELECT CASE WHEN regexp_matches(trim(line), '^[0-9]{{1,4}}$') THEN 'none' WHEN regexp_matches(line, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(line, '^[ ]*\|.*\|[ ]*$') THEN 'table'
-        WHEN regexp_matches(line, '^(\$\$|\\\[)') THEN 'equation' WHEN regexp_matches(line, '^(```|    )') THEN 'code' WHEN regexp_matches(trim(line), '^(?i)(figure|fig\.?|table|tab\.?)[ \t]*[0-9]+') THEN 'caption'
+        WHEN regexp_matches(line, '^(\$\$|\\\[)') THEN 'equation' WHEN regexp_matches(line, '^(```|    )') THEN 'code' WHEN regexp_matches(trim(line), '^(?i)(figure|fig\.?|table|tab\.?)\s*[0-9]+[.:)\-\s]') THEN 'caption'
         WHEN trim(line) <> '' THEN 'paragraph' ELSE 'none' END AS kind,
         regexp_matches(trim(line), '^([-•*][ \t]|[0-9]+[.)][ \t])') AS listed,
         regexp_matches(lower(trim(line)), '^(appendix|supplementary)') OR regexp_matches(trim(line), '^\(?[A-Z]\)?\.?[ \t]+[^ \t]') AS appendix, count(*) AS n FROM l GROUP BY 1, 2, 3""",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json as js
 from ..functions import text as tx
-from ..operators import chunking, documents, matching, reading, state
+from ..operators import blocks, chunking, documents, matching, state
 from ..sources import tables
 from ..sources.scratch import new_folder
 from ..sources.tables import table
@@ -49,17 +49,21 @@ def synthesis_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of Markdown as typed blocks under their headings, which stay open over pages; page numbers alone on a line go."""
-    n = F.col("doc_id")
-    body = F.concat(
-        F.lit("# **Title** "), n.cast("string"), F.lit("\nFirst [words](http://x.y) here\n12\n## Part\nFig. 1 A caption\n| a | b |\n"), F.when(n % 2 == 0, F.lit("### Deep `code`\n")).otherwise(F.lit("")),
-        F.lit("Inside "), n.cast("string"), F.lit("\n# Next\n"), F.when(n % 3 == 0, F.lit("## \nunder untitled")).otherwise(F.lit("plain end")),
+    """Pages of Markdown as typed blocks under their headings, which stay open over pages: tables, lists and fences of several lines."""
+    n, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    numbered = lambda most, line: F.array_join(F.transform(F.sequence(F.lit(1), most.cast("int")), line), "")
+    table_rows = numbered(n % 4 + 1, lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), s, F.lit(" |\n")))
+    items = F.when(n % 3 > 0, numbered(n % 3, lambda i: F.concat(F.lit("- item "), i.cast("string"), F.lit(" of "), s, F.lit("\n  more\n")))).otherwise("")
+    first = F.concat(
+        F.lit("# **Title** "), s, F.lit("\n\nFirst [words](http://x.y) here\nrun on to "), s, F.lit("\n\n12\n\n## Part\nFig. 1. A *caption* of "), s,
+        F.lit("\n\nabove\n| a | b |\n|---|:-:|\n"), table_rows, F.lit("\n"), items, F.lit("\n```python\ncode "), s, F.lit("\n\n# none\n```\nTable 3\n\n----\n"),
     )
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    marks = F.regexp_extract("line", "^(#{1,6}) ", 1)
-    typed = lines.select("doc_id", "line_no", chunking.block_type(F.col("line")).alias("block_type"), F.when(marks != "", F.length(marks)).alias("level"), tx.clean_markdown(F.regexp_replace("line", "^#{1,6} ", "")).alias("plain")).where("block_type is not null")
-    out = reading.section_paths(typed, "doc_id", "line_no", "level", "plain")
-    return out.select("doc_id", "line_no", "block_type", "plain", F.array_join("section_path", " > ").alias("path"))
+    second = F.concat(F.lit("carried on "), s, F.lit("\n\nDeep "), s, F.lit("\n---\nlast\n### \n"))
+    pages = F.when(n % 2 == 0, F.array(first, second)).otherwise(F.array(first))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("k", "text")).withColumn("page", F.col("k") + 1)
+    out = blocks.markdown_blocks(d, "doc_id", "page", "text")
+    numbers = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+    return out.select("doc_id", "page", numbers.alias("block_no"), "block_type", "content", F.array_join("section_path", " > ").alias("path"))
 
 
 def owned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +125,22 @@ SQL = {
       SELECT doc_id * 10 AS id, 2 AS page, 'findings' AS category, length(t)::INT AS chars FROM q WHERE length(trim(regexp_replace(t, ' +', ' ', 'g'))) >= 10""",
     "synthesis_themes": """SELECT o_orderkey, 0 AS k, 'T' || o_orderkey AS name, 'd' AS description, CASE WHEN o_orderkey % 4 IN (2, 3) THEN 'p1,p' || (o_orderkey % 4) ELSE 'p1' END AS papers FROM orders
       UNION ALL SELECT o_orderkey, 1, trim(o_orderpriority), '', '' FROM orders""",
-    "markdown_blocks": """WITH b AS (SELECT doc_id, doc_id % 2 = 0 AS e, doc_id % 3 = 0 AS t, 'Title ' || doc_id AS h FROM documents),
-      r AS (SELECT doc_id, 0 AS line_no, 'heading' AS block_type, h AS plain, h AS path FROM b
-        UNION ALL SELECT doc_id, 1, 'paragraph', 'First words here', h FROM b
-        UNION ALL SELECT doc_id, 3, 'heading', 'Part', h || ' > Part' FROM b
-        UNION ALL SELECT doc_id, 4, 'caption', 'Fig. 1 A caption', h || ' > Part' FROM b
-        UNION ALL SELECT doc_id, 5, 'table', '| a | b |', h || ' > Part' FROM b
-        UNION ALL SELECT doc_id, 6, 'heading', 'Deep code', h || ' > Part > Deep code' FROM b WHERE e
-        UNION ALL SELECT doc_id, 6 + e::INT, 'paragraph', 'Inside ' || doc_id, h || ' > Part' || CASE WHEN e THEN ' > Deep code' ELSE '' END FROM b
-        UNION ALL SELECT doc_id, 7 + e::INT, 'heading', 'Next', 'Next' FROM b
-        UNION ALL SELECT doc_id, 8 + e::INT, 'heading', '', 'Next > (untitled)' FROM b WHERE t
-        UNION ALL SELECT doc_id, 9 + e::INT, 'paragraph', 'under untitled', 'Next > (untitled)' FROM b WHERE t
-        UNION ALL SELECT doc_id, 8 + e::INT, 'paragraph', 'plain end', 'Next' FROM b WHERE NOT t)
-      SELECT * FROM r""",
+    "markdown_blocks": """WITH b AS (SELECT doc_id, doc_id % 2 = 0 AS two, 'Title ' || doc_id AS h, 'Title ' || doc_id || ' > Part' AS p, doc_id::VARCHAR AS s FROM documents),
+      i AS (SELECT *, unnest(generate_series(1, (doc_id % 3)::BIGINT)) AS i FROM b),
+      r AS (SELECT doc_id, 1 AS page, 0.0::DOUBLE AS pos, 'heading' AS block_type, '# **Title** ' || s AS content, h AS path FROM b
+        UNION ALL SELECT doc_id, 1, 1, 'paragraph', 'First [words](http://x.y) here' || chr(10) || 'run on to ' || s, h FROM b
+        UNION ALL SELECT doc_id, 1, 2, 'heading', '## Part', p FROM b
+        UNION ALL SELECT doc_id, 1, 3, 'caption', 'Fig. 1. A *caption* of ' || s, p FROM b
+        UNION ALL SELECT doc_id, 1, 4, 'paragraph', 'above', p FROM b
+        UNION ALL SELECT doc_id, 1, 5, 'table', '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || array_to_string(list_transform(generate_series(1, (doc_id % 4 + 1)::BIGINT), lambda k: '| ' || k || ' | ' || s || ' |'), chr(10)), p FROM b
+        UNION ALL SELECT doc_id, 1, 6 + i / 10.0, 'paragraph', '- item ' || i || ' of ' || s || chr(10) || '  more', p FROM i
+        UNION ALL SELECT doc_id, 1, 7, 'code', 'code ' || s || chr(10) || chr(10) || '# none' || chr(10), p FROM b
+        UNION ALL SELECT doc_id, 1, 8, 'paragraph', 'Table 3', p FROM b
+        UNION ALL SELECT doc_id, 2, 9, 'paragraph', 'carried on ' || s, p FROM b WHERE two
+        UNION ALL SELECT doc_id, 2, 10, 'heading', 'Deep ' || s || chr(10) || '---', h || ' > Deep ' || s FROM b WHERE two
+        UNION ALL SELECT doc_id, 2, 11, 'paragraph', 'last', h || ' > Deep ' || s FROM b WHERE two
+        UNION ALL SELECT doc_id, 2, 12, 'heading', '### ', h || ' > Deep ' || s || ' > (untitled)' FROM b WHERE two)
+      SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS block_no, block_type, content, path FROM r""",
     "owned_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7",
     "jsonl_sink": "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark",
     "json_array_sink": """SELECT '[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']' AS json FROM region""",
