@@ -30,7 +30,7 @@ def uuid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 90 + 1
-    answer = F.concat(F.lit("See [Page "), n.cast("string"), F.lit("] and [Pages "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit(" · "), F.col("lang"), F.lit("], not [Page x] or [page 3]. "), F.substring("text", 1, 200))
+    answer = F.concat(F.lit("See [Page "), n.cast("string"), F.lit("] and [Pages "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit(" · "), F.col("lang"), F.lit("], not [Page x] or [page 3]. "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lb.start_pages(answer), ",").alias("pages"))
 
 
@@ -126,8 +126,9 @@ def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("length(text) >= 200")
-    return d.select("doc_id", *(reading.sentence_start(F.col("text"), F.lit(40), F.lit(200), skip).alias(name) for name, skip in (("forward", True), ("back", False))))
+    """Where the last sentence of each text begins, with and without regard to abbreviations."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", *(reading.sentence_start(F.col("text"), F.lit(0), F.length("text"), skip).alias(name) for name, skip in (("forward", True), ("back", False))))
 
 
 def heading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +197,7 @@ QUERIES = {f.__name__: f for f in (prompt_hashes, uuid_lists, page_references, a
 WITH = "WITH " + model.SQL
 _UUID = "regexp_replace(md5(c_custkey::VARCHAR), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
 _NEXT = _UUID.replace("c_custkey::VARCHAR", "(c_custkey + 1)::VARCHAR")
+_SHORT = "|".join(a.replace(".", "[.]") for a in reading.ABBREVIATIONS)
 _PAGES = "SELECT doc_id, replace(replace(text, chr(10), ' '), '. ', '.' || chr(10) || chr(10)) AS t FROM documents WHERE text IS NOT NULL"
 _MEMBERS = """m AS (SELECT n_nationkey AS pdf_id, CASE WHEN n_nationkey % 4 = 0 THEN 'Same title' ELSE n_name END AS pdf_title,
   CASE WHEN n_nationkey % 3 > 0 THEN lower(n_name) END AS authors, CASE WHEN n_nationkey % 2 = 0 THEN 1990 + n_nationkey END AS year FROM nation WHERE n_nationkey < 10)"""
@@ -203,7 +205,7 @@ _FUSE = "round(coalesce(v.score, 0) * 0.7 + coalesce(k.kw, 0) * 0.3, 6)"
 SQL = {
     "prompt_hashes": "SELECT doc_id, sha256('Summarise: ' || coalesce(text, '')) AS prompt_sha256 FROM documents",
     "uuid_lists": f"""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN {_UUID} ELSE {_UUID} || ',' || {_NEXT} END AS ids FROM customer""",
-    "page_references": r"""WITH t AS (SELECT doc_id, 'See [Page ' || (doc_id % 90 + 1) || '] and [Pages ' || (doc_id % 90 + 3) || '-' || (doc_id % 90 + 5) || ' · ' || lang || '], not [Page x] or [page 3]. ' || substr(text, 1, 200) AS a FROM documents)
+    "page_references": r"""WITH t AS (SELECT doc_id, 'See [Page ' || (doc_id % 90 + 1) || '] and [Pages ' || (doc_id % 90 + 3) || '-' || (doc_id % 90 + 5) || ' · ' || lang || '], not [Page x] or [page 3]. ' || text AS a FROM documents)
       SELECT doc_id, array_to_string(regexp_extract_all(coalesce(a, ''), '\[Pages? (\d+)(-\d+)?(\s*·\s*[^\]]+)?\]', 1), ',') AS pages FROM t""",
     "author_labels": """WITH t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat_ws(', ', c_name, c_name, c_name, c_name) WHEN 2 THEN '; ' || concat_ws('; ', c_name, c_mktsegment, c_name, c_name) ELSE repeat(c_name || ' ', 5) END AS a FROM customer)
       SELECT c_custkey, CASE WHEN length(a) <= 60 THEN a WHEN regexp_matches(trim(a, ' ,;'), '[,;]') THEN trim(regexp_extract(a, '[^,; ][^,;]*')) || ' et al.' ELSE substr(a, 1, 57) || '…' END AS label FROM t""",
@@ -228,6 +230,12 @@ SQL = {
       SELECT user_id, count(*) FILTER (event_type = 'error' AND k > reset) AS attempts FROM n JOIN r USING (user_id) GROUP BY user_id HAVING count(*) FILTER (event_type = 'error' AND k > reset) < 3""",
     "stream_frames": """WITH w AS (SELECT conv_id || '-' || turn AS message, unnest(string_split(text, ' ')) AS w FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
       SELECT message, count(*) AS n_frames, sum(length(w))::BIGINT AS chars FROM w WHERE w <> '' GROUP BY message""",
+    "sentence_starts": f"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '(?i)({_SHORT})[.!?]', '\\1_', 'g') AS masked FROM documents WHERE text IS NOT NULL),
+      e AS (SELECT doc_id, length(regexp_extract(masked, '(?s)^(.*[.!?]\\s+)[A-Z]', 1)) AS f, length(regexp_extract(text, '(?s)^(.*[.!?]\\s+)[A-Z]', 1)) AS b FROM t)
+      SELECT doc_id, CASE WHEN f > 0 THEN f ELSE -1 END AS forward, CASE WHEN b > 0 THEN b ELSE -1 END AS back FROM e""",
+    "heading_parse": """WITH d AS (SELECT doc_id, 'Start of ' || doc_id AS s, length('[HEADING L2] Start of ' || doc_id) + 1 AS n FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, 0 AS at, s AS title, 2 AS level FROM d UNION ALL SELECT doc_id, n, 'Results', 1 FROM d
+      UNION ALL SELECT doc_id, n + 9, 'Some Detail', 2 FROM d UNION ALL SELECT doc_id, n + 26, 'An Overview Of Everything', 2 FROM d""",
     "paragraph_offsets": f"""WITH t AS ({_PAGES}), p AS (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS ps FROM t),
       f AS (SELECT doc_id, unnest(ps) AS p, unnest(generate_series(1, len(ps)::BIGINT)) AS k FROM p),
       o AS (SELECT *, sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY k) - length(p) - 2 AS start FROM f)

@@ -19,9 +19,9 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return c.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), reply.alias("reply"), F.when(F.col("conv_id") % 2 == 0, "collection").otherwise("single_pdf").alias("scope"),
-        F.array(*(chunk(i) for i in (1, 2, 3, 4))).alias("retrieved"), F.substring("text", 1, 40).alias("query_text"),
+        F.array(*(chunk(i) for i in (1, 2, 3, 4))).alias("retrieved"), F.col("text").alias("query_text"),
         F.array(F.col("conv_id") * 10 + 1, F.col("conv_id") * 10 + F.col("turn") % 6).alias("cited_chunk_ids"), (F.col("conv_id") % 5 != 0).alias("training_eligible"),
-        F.lit("You answer from the excerpts.").alias("system_prompt"), F.array(F.struct(F.lit("user").alias("role"), F.substring("text", 1, 40).alias("content"))).alias("prompt_messages"),
+        F.lit("You answer from the excerpts.").alias("system_prompt"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt_messages"),
         F.col("text").alias("assistant_reply"), F.lit("model-a").alias("llm_model"),
     )
 
@@ -71,11 +71,11 @@ SQL = {
       SELECT parse_status, count(*) AS n FROM p GROUP BY 1""",
     "chunk_feedback": f"""{_EVENTS}, f AS (SELECT id, first_id, min(citation_rank) AS citation_rank FROM s WHERE status = 'matched' GROUP BY 1, 2)
       SELECT c.id, c.conv_id * 10 + i AS chunk_id, i AS retrieval_rank, citation_rank, citation_rank IS NOT NULL AS was_cited FROM c CROSS JOIN k LEFT JOIN f ON f.id = c.id AND f.first_id = c.conv_id * 10 + i""",
-    "embedding_pairs": f"""WITH c AS (SELECT conv_id * 100 + turn AS id, conv_id, turn % 6 AS t, substr(text, 1, 40) AS q FROM conversations WHERE role = 'assistant' AND {_CITED}),
+    "embedding_pairs": f"""WITH c AS (SELECT conv_id * 100 + turn AS id, conv_id, turn % 6 AS t, text AS q FROM conversations WHERE role = 'assistant' AND {_CITED}),
       p AS (SELECT DISTINCT id, conv_id, t, q, unnest([1, t]) AS i FROM c)
       SELECT id AS interaction_id, q AS query, conv_id * 10 + i AS positive_id, array_to_string(list_transform(list_filter([1, 2, 3], lambda k: k <> 1 AND k <> t), lambda k: (conv_id * 10 + k)::VARCHAR), ',') AS negative_ids
       FROM p WHERE i BETWEEN 1 AND 4""",
     "sft_messages": f"""SELECT conv_id * 100 + turn AS interaction_id, 'model-a' AS llm_model, 3 AS n,
-      'system:' || sha256('You answer from the excerpts.') || ';user:' || sha256(substr(text, 1, 40)) || ';assistant:' || sha256(text) AS digest FROM conversations WHERE role = 'assistant' AND {_CITED}""",
-    "eval_set": "SELECT conv_id * 100 + turn AS interaction_id, substr(text, 1, 40) AS query, (conv_id * 10 + 1) || ',' || (conv_id * 10 + turn % 6) AS relevant, 4 AS retrieved FROM conversations WHERE role = 'assistant'",
+      'system:' || sha256('You answer from the excerpts.') || ';user:' || sha256(text) || ';assistant:' || sha256(text) AS digest FROM conversations WHERE role = 'assistant' AND {_CITED}""",
+    "eval_set": "SELECT conv_id * 100 + turn AS interaction_id, text AS query, (conv_id * 10 + 1) || ',' || (conv_id * 10 + turn % 6) AS relevant, 4 AS retrieved FROM conversations WHERE role = 'assistant'",
 }

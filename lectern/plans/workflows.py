@@ -27,7 +27,7 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def highlight_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's reply names quotes; those that stand in the passage are kept, one row each, with their category."""
-    d = table(spark, sf_dir, "documents").where("length(text) >= 200").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"[^A-Za-z0-9 .,]", "").alias("passage"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 .,]", "").alias("passage"))
     quote = lambda start: F.substring("passage", start, 40)
     reply = F.concat(F.lit('```json\n[{"text": "'), quote(5), F.lit('", "page": 2, "category": "findings", "reason": "a"}, {"text": "'), F.repeat(F.lit("zq"), 20), F.lit('", "category": "methods"}, {"page": 3}]\n```'))
     found = d.select("doc_id", "passage", F.posexplode(js.highlights(reply)).alias("k", "h")).select((F.col("doc_id") * 10 + F.col("k")).alias("id"), "passage", "h.text", "h.page", "h.category")
@@ -93,7 +93,7 @@ def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines can be section titles, and which head a list of references."""
-    title = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" 7. References "), F.col("lang"))).when(F.col("doc_id") % 4 == 1, F.lit("   ")).otherwise(F.substring("text", 1, 150 + (F.col("doc_id") % 100).cast("int")))
+    title = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" 7. References "), F.col("lang"))).when(F.col("doc_id") % 4 == 1, F.lit("   ")).otherwise(F.col("text"))
     d = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
     return d.select("doc_id", F.length(tx.valid_section_title(F.col("title"))).alias("chars"), tx.is_reference_heading(F.col("title")).alias("references"))
 
@@ -120,7 +120,7 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (index_documents, highlight_extraction, synthesis_themes, markdown_blocks, owned_lookup, jsonl_sink, json_array_sink, uploaded_files, section_titles, job_progress, layout_title, stream_rates)}
 
 SQL = {
-    "highlight_extraction": """WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9 .,]', '', 'g') AS p FROM documents WHERE length(text) >= 200),
+    "highlight_extraction": """WITH d AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
       q AS (SELECT doc_id, substr(p, 5, 40) AS t FROM d)
       SELECT doc_id * 10 AS id, 2 AS page, 'findings' AS category, length(t)::INT AS chars FROM q WHERE length(trim(regexp_replace(t, ' +', ' ', 'g'))) >= 10""",
     "synthesis_themes": """SELECT o_orderkey, 0 AS k, 'T' || o_orderkey AS name, 'd' AS description, CASE WHEN o_orderkey % 4 IN (2, 3) THEN 'p1,p' || (o_orderkey % 4) ELSE 'p1' END AS papers FROM orders
@@ -145,7 +145,7 @@ SQL = {
     "jsonl_sink": "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark",
     "json_array_sink": """SELECT '[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']' AS json FROM region""",
     "uploaded_files": "SELECT n AS name, true AS whole, true AS has_magic FROM (VALUES ('region.parquet'), ('nation.parquet')) v(n)",
-    "section_titles": r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' 7. References ' || lang WHEN 1 THEN '   ' ELSE substr(text, 1, (150 + doc_id % 100)::INT) END AS t FROM documents)
+    "section_titles": r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' 7. References ' || lang WHEN 1 THEN '   ' ELSE text END AS t FROM documents)
       SELECT doc_id, CASE WHEN length(trim(t)) BETWEEN 1 AND 200 THEN length(trim(t)) END::INT AS chars, regexp_matches(lower(trim(t)), '^[0-9]*\.?[ \t]*(references|bibliography|works cited|literature cited)') AS references FROM t""",
     "job_progress": "SELECT l_orderkey, (100 * count(*) FILTER (l_shipdate < TIMESTAMP '1995-06-17') // count(*))::INT AS percent FROM lineitem GROUP BY 1",
     "layout_title": """WITH u AS (SELECT *, l_quantity / 10 AS s, max(l_quantity / 10) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_linenumber * 100 <= 480)
