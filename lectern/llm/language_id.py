@@ -75,8 +75,13 @@ class LanguageModel:
 
 
 def fit_language_model(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2) -> LanguageModel:
+    return fit_presence_sets(presence(pa.array(texts)), langs, landmarks, ridge)
+
+
+def fit_presence_sets(sets: np.ndarray, langs: list[str], landmarks: int = 256, ridge: float = 1e-2) -> LanguageModel:
+    """The model from texts' presence sets, a row of 0 and 1 each."""
     languages = tuple(sorted(set(langs)))
-    sets = presence(pa.array(texts)).astype(np.float32)
+    sets = sets.astype(np.float32)
     sets /= np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1))
     # landmarks: every language in turn, in the sample's order, so that a rare one has its share
     seen: dict[str, int] = {}
@@ -92,7 +97,7 @@ def fit_language_model(texts: list[str], langs: list[str], landmarks: int = 256,
     z = (sets @ marks.T).astype(np.float64) @ root
     y = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     mean = y.mean(axis=0)
-    coef = np.linalg.solve(z.T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ (y - mean))
+    coef = np.linalg.solve(z.T @ z + ridge * len(langs) / 100 * np.eye(z.shape[1]), z.T @ (y - mean))
     return LanguageModel(languages, (marks.T.astype(np.float64) @ root @ coef).astype(np.float32), mean.astype(np.float32), 4.0)
 
 
@@ -120,6 +125,14 @@ def _predict(model):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The presence set of each text, a bit a place."""
+    for batch in batches:
+        for part in text_slices(batch, limit=1 << 20):
+            sets = np.packbits(presence(column(part, "text")), axis=1)
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "lang"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "lang", "bits"])
+
+
 def identify_language(docs: DataFrame, labelled: Column, per_language: int = 500, landmarks: int = 256) -> DataFrame:
     """Predict the language of every whole text: doc_id, lang_pred, score (0 to 1).
 
@@ -129,7 +142,9 @@ def identify_language(docs: DataFrame, labelled: Column, per_language: int = 500
     empty result.
     """
     known = only(docs.withColumn("__known", labelled), "doc_id", "text", "lang", "__known").where("__known and lang is not null and text is not null")
-    rows = sample_by_class(known, "lang", per_language).orderBy("doc_id", "lang", "text").collect()  # per_language rows a language
-    model = fit_language_model([r["text"] for r in rows], [r["lang"] for r in rows], landmarks) if rows else None
+    # a kilobyte a row, however long its text is
+    rows = sample_by_class(known, "lang", per_language).mapInArrow(_packed, "doc_id long, lang string, bits binary").orderBy("doc_id", "lang", "bits").collect()
+    sets = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1) if rows else None
+    model = fit_presence_sets(sets, [r["lang"] for r in rows], landmarks) if rows else None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # width x languages floats
     return only(docs, "doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
