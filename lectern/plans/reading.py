@@ -160,7 +160,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paper_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers behind the best chunks, each title once, in the order in which they were found, as lines of a prompt."""
-    top = search.vector_top_k(model.vectors(spark, sf_dir), model.query_vector(spark, sf_dir), 30).join(F.broadcast(_members(spark, sf_dir)), "pdf_id")
+    top = search.vector_top_k(model.vectors(spark, sf_dir), model.query_vector(spark, sf_dir), 30).join(_members(spark, sf_dir), "pdf_id")
     first = Window.partitionBy("pdf_title").orderBy(F.desc("score"), "id")
     once = top.withColumn("k", F.row_number().over(first)).where("k = 1")
     numbered = once.withColumn("number", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
