@@ -41,8 +41,17 @@ def _regions(word: str) -> tuple[int, int]:
     return first, second
 
 
-def _ending(word: str, endings) -> str | None:
-    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+def _longest_first(*endings: str) -> tuple[str, ...]:
+    return tuple(sorted(endings, key=len, reverse=True))
+
+
+PAST_ENDINGS = _longest_first("eed", "eedly", "ed", "edly", "ing", "ingly")
+ENDINGS2, ENDINGS3, ENDINGS4 = _longest_first(*STEP2, "ogi", "li"), _longest_first(*STEP3, "ative"), _longest_first(*STEP4, "ion")
+
+
+def _ending(word: str, endings: tuple[str, ...]) -> str | None:
+    """The longest of the endings, given longest first, that a word has."""
+    return next(e for e in endings if word.endswith(e)) if word.endswith(endings) else None
 
 
 def _plural(word: str) -> str:
@@ -56,7 +65,7 @@ def _plural(word: str) -> str:
 
 
 def _past(word: str, first: int) -> str:
-    end = _ending(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    end = _ending(word, PAST_ENDINGS)
     if end in ("eed", "eedly"):
         return word[: -len(end)] + "ee" if len(word) - len(end) >= first else word
     if end and re.search(_VOWEL, word[: -len(end)]):
@@ -86,7 +95,7 @@ def stem(word: str) -> str:
     word = _past(word, first)
     if len(word) > 2 and word[-1] in "yY" and word[-2] not in "aeiouy":
         word = word[:-1] + "i"
-    end = _ending(word, (*STEP2, "ogi", "li"))
+    end = _ending(word, ENDINGS2)
     if end and len(word) - len(end) >= first:
         if end == "ogi":
             word = word[:-1] if word.endswith("logi") else word
@@ -94,13 +103,13 @@ def stem(word: str) -> str:
             word = word[:-2] if word[-3:-2] and word[-3] in "cdeghkmnrt" else word
         else:
             word = word[: -len(end)] + STEP2[end]
-    end = _ending(word, (*STEP3, "ative"))
+    end = _ending(word, ENDINGS3)
     if end and len(word) - len(end) >= first:
         if end != "ative":
             word = word[: -len(end)] + STEP3[end]
         elif len(word) - len(end) >= second:
             word = word[: -len(end)]
-    end = _ending(word, (*STEP4, "ion"))
+    end = _ending(word, ENDINGS4)
     if end and len(word) - len(end) >= second and (end != "ion" or word.endswith(("sion", "tion"))):
         word = word[: -len(end)]
     if word.endswith("e"):

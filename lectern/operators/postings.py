@@ -59,31 +59,54 @@ def _ranks(positions: pd.Series) -> pd.Series:
     return pd.Series([rank_positions([np.asarray(p, dtype=np.int64) for p in of]) for of in positions], dtype="float64")
 
 
+WORD = re.compile(r"[^\W_]+")  # letters and digits of any script
+SLICE_CHARS = 1 << 21
+
+
 def lexemes(text: str) -> dict[str, list[int]]:
     """Places of each lexeme of a text: words of letters and digits, from 1, stop words counted as places but not kept."""
-    out: dict[str, list[int]] = {}
-    for place, word in enumerate(re.findall(r"[^\W_]+", text.lower()), 1):
-        if word not in english.STOP_WORDS:
-            out.setdefault(english.stem(word), []).append(place)
-    return out
+    _, lexeme, positions = _of_texts(pa.array([0]), [text], None)
+    return dict(zip(lexeme.to_pylist(), positions.to_pylist(), strict=True))
+
+
+def _of_texts(keys: pa.Array, texts: list[str], only: frozenset[str] | None) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Keys, lexemes and places of some texts: each distinct word is stemmed once, the rest is sorting numbers."""
+    words: list[str] = []
+    counts = []
+    for text in texts:
+        found = WORD.findall(text.lower())
+        words += found
+        counts.append(len(found))
+    named = pa.array(words, pa.string()).dictionary_encode()
+    stems: dict[str, int] = {}
+    of_word = np.full(len(named.dictionary), -1, np.int64)
+    for i, word in enumerate(named.dictionary.to_pylist()):
+        stem = None if word in english.STOP_WORDS else english.stem(word)
+        if stem is not None and (only is None or stem in only):
+            of_word[i] = stems.setdefault(stem, len(stems))
+    counts = np.array(counts, np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    lexeme = of_word[np.asarray(named.indices)]
+    kept = lexeme >= 0
+    both = row[kept] * max(1, len(stems)) + lexeme[kept]
+    order = np.argsort(both, kind="stable")
+    once, first = np.unique(both[order], return_index=True)
+    bounds = pa.array(np.append(first, len(order)), pa.int32())
+    lists = pa.ListArray.from_arrays(bounds, pa.array(place[kept][order], pa.int32()))
+    return keys.take(pa.array(once // max(1, len(stems)))), pa.array(list(stems), pa.string()).take(pa.array(once % max(1, len(stems)))), lists
 
 
 def _postings(only: frozenset[str] | None):
-    schema = pa.schema([("key", pa.int64()), ("lexeme", pa.string()), ("positions", pa.list_(pa.int32()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, lexeme, positions = [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for x, at in lexemes(text.as_py() or "").items():
-                    if only is None or x in only:
-                        key.append(k)
-                        lexeme.append(x)
-                        positions.append(at)
-                if len(key) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((key, lexeme, positions), schema, strict=True)], schema=schema)
-                    key, lexeme, positions = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((key, lexeme, positions), schema, strict=True)], schema=schema)
+            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            at, held = 0, 0
+            for i, text in enumerate(texts):
+                held += len(text)
+                if held > SLICE_CHARS or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays(list(_of_texts(keys[at : i + 1], texts[at : i + 1], only)), names=["key", "lexeme", "positions"])
+                    at, held = i + 1, 0
 
     return run
 
