@@ -129,3 +129,13 @@ def test_pipeline_of_empty_tables(spark, small_tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_folds_of_rows_without_an_id(spark, small_tables):
+    """Queries with folds say of every row whether it was held out; rows without an id count as the id ''."""
+    from lectern.llm import q_op2, q_op9, q_op13
+
+    sf, rows = small_tables
+    for query, fold in ((q_op2.op2_language_id, False), (q_op9.op9_toxicity, True), (q_op13.op13_lm_score, False)):
+        got = [(r["doc_id"], r["held_out"]) for r in query(spark, sf).collect()]
+        assert len(got) == len(rows) and all(h in (True, False) for _, h in got) and {h for d, h in got if d is None} == {fold}
