@@ -232,7 +232,7 @@ SQL = {
     "tree_levels": """WITH RECURSIVE t AS (SELECT doc_id AS node, doc_id AS root, 0::BIGINT AS depth FROM documents WHERE doc_id % 1000 = 0
       UNION ALL SELECT doc_id, root, depth + 1 FROM t JOIN documents ON doc_id = node + 1 AND doc_id % 1000 <> 0) SELECT * FROM t""",
     "tree_closure": """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-      t AS (SELECT parent AS ancestor, node, 1 AS depth FROM e UNION ALL SELECT e.parent, t.node, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor)
+      t AS (SELECT parent AS ancestor, node, 1::BIGINT AS depth FROM e UNION ALL SELECT e.parent, t.node, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor)
       SELECT ancestor, node, depth FROM t""",
     "reparent_swap": """WITH n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN n_nationkey // 3 END AS parent_id, n_nationkey % 3 AS position FROM nation)
       SELECT id, CASE WHEN parent_id = 2 THEN (SELECT parent_id FROM n WHERE id = 2) ELSE parent_id END AS parent_id,

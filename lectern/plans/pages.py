@@ -48,7 +48,7 @@ def quote_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.concat(F.lit("begins "), F.md5(name.cast("binary")), F.md5(F.concat(F.lit("x"), name).cast("binary")))
     pages = d.select("source", F.row_number().over(upto).alias("page"), "doc_id", F.concat(F.lit("Here "), quote, F.lit(" "), F.col("text")).alias("text"))
     quotes = pages.select(F.col("doc_id").alias("quote_id"), "source", (F.col("page") + F.col("doc_id") % 4).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.upper(quote)).otherwise(quote).alias("quote"))
-    return matching.relocate_quotes(quotes, pages.drop("doc_id"), "quote_id").select("quote_id", "page", "method", "start", "prefix")
+    return matching.relocate_quotes(quotes, pages.drop("doc_id"), "quote_id").select("quote_id", F.col("page").cast("int").alias("page"), "method", "start", "prefix")
 
 
 def shared_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
         round(CASE turn WHEN 0 THEN x WHEN 1 THEN 1 - y - h WHEN 2 THEN 1 - x - w ELSE y END, 6) AS x, round(CASE turn WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 1 - y - h ELSE 1 - x - w END, 6) AS y,
         round(CASE WHEN turn IN (0, 2) THEN w ELSE h END, 6) AS w, round(CASE WHEN turn IN (0, 2) THEN h ELSE w END, 6) AS h FROM r""",
     "quote_pages": """WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS page FROM documents WHERE text IS NOT NULL)
-      SELECT doc_id AS quote_id, page, CASE WHEN doc_id % 3 = 0 THEN 'normalized' ELSE 'exact' END AS method, 5 AS start, 'Here ' AS prefix FROM p WHERE doc_id % 4 <= 2""",
+      SELECT doc_id AS quote_id, page, CASE WHEN doc_id % 3 = 0 THEN 'normalized' ELSE 'exact' END AS method, 5::BIGINT AS start, 'Here ' AS prefix FROM p WHERE doc_id % 4 <= 2""",
     "shared_view": """WITH s AS (SELECT DISTINCT conv_id AS id FROM conversations)
       SELECT 't' || s.id AS token, s.id AS set_id, s.id % 30 AS pdf_id, coalesce(n_name, 'Unknown PDF') AS pdf_title, CASE WHEN s.id % 2 = 0 THEN 'comment' ELSE 'view' END AS permission,
         CASE WHEN s.id % 3 <> 0 THEN '#00FF00' ELSE '#FFFF00' END AS color, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, CASE WHEN s_suppkey % 3 = 0 THEN 'login' END, 'Unknown') AS shared_by,
