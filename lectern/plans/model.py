@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import query_terms
 from ..operators.postings import PostingsIndex
-from ..sources.scratch import new_folder
+from ..sources.scratch import exists, new_folder
 from ..sources.tables import table
 
 QUERY_ID = 0
@@ -38,9 +38,9 @@ _INDEXES: dict[tuple[str, str], PostingsIndex] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> PostingsIndex:
-    """The stored postings of the chunks' texts: built by the first question of a session, read by all."""
+    """The stored postings of the chunks' texts: built by the first question of a session, read by all while they are there."""
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _INDEXES:
+    if at not in _INDEXES or not exists(spark, _INDEXES[at].folder):
         rows = chunks(spark, sf_dir).select("id", "content")
         _INDEXES[at] = PostingsIndex(spark, new_folder(spark, "text_index"), buckets=16).write(rows, 0)
     return _INDEXES[at]

@@ -28,6 +28,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}_{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a frame to the shared folder and read it back, so that a lost executor costs a reread of its part."""
     path = new_folder(df.sparkSession, name)
