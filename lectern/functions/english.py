@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # fixed values: the usual English stop words
 STOP_WORDS = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs

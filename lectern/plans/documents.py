@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import json as js
 from ..functions import text as tx
-from ..operators import blocks, chunking, citations, documents
+from ..operators import blocks, citations, documents
 from ..sources.tables import table
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identifiers as ids
 from ..operators import dml, library
 from ..sources.tables import table
 
