@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .common import column, only, sample_by_class
 from .words import text_bytes, text_slices
