@@ -142,7 +142,9 @@ class PostingsIndex:
         rows = postings(chunks, key=key, content=content).withColumn("bucket", bucket_of(F.col("lexeme"), self.buckets))
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(self.spread))).sortWithinPartitions("bucket", "lexeme", "key")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
-        chunks.select(F.col(key).cast("long").alias("key")).distinct().write.mode("overwrite").parquet(f"{self.folder}/changed/segment={segment}")
+        # nothing is older than segment 0
+        changed = chunks.select(F.col(key).cast("long").alias("key")).distinct() if segment else self.spark.createDataFrame([], "key long")
+        changed.write.mode("overwrite").parquet(f"{self.folder}/changed/segment={segment}")
         return self
 
     def postings_of(self, terms: Sequence[str]) -> DataFrame:
