@@ -58,7 +58,9 @@ def valid_isbn(text: Column) -> Column:
 
 
 def first_year(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
+    """The first number that can be a year; digits of a DOI or of an arXiv number are none."""
+    bare = F.regexp_replace(text, rf"(?i){DOI}|arxiv:[ ]*[0-9]{{4}}\.[0-9]{{4,5}}", " ")
+    return F.nullif(F.regexp_extract(bare, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
 
 
 def first_author(authors: Column) -> Column:

@@ -106,6 +106,11 @@ def test_ranges_and_urls(spark):
     assert one(spark, ids.masked_key(F.lit("sk-12345678"))) == "••••5678"
 
 
+def test_year_is_not_taken_from_an_identifier(spark):
+    assert one(spark, ids.first_year(F.lit("See (doi:10.1234/AB.1990). Also arXiv:1901.2001v2 of 2013."))) == 2013
+    assert one(spark, ids.first_year(F.lit("Only 10.1234/2001"))) is None and one(spark, ids.first_year(F.lit("(1999), 2001"))) == 1999
+
+
 def test_title_rules(spark):
     assert one(spark, tx.title_matches(F.lit("deep nets"), F.lit("On Deep Nets, again"))) is True
     assert one(spark, tx.title_matches(F.lit("deep cats sing"), F.lit("Deep nets"))) is False
