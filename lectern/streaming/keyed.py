@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STALE_MS = 600_000
 DECISION = "key long, request long, at_ms long, outcome string"
 FRAME = "key string, frame_no long, frame string"
+EVENT = np.dtype([("at_ms", "<i8"), ("request", "<i8"), ("finishes", "?")])
+EVENTS_AT_ONCE = 50_000
 
 
 @contextmanager
@@ -50,40 +53,57 @@ def _decided(key: int, held, events: list[tuple[int, int, bool]]) -> tuple[tuple
     return held, pd.DataFrame(out, columns=["key", "request", "at_ms", "outcome"])
 
 
+def _packed(events: np.ndarray) -> list[tuple[int, bytes]]:
+    """Entries of the waiting list: the time of the first of some events, and the events as bytes."""
+    parts = (events[at : at + EVENTS_AT_ONCE] for at in range(0, len(events), EVENTS_AT_ONCE))
+    return [(int(part["at_ms"].min()), part.tobytes()) for part in parts]
+
+
 class Reservations(StatefulProcessor):
-    """Events wait for the watermark, so that late ones still take their place, and are then decided in the order of time."""
+    """Events wait for the watermark, so that late ones still take their place, and are then decided in the order of time.
+
+    They wait packed, many to an entry of the state, as each entry is a call to the state's server.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "request long, since long")
-        self.waiting = handle.getListState("waiting", "at_ms long, request long, finishes boolean")
+        self.waiting = handle.getListState("waiting", "first_ms long, events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            for e in part.itertuples():
-                self.waiting.appendValue((int(e.at_ms), int(e.request), bool(e.finishes)))
-                first = int(e.at_ms) if first is None else min(first, int(e.at_ms))
+            if len(part):
+                events = np.empty(len(part), EVENT)
+                for name in EVENT.names:
+                    events[name] = part[name].to_numpy()
+                self.waiting.appendList(_packed(events))
+                first = int(events["at_ms"].min()) if first is None else min(first, int(events["at_ms"].min()))
         if first is not None:
             self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = [tuple(e) for e in self.waiting.get()]
-        due, left = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
-        if not due:  # another timer has seen to them
+        entries = [tuple(e) for e in self.waiting.get()]
+        later = [e for e in entries if e[0] > now]
+        if len(later) == len(entries):  # another timer has seen to them
             return
-        held, out = _decided(key[0], self.held.get() if self.held.exists() else None, due)
+        events = np.concatenate([np.frombuffer(bytes(e[1]), EVENT) for e in entries if e[0] <= now])
+        due, left = events[events["at_ms"] <= now], events[events["at_ms"] > now]
+        due = due[np.lexsort((due["finishes"], due["request"], due["at_ms"]))]
+        held = self.held.get() if self.held.exists() else None
+        for at in range(0, len(due), EVENTS_AT_ONCE):
+            held, out = _decided(key[0], held, due[at : at + EVENTS_AT_ONCE].tolist())
+            yield out
         if held:
             self.held.update(held)
         else:
             self.held.clear()
         self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(min(e[0] for e in left))
-        yield out
+        if later := [*later, *_packed(left)]:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(e[0] for e in later))
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from lectern.sources.scratch import new_folder
 from lectern.streaming import keyed, streams
@@ -87,3 +88,70 @@ def test_each_batch_reaches_its_writer_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         streams.run_each_batch(stream, str(tmp_path / "check"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch_{number}"))
     assert sorted(r["id"] for r in spark.read.parquet(f"{out}/*").collect()) == list(range(10))
+
+
+class Calls:
+    """A state of one key in memory that counts the calls to it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("put", "appendList", "update", "appendValue"):
+                new = args[0] if name in ("put", "appendList") else [args[0]]
+                self.rows = list(new) if name in ("put", "update") else self.rows + list(new)
+            elif name == "clear":
+                self.rows = []
+            elif name == "exists":
+                return bool(self.rows)
+            elif name == "get":
+                return iter(self.rows) if self.listed else self.rows[0] if self.rows else None
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def _state(self, name, listed):
+        state = self.states[name] = Calls()
+        state.listed = listed
+        return state
+
+    def getValueState(self, name, schema):
+        return self._state(name, False)
+
+    def getListState(self, name, schema):
+        return self._state(name, True)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_waiting_events_take_few_calls_to_the_state():
+    rng = random.Random(9)
+    events = [(rng.randrange(5000 * MINUTE), i, rng.random() < 0.3) for i in range(4000)]
+    handle, one = Handle(), keyed.Reservations()
+    one.init(handle)
+    for at in range(0, 4000, 1000):
+        part = pd.DataFrame(events[at : at + 1000], columns=["at_ms", "request", "finishes"])
+        assert list(one.handleInputRows((7,), iter([part]), None)) == []
+    got = []
+    for now in (2000 * MINUTE, 1900 * MINUTE, 5000 * MINUTE):
+        got += [r for out in one.handleExpiredTimer((7,), Watermark(now), None) for r in out.itertuples(index=False, name=None)]
+    held, want = None, []
+    for at, request, done in sorted(events):
+        held, outcome = keyed.decide(held, at, request, done)
+        want.append((7, request, at, outcome))
+    assert got == want and sum(s.calls for s in handle.states.values()) <= 30
