@@ -132,20 +132,23 @@ def reservations_batch(events: DataFrame, key: str, request: str, ts: str, finis
 
 
 class Frames(StatefulProcessor):
-    """Bytes of each connection in the order of their numbers; what comes too early, and half a frame, wait in the state."""
+    """Bytes of each connection in the order of their numbers; what comes too early, and half a frame, wait in the state.
+
+    A connection's state is one value, as each piece for itself would be a call to the state's server.
+    """
 
     def __init__(self, mark: bytes = b"\n\n"):
         self.mark = mark
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "next long, frame_no long, rest binary")
-        self.early = handle.getMapState("early", "seq long", "body binary")
+        self.at = handle.getValueState("at", "next long, frame_no long, rest binary, early array<struct<seq:long,body:binary>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, frame_no, rest = self.at.get() if self.at.exists() else (0, 0, b"")
+        seq, frame_no, rest, early = self.at.get() or (0, 0, b"", [])
         rest = bytes(rest)
-        came = {int(e.seq): bytes(e.body) for part in rows for e in part.itertuples()}
-        came |= {k[0]: bytes(v[0]) for k, v in self.early.iterator() if k[0] not in came} if self.early.exists() else {}
+        came = {int(k): bytes(body) for k, body in early}
+        for part in rows:
+            came.update(zip(part["seq"].tolist(), map(bytes, part["body"]), strict=True))
         out = []
         while seq in came:
             *whole, rest = (rest + came.pop(seq)).split(self.mark)
@@ -153,11 +156,8 @@ class Frames(StatefulProcessor):
                 out.append((key[0], frame_no, frame.decode("utf-8", "replace")))
                 frame_no += 1
             seq += 1
-        self.early.clear()
-        for k, body in came.items():
-            if k > seq:  # a number that was already read came again
-                self.early.updateValue((k,), (body,))
-        self.at.update((seq, frame_no, rest))
+        # smaller numbers were already read and came again
+        self.at.update((seq, frame_no, rest, [(k, body) for k, body in came.items() if k > seq]))
         yield pd.DataFrame(out, columns=["key", "frame_no", "frame"])
 
     def close(self) -> None:

@@ -155,3 +155,15 @@ def test_waiting_events_take_few_calls_to_the_state():
         held, outcome = keyed.decide(held, at, request, done)
         want.append((7, request, at, outcome))
     assert got == want and sum(s.calls for s in handle.states.values()) <= 30
+
+
+def test_early_pieces_take_few_calls_to_the_state():
+    text = "".join(f"frame {i}\n\n" for i in range(400)).encode()
+    pieces = [(k, text[k * 5 : k * 5 + 5]) for k in range(-(-len(text) // 5))]
+    handle, one = Handle(), keyed.Frames()
+    one.init(handle)
+    got = []
+    for rest in (1, 2, 0):
+        part = pd.DataFrame([p for p in pieces if p[0] % 3 == rest], columns=["seq", "body"])
+        got += [r for out in one.handleInputRows(("a",), iter([part]), None) for r in out.itertuples(index=False, name=None)]
+    assert got == [("a", i, f"frame {i}") for i in range(400)] and sum(s.calls for s in handle.states.values()) <= 10
