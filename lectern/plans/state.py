@@ -62,7 +62,7 @@ def sse_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.daily_usage(streams.event_stream(spark, sf_dir, "events.parquet"))
-    return streams.run_to_table(stream, new_folder(spark, "daily_usage"))
+    return streams.run_to_table(stream, new_folder(spark, "daily_usage"), "complete")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ SQL = {
         OR (previous IN ('failed', 'cancelled') AND job_state = 'pending') END AS legal, coalesce(previous = 'running' AND since > 600, false) AS stale FROM p""",
     "insight_staleness": "SELECT c_custkey AS o_custkey, coalesce(max(o_orderdate) > TIMESTAMP '1997-01-01', false) AS is_stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "sse_reassembly": """SELECT conv_id || '-' || turn AS message, sha256(text || ' ') AS text_sha256, len(string_split(text, ' '))::INT AS n_tokens FROM conversations WHERE role = 'assistant'""",
-    "stream_daily_usage": f"SELECT ts::DATE AS day, count(*) AS requests FROM events GROUP BY 1 HAVING ts::DATE + 1 <= {_LAST} - INTERVAL 1 DAY",
+    "stream_daily_usage": "SELECT ts::DATE AS day, count(*) AS requests FROM events GROUP BY 1",
     "stream_late_rows": f"""SELECT user_id % 5 AS client, epoch(date_trunc('hour', ts))::BIGINT AS started, count(*) AS n FROM events
       WHERE NOT (event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-12') GROUP BY 1, 2, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_LAST} - INTERVAL 1 HOUR""",
     "reservations_stream": f"""{_RESERVED.format(where="WHERE NOT (event_id % 50 = 7 AND ts < TIMESTAMP '2024-01-12')")} SELECT key, request, outcome FROM s WHERE at_ms <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""",

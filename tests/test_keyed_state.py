@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from lectern.plans import registry
 from lectern.sources.scratch import new_folder
 from lectern.streaming import keyed, streams
 from pyspark.sql import functions as F
@@ -167,3 +168,14 @@ def test_early_pieces_take_few_calls_to_the_state():
         part = pd.DataFrame([p for p in pieces if p[0] % 3 == rest], columns=["seq", "body"])
         got += [r for out in one.handleInputRows(("a",), iter([part]), None) for r in out.itertuples(index=False, name=None)]
     assert got == [("a", i, f"frame {i}") for i in range(400)] and sum(s.calls for s in handle.states.values()) <= 10
+
+
+ALL_WINDOWS = [("stream_daily_usage", "requests")]
+
+
+@pytest.mark.parametrize(("query", "count"), ALL_WINDOWS)
+def test_streams_return_open_windows_too(spark, query, count):
+    """Every event is in a window of the result, whether or not the watermark has passed its end."""
+    sf = "/root/testdata/sf0.001"
+    rows = registry.queries()[query](spark, sf)
+    assert rows.agg(F.sum(count)).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
