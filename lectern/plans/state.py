@@ -67,7 +67,7 @@ def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.sessions(streams.event_stream(spark, sf_dir, "events.parquet"))
-    out = streams.run_to_table(stream, new_folder(spark, "sessions"))
+    out = streams.run_to_table(stream, new_folder(spark, "sessions"), "complete")
     return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
@@ -164,6 +164,5 @@ SQL = {
       SELECT message, count(*) AS n_frames, sum(length(w))::BIGINT AS chars, any_value(list_max(list_filter(generate_series(1, len(ws)), lambda i: ws[i] <> ''))) AS last_no FROM w JOIN n USING (message) WHERE w <> '' GROUP BY message""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w > INTERVAL 30 MINUTES)::INT AS jump FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT *, sum(coalesce(jump, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-      SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTES) AS ended, count(*) AS n FROM s GROUP BY user_id, k
-      HAVING max(ts) + INTERVAL 30 MINUTES <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""",
+      SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTES) AS ended, count(*) AS n FROM s GROUP BY user_id, k""",
 }
