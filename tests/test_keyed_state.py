@@ -170,7 +170,7 @@ def test_early_pieces_take_few_calls_to_the_state():
     assert got == [("a", i, f"frame {i}") for i in range(400)] and sum(s.calls for s in handle.states.values()) <= 10
 
 
-ALL_WINDOWS = [("stream_daily_usage", "requests"), ("stream_sessions", "n")]
+ALL_WINDOWS = [("stream_daily_usage", "requests"), ("stream_sessions", "n"), ("stream_rates", "n")]
 
 
 @pytest.mark.parametrize(("query", "count"), ALL_WINDOWS)
