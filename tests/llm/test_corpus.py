@@ -8,11 +8,13 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lectern.llm import registry
 from lectern.llm.decontaminate import common_subsequence, decontaminate, find_contamination
 from lectern.llm.licenses import CUES, SENTENCES, scan_licenses
 from lectern.llm.mixing import mix_sources, pfair, whole_weights
+from lectern.llm.words import FOLDED, Words
 from pyspark.sql import functions as F
 
 from ..oracle import both
@@ -347,3 +349,36 @@ def test_pipeline_stages_take_effect(spark):
     bodies = [r["text"] for r in docs.select("text").collect()]
     assert len({"".join(b.split()) for b in bodies}) == len(bodies)
     assert p.run(spark, sf).count() == sizes[-1]
+
+
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """The products of columns are those of every block of every text, however the rows lie in tasks."""
+    from lectern.llm import decontaminate as dc
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "zz"]) for _ in range(rng.randrange(120))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    items, _ = dc._items([{"item_id": 1, "text": "ab cd ef"}, {"item_id": 2, "text": "gh ab"}], dc.inverse_frequencies(docs))
+    got = {(r["part"], r["i"], r["j"]): r["value"] for r in dc.column_products(docs, [items]).collect()}
+    want = np.zeros((4, 4))
+    for text in texts:
+        words = text.split()
+        for at in range(0, len(words), dc.BLOCK):
+            hashes = Words(pa.array([" ".join(words[at : at + dc.BLOCK])]), fold=FOLDED).hash
+            x, col = np.zeros(5), items.columns(hashes)
+            np.add.at(x, col, items.weights[(hashes & dc._MASK).astype(np.int64)])
+            want += np.outer(x[:4], x[:4])
+    assert {(0, i, j) for i in range(4) for j in range(4)} == set(got)
+    assert all(got[0, i, j] == pytest.approx(want[i, j]) for i in range(4) for j in range(4))
+
+
+def test_pairs_of_many_columns_add_up_like_those_of_few():
+    from lectern.llm import decontaminate as dc
+
+    few, many, rng = dc._Pairs(50), dc._Pairs(50), np.random.default_rng(2)
+    many.square, many.value = False, np.zeros(0)
+    for _ in range(5):
+        key, value = rng.integers(0, 2500, 400), rng.random(400)
+        few.add(key, value), many.add(key, value)
+    (a, x), (b, y) = few.taken(), many.taken()
+    assert (a == b).all() and np.allclose(x, y)
