@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from ..functions import text as tx
 CHUNK_TOKENS, OVERLAP_TOKENS = 400, 64
 ATOMIC = ("table", "equation", "code")
 BLOCK_TYPE = "array<struct<block_type:string,content:string,page_number:int,section_path:array<string>>>"
+DOCS_AT_ONCE = 64
 CHUNK_DDL = "doc_id long, chunk_index int, page_number int, end_page_number int, content string, section_title string, section_level int, chunk_type string"
 
 
@@ -148,16 +149,21 @@ def chunks_of(blocks, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """Typed, token-bounded chunks of documents given as (doc_id, blocks): no exchange, a document is one row."""
+    """Typed, token-bounded chunks of documents given as (doc_id, blocks): no exchange, a document is one row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
-        for pdf in batches:
-            rows = [{"doc_id": d, **c} for d, blocks in zip(pdf["doc_id"], pdf["blocks"], strict=True) for c in chunks_of(blocks, size, overlap)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"section_level": "Int32"})
+    Of a batch, ``DOCS_AT_ONCE`` documents at a time are Python objects.
+    """
 
-    return docs.select("doc_id", "blocks").mapInPandas(run, CHUNK_DDL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in CHUNK_DDL.split(", "))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                docs = batch.slice(at, DOCS_AT_ONCE).to_pylist()
+                rows = [{"doc_id": d["doc_id"], **c} for d in docs for c in chunks_of(d["blocks"], size, overlap)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.select("doc_id", "blocks").mapInArrow(run, CHUNK_DDL)
 
 
 def embed_inputs(chunks: DataFrame, titles: DataFrame) -> DataFrame:

@@ -337,3 +337,12 @@ def test_closure_of_a_deep_tree(spark):
     place = {x: k for k, x in enumerate(ids)}
     assert out.count() == 1000 * 999 // 2
     assert all(place[r["node"]] - place[r["ancestor"]] == r["depth"] for r in out.where("node % 97 = 0").collect())
+
+
+def test_chunks_of_more_documents_than_are_objects_at_once(spark):
+    """Documents pass in pieces of a batch; a piece's rows leave before the next is read."""
+    assert chunking.DOCS_AT_ONCE < 200
+    text = F.concat(F.lit("A sentence of a good many words for number "), F.col("id").cast("string"), F.lit(", which is worth keeping as a chunk."))
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), chunking.text_blocks(text).alias("blocks"))
+    got = sorted((r["doc_id"], r["chunk_index"], r["page_number"], r["section_level"]) for r in chunking.chunk_documents(docs).collect())
+    assert got == [(i, 0, 1, None) for i in range(200)]
