@@ -346,3 +346,12 @@ def test_chunks_of_more_documents_than_are_objects_at_once(spark):
     docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), chunking.text_blocks(text).alias("blocks"))
     got = sorted((r["doc_id"], r["chunk_index"], r["page_number"], r["section_level"]) for r in chunking.chunk_documents(docs).collect())
     assert got == [(i, 0, 1, None) for i in range(200)]
+
+
+@pytest.mark.parametrize("compared", [tx.title_similarity, tx.title_matches])
+def test_titles_are_normalised_once(spark, compared):
+    """Each title is lower-cased once in the plan, however often the comparison uses it."""
+    rows = spark.createDataFrame([("A b c d", "a B x"), (None, "a"), ("", "")], "a string, b string")
+    plan = rows.select(compared(F.col("a"), F.col("b")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2
+    assert [one(spark, tx.title_similarity(F.lit("A b c d"), F.lit("a B x"))), one(spark, tx.title_matches(F.lit("A b c d"), F.lit("a B x")))] == [0.4, True]
