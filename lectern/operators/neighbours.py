@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 
 STORED = "id long, unit array<double>, part int, cell int"
 FOUND = "query_id long, id long, score double, cell int"
+ASKED_AT_ONCE = 5_000  # questions, on average, that meet a part of a cell at once
+
+
+ROWS_AT_ONCE = 256  # vectors that are compared with all centres at once
+PAIRS_AT_ONCE = 4096  # questions with a cell that leave a task at once
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows, as a row takes a number for each cell."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
 
 
 def unit_rows(lists: pa.Array) -> np.ndarray:
@@ -42,9 +54,7 @@ def _placed(centres: np.ndarray):
     schema = pa.schema([("id", pa.int64()), ("unit", pa.list_(pa.float64())), ("cell", pa.int32()), ("angle", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             units = unit_rows(batch.column(1))
             near = units @ centres.T
             own = near.argmax(axis=1)
@@ -108,11 +118,17 @@ class CellIndex:
 
     def _meet(self, asked: DataFrame, k: int) -> DataFrame:
         """The best k of each question among the cells it names: (query_id, id, score)."""
-        cells = [r["cell"] for r in asked.select("cell").distinct().collect()]
+        # a cell asked by very many questions answers them in turns, as a turn's rows and questions are in memory together
+        turns = [0] * len(self.parts)
+        for r in asked.groupBy("cell").count().collect():  # one row a cell
+            turns[r["cell"]] = ceil(r["count"] / ASKED_AT_ONCE)
+        cells = [cell for cell, n in enumerate(turns) if n]
         stored = self.spark.read.schema(STORED).parquet(f"{self.folder}/cells").where(F.col("cell").isin(cells))
         last = F.element_at(F.array(*(F.lit(int(x) - 1) for x in self.parts)), F.col("cell") + 1)
-        per_part = asked.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
-        found = stored.groupBy("cell", "part").cogroup(per_part.groupBy("cell", "part")).applyInArrow(_answered(k), FOUND)
+        of_cell = F.element_at(F.array(*(F.lit(x) for x in turns)), F.col("cell") + 1)
+        per_part = asked.withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn("turn", F.pmod(F.xxhash64("query_id"), of_cell).cast("int"))
+        stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), of_cell - 1)))
+        found = stored.groupBy("cell", "part", "turn").cogroup(per_part.groupBy("cell", "part", "turn")).applyInArrow(_answered(k), FOUND)
         return self._best(found, k)
 
     @staticmethod
@@ -125,10 +141,11 @@ class CellIndex:
         schema = pa.schema([("query_id", pa.int64()), ("unit", pa.list_(pa.float64())), ("cell", pa.int32())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    q, cell = np.nonzero(choose(unit_rows(batch.column("unit")), batch))
-                    yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(q)), batch.column("unit").take(pa.array(q)), pa.array(cell, pa.int32())], schema=schema)
+            for batch in pieces(batches):
+                q, cell = np.nonzero(choose(unit_rows(batch.column("unit")), batch))
+                for at in range(0, len(q), PAIRS_AT_ONCE):
+                    some = pa.array(q[at : at + PAIRS_AT_ONCE])
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id").take(some), batch.column("unit").take(some), pa.array(cell[at : at + PAIRS_AT_ONCE], pa.int32())], schema=schema)
 
         return questions.mapInArrow(run, "query_id long, unit array<double>, cell int")
 
@@ -171,12 +188,11 @@ class CellIndex:
         centres, there = self.centres, self.reach >= 0
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    near = np.where(there, unit_rows(batch.column("unit")) @ centres.T, -2.0)
-                    order = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
-                    at = order[np.arange(len(order)), np.asarray(batch.column("cell"))]
-                    yield pa.RecordBatch.from_arrays([pa.array(at + 1, pa.int32())], names=["probes"])
+            for batch in pieces(batches):
+                near = np.where(there, unit_rows(batch.column("unit")) @ centres.T, -2.0)
+                order = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
+                at = order[np.arange(len(order)), np.asarray(batch.column("cell"))]
+                yield pa.RecordBatch.from_arrays([pa.array(at + 1, pa.int32())], names=["probes"])
 
         best = self.search(questions, k).select("query_id", "cell").join(questions, "query_id").select("unit", "cell")
         needed = sorted((r["probes"], r["count"]) for r in best.mapInArrow(place, "probes int").groupBy("probes").count().collect())

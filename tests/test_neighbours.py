@@ -58,3 +58,47 @@ def test_centres_are_kept_apart():
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     centres = train_centres(units, 5)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1) and (units @ centres.T).max(axis=1).mean() > 0.8
+
+
+def test_many_questions_meet_a_cell_in_turns(spark, tmp_path, monkeypatch):
+    """What a task holds of the questions of a cell has a limit; the answer is the same."""
+    from lectern.operators import neighbours
+
+    x, q = clustered(400, 8, 5, 6), clustered(90, 8, 5, 7)
+    index = CellIndex(spark, str(tmp_path / "i")).build(frame(spark, x), cells=4, part_rows=60)
+    monkeypatch.setattr(neighbours, "ASKED_AT_ONCE", 20)
+    seen, answered = tmp_path / "seen", neighbours._answered
+    seen.mkdir()
+
+    def counted(k):
+        run, folder = answered(k), str(seen)
+
+        def counting(rows, asked):
+            import uuid
+            from pathlib import Path
+
+            Path(folder, f"{asked.num_rows}-{uuid.uuid4().hex}").touch()
+            return run(rows, asked)
+
+        return counting
+
+    monkeypatch.setattr(neighbours, "_answered", counted)
+    assert listed(index.search(asked(spark, q), 10)) == dict(enumerate(best(x, q, 10)))
+    assert 0 < max(int(f.name.split("-")[0]) for f in seen.iterdir()) <= 45
+
+
+def test_questions_leave_in_small_pieces(spark, tmp_path):
+    """A batch of questions with all their cells is never in memory at once."""
+    import pyarrow as pa
+    from lectern.operators import neighbours
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([[1.0, float(i)] for i in range(1000)])], names=["query_id", "unit"])
+    assert [b.num_rows for b in neighbours.pieces(iter([batch, batch.slice(0, 0)]))] == [256, 256, 256, 232]
+    index = CellIndex(spark, str(tmp_path / "i")).build(frame(spark, clustered(200, 4, 3, 1)), cells=40)
+
+    class Questions:
+        def mapInArrow(self, run, schema):
+            return [b.num_rows for b in run(iter([batch]))]
+
+    sizes = index._cells_of(Questions(), lambda units, _: np.ones((len(units), 40), bool))
+    assert sum(sizes) == 40_000 and max(sizes) <= neighbours.PAIRS_AT_ONCE
