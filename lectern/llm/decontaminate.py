@@ -116,15 +116,38 @@ def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _project(block: np.ndarray, col: np.ndarray, weight: np.ndarray, matrix: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """Rows of the sparse block matrix, for the sorted distinct ``blocks``, times ``matrix``."""
+    """Rows of the sparse block matrix, for the sorted distinct ``blocks``, times ``matrix``; the words come block by block."""
     out = np.zeros((len(blocks), matrix.shape[1]), dtype=np.float32)
-    for at in range(0, len(block), CHUNK):
-        some = slice(at, at + CHUNK)
-        names, sums = _sums(block[some], weight[some, None] * matrix[col[some]])
-        out[np.searchsorted(blocks, names)] += sums
+    padded = np.vstack([matrix, np.zeros((1, matrix.shape[1]), dtype=matrix.dtype)])  # a place without a word has the last row
+    start = np.searchsorted(block, blocks)
+    for at in range(0, len(blocks), CHUNK):
+        some = start[at : at + CHUNK]
+        words = slice(some[0], np.searchsorted(block, blocks[at : at + CHUNK][-1], side="right"))
+        row = np.searchsorted(blocks[at : at + CHUNK], block[words])
+        place = np.arange(words.start, words.stop) - some[row]
+        cols, weights = np.full((len(some), BLOCK), len(matrix)), np.zeros((len(some), 1, BLOCK), dtype=np.float32)
+        cols[row, place], weights[row, 0, place] = col[words], weight[words]
+        out[at : at + CHUNK] = (weights @ padded[cols])[:, 0]
     return out
 
 
+def _pair_counts(block: np.ndarray, col: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys i * columns + j, i <= j, and for each the sum over the blocks of i's words there times j's."""
+    words = np.sort(block * columns + col)
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else words
+    times = np.diff(first, append=len(words))
+    block, col = words[first] // columns, words[first] % columns
+    keys = [np.zeros(0, np.int64)]
+    for apart in range(BLOCK):  # places of two columns of one block
+        same = np.flatnonzero(block[: len(block) - apart] == block[apart:])
+        if not len(same):
+            break
+        keys.append(np.repeat(col[same] * columns + col[same + apart], times[same] * times[same + apart]))
+    keys = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
+    return keys[first], np.diff(first, append=len(keys))
+
+
 class _Pairs:
     """Sums of the products of two columns: a square of numbers for few columns, else sorted keys that are merged."""
 
@@ -135,6 +158,9 @@ class _Pairs:
         self.waiting = 0
 
     def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        if self.square:
+            np.add.at(self.value, key, value)
+            return
         self.new.append((key, value))
         self.waiting += len(key)
         if self.waiting > PAIRS:
@@ -143,12 +169,8 @@ class _Pairs:
     def merge(self) -> None:
         if not self.new:
             return
-        key, value = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        key, value = (np.concatenate(x) for x in zip((self.key, self.value), *self.new, strict=True))
         self.new, self.waiting = [], 0
-        if self.square:
-            self.value += np.bincount(key, weights=value, minlength=len(self.value))
-            return
-        key, value = np.concatenate([self.key, key]), np.concatenate([self.value, value])
         order = np.argsort(key, kind="stable")
         self.key, self.value = _sums(key[order], value[order])
 
@@ -161,35 +183,37 @@ class _Pairs:
 
 
 def _column_products(shared):
-    """(part, i, j, value), i <= j: the sum of x_i x_j over the TF-IDF rows x of a task's blocks, for each block of items."""
+    """(part, the first of ROWS columns, places, sums): for each block of items, the pairs of columns i <= j of a task's blocks.
+
+    A sum is of the words of i in a block times those of j, a whole number; it stands at place (i - first) * columns + j.  Weights
+    come after the sums, as a column has one weight.  Rows hold few pairs, so that a batch of rows is small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_Pairs(len(items.column_hash)) for items in shared.value]
 
         def entries(part: int) -> Iterator[pa.RecordBatch]:
             key, value = held[part].taken()
-            columns = max(1, held[part].columns)
-            for at in range(0, len(key), 1 << 18):
-                k = key[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array((k // columns).astype(np.int32)), pa.array((k % columns).astype(np.int32)), pa.array(value[at : at + (1 << 18)])], names=["part", "i", "j", "value"])
+            columns = held[part].columns
+            for first in range(0, columns, ROWS):
+                low, high = np.searchsorted(key, [first * columns, (first + ROWS) * columns])
+                rows = []
+                for at in range(low, high, PACKED):
+                    some = slice(at, min(at + PACKED, high))
+                    times = value[some].astype(np.uint64)
+                    rows.append(((key[some] - first * columns).astype("<u4").tobytes(), times.astype(np.min_scalar_type(times.max()).newbyteorder("<")).tobytes()))
+                if rows:
+                    place, times = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([first] * len(rows), pa.int32()), pa.array(place, pa.binary()), pa.array(times, pa.binary())], names=["part", "first", "place", "times"])
 
         for batch in batches:
             for piece in text_slices(batch):
                 words = Words(column(piece, "text"), fold=FOLDED)
                 for part, items in enumerate(shared.value):
-                    block, col, weight, _ = _rows(items, words)
-                    columns = held[part].columns
-                    both = block * columns + col
-                    order = np.argsort(both, kind="stable")
-                    both, x = _sums(both[order], weight[order].astype(np.float64))
-                    block, col = both // max(1, columns), both % max(1, columns)
-                    for apart in range(BLOCK):  # places of two columns of one block
-                        same = np.flatnonzero(block[: len(block) - apart] == block[apart:])
-                        if not len(same):
-                            break
-                        for at in range(0, len(same), PAIRS):
-                            a = same[at : at + PAIRS]
-                            held[part].add(col[a] * columns + col[a + apart], x[a] * x[a + apart])
+                    block, col, _, blocks = _rows(items, words)
+                    for at in range(0, blocks, PASSAGES):
+                        some = slice(*np.searchsorted(block, [at, at + PASSAGES]))
+                        held[part].add(*_pair_counts(block[some] - at, col[some], held[part].columns))
                     if len(held[part].key) > PAIRS:
                         yield from entries(part)
         for part in range(len(held)):
@@ -198,31 +222,66 @@ def _column_products(shared):
     return run
 
 
+def _added(shared):
+    """(part, i, j, value), both ways round, from the packed sums of all tasks, with the weights of both columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part, first, place, times in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "place", "times")), strict=True):
+                columns, at = len(shared.value[part].column_hash), np.frombuffer(place, "<u4")
+                if (part, first) not in total:
+                    total[part, first] = np.zeros(min(ROWS, columns - first) * columns)
+                total[part, first][at] += np.frombuffer(times, f"<u{len(times) // len(at)}")  # places of a row are distinct
+        for part, first in list(total):
+            table, items = total.pop((part, first)), shared.value[part]
+            weight = items.weights[(items.column_hash & _MASK).astype(np.int64)].astype(np.float64)
+            place = np.flatnonzero(table)
+            i, j = first + place // len(weight), place % len(weight)
+            value, apart = table[place] * weight[i] * weight[j], i != j
+            i, j, value = np.r_[i, j[apart]].astype(np.int32), np.r_[j, i[apart]].astype(np.int32), np.r_[value, value[apart]]
+            for at in range(0, len(i), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i[some]), part, np.int32)), pa.array(i[some]), pa.array(j[some]), pa.array(value[some])], names=["part", "i", "j", "value"])
+
+    return run
+
+
 def column_products(docs: DataFrame, blocks: list[Items]) -> DataFrame:
-    """(part, i, j, value) over all blocks of all texts, both ways round, for the column pairs of each block of items."""
+    """(part, i, j, value), the sum of x_i x_j over the TF-IDF rows x of all blocks of all texts, for each block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
-    sums = docs.mapInArrow(_column_products(shared), "part int, i int, j int, value double").groupBy("part", "i", "j").agg(F.sum("value").alias("value"))
-    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    out = written(sums.select("part", F.explode(ways).alias("at"), "value").select("part", "at.i", "at.j", "value").repartition(8, "i"), "products")
+    tasks = max(8, sum(len(items.column_hash) ** 2 for items in blocks) >> 21)  # a task holds about 2 M pairs
+    sums = docs.mapInArrow(_column_products(shared), "part int, first int, place binary, times binary").repartition(tasks, "part", "first")
+    out = written(sums.mapInArrow(_added(shared), "part int, i int, j int, value double").repartition(tasks, "i"), "products")
     shared.destroy()
     return out
 
 
 def _times(shared):
-    """(i, the partial sums over j of value times row j of the matrix at hand, as bytes)."""
+    """(i, partial sums over j of value times row j of the matrix at hand, as bytes)."""
+
+    def products(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        i, j, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        names = np.unique(i)
+        at, columns = np.searchsorted(names, i), len(shared.value)
+        few = max(1, PAIRS // columns)  # rows that are held in full at once
+        for first in range(0, len(names), few):
+            some = np.flatnonzero((at >= first) & (at < first + few)) if len(names) > few else slice(None)
+            rows = np.zeros((min(few, len(names) - first), columns))
+            np.add.at(rows, (at[some] - first, j[some]), value[some])
+            yield pa.RecordBatch.from_arrays([pa.array(names[first : first + few]), pa.array([row.tobytes() for row in rows @ shared.value], pa.binary())], names=["i", "product"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
-        total: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
-            i, j, value = (batch.column(c).to_numpy() for c in ("i", "j", "value"))
-            order = np.argsort(i, kind="stable")
-            for at in range(0, len(order), 1 << 12):
-                some = order[at : at + (1 << 12)]
-                names, sums = _sums(i[some], value[some, None] * matrix[j[some]])
-                for name, row in zip(names.tolist(), sums, strict=True):
-                    total[name] = total[name] + row if name in total else row
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([row.astype("<f8").tobytes() for row in total.values()], pa.binary())], names=["i", "product"])
+            held.append(tuple(batch.column(c).to_numpy() for c in ("i", "j", "value")))
+            waiting += batch.num_rows
+            if waiting > 2 * PAIRS:
+                yield from products(held)
+                held, waiting = [], 0
+        if waiting:
+            yield from products(held)
 
     return run
 
@@ -326,10 +385,12 @@ def _shared_runs(items: Items, words: Words, block: np.ndarray) -> tuple[np.ndar
 _FOUND_DDL = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_found boolean"
 
 
-CHUNK = 1 << 10  # words whose rows of numbers are added up at once
+CHUNK = 1 << 7  # blocks whose rows of numbers are added up at once
 PASSAGES = 4096  # passages that are projected at once
 DENSE = 1 << 23  # pairs of columns that are held as a square
-PAIRS = 1 << 20  # pairs of columns that are added at once
+PAIRS = 1 << 20  # pairs of columns that are merged at once
+ROWS = 64  # columns whose pairs are added up in one table
+PACKED = 512  # pairs in a row between tasks
 
 
 def _candidates(items: Items, words: Words, block: np.ndarray, row_of: np.ndarray, idf: np.ndarray, col: np.ndarray, least_cosine: float) -> Iterator[tuple[int, int, float]]:

@@ -382,3 +382,54 @@ def test_pairs_of_many_columns_add_up_like_those_of_few():
         few.add(key, value), many.add(key, value)
     (a, x), (b, y) = few.taken(), many.taken()
     assert (a == b).all() and np.allclose(x, y)
+
+
+def test_products_of_columns_travel_packed_and_add_up_exactly(spark):
+    """A task sends hundreds of pairs in a row, and the sums are the same to the last bit however the rows lie in tasks."""
+    from types import SimpleNamespace
+
+    from lectern.llm import decontaminate as dc
+
+    rng = np.random.default_rng(6)
+    texts = [zipf_text(rng, int(n)) for n in rng.integers(0, 400, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items, _ = dc._items([{"item_id": k, "text": zipf_text(rng, 40)} for k in range(12)], dc.inverse_frequencies(docs))
+    one, many = ({(r["i"], r["j"]): r["value"] for r in dc.column_products(docs.repartition(n), [items]).collect()} for n in (1, 7))
+    assert one == many
+    sent = list(dc._column_products(SimpleNamespace(value=[items]))(iter([pa.record_batch({"text": texts})])))
+    columns = len(items.column_hash)
+    assert sum(b.num_rows for b in sent) <= len(one) / 2 / dc.PACKED + columns / dc.ROWS + 1
+
+    counted = np.zeros((columns, columns))
+    for text in texts:
+        words = text.split()
+        for at in range(0, len(words), dc.BLOCK):
+            col = items.columns(Words(pa.array([" ".join(words[at : at + dc.BLOCK])]), fold=FOLDED).hash)
+            x = np.bincount(col[col >= 0], minlength=columns)
+            counted += np.outer(x, x)
+    got = np.zeros((columns, columns))
+    for b in sent:
+        for first, place, times in zip(*(b.column(c).to_pylist() for c in ("first", "place", "times")), strict=True):
+            at = np.frombuffer(place, "<u4")
+            got[first + at // columns, at % columns] += np.frombuffer(times, f"<u{len(times) // len(at)}")
+    assert (got == np.triu(counted)).all()
+    assert set(one) == set(zip(*(x.tolist() for x in np.nonzero(counted)), strict=True))
+
+
+def test_rows_of_few_columns_multiply_like_whole_ones(monkeypatch):
+    """Partial products add up to the whole product when a task holds more rows and pairs than it may at once."""
+    from types import SimpleNamespace
+
+    from lectern.llm import decontaminate as dc
+
+    rng = np.random.default_rng(1)
+    table, matrix = rng.random((60, 60)) * (rng.random((60, 60)) < 0.4), rng.random((60, 9))
+    i, j = np.nonzero(table)
+    order = rng.permutation(len(i))
+    batches = [pa.record_batch({"i": i[k].astype(np.int32), "j": j[k].astype(np.int32), "value": table[i[k], j[k]]}) for k in np.array_split(order, 13)]
+    monkeypatch.setattr(dc, "PAIRS", 200)
+    product = np.zeros_like(matrix)
+    for b in dc._times(SimpleNamespace(value=matrix))(iter(batches)):
+        for name, row in zip(b.column("i").to_pylist(), b.column("product").to_pylist(), strict=True):
+            product[name] += np.frombuffer(row)
+    assert np.allclose(product, table @ matrix)
