@@ -3,8 +3,9 @@
 1. Documents are read as passages of two neighbouring blocks of ``BLOCK`` words.  Document frequencies of hashed words over
    all blocks of all texts give the TF-IDF weights.
 2. A randomised SVD of the TF-IDF rows of the items and of all blocks of all documents gives the latent space.  Columns are
-   the items' words, as no other word can bring a passage nearer to an item.  One scan sums the products of each two
-   columns over all blocks; the rounds of subspace iteration multiply by this table, not by the texts again.
+   the items' words, as no other word can bring a passage nearer to an item.  The scan that counts the frequencies counts each
+   two columns over all blocks too (weights come after, as a column has one); the rounds of subspace iteration multiply by
+   this table, not by the texts again.
 3. Every passage of every text is projected and compared with all items by one matrix product.
 4. Beside the cosine, a passage is a candidate of every item that it may share a run of words with: three words for items of
    eight and more, which any copy with at most a fifth of its words changed or left out has, the whole item for shorter
@@ -18,7 +19,7 @@ lost in the projection and what is broadcast is bounded however long the benchma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, doc_key, only, shown_id, written
+from .common import column, discard, doc_key, only, shown_id, written
 from .words import FOLDED, Words, text_slices
 
 BLOCK = 32
@@ -45,31 +46,56 @@ def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return first[words.row] + inside // BLOCK, first
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, blocks = np.zeros(BUCKETS, dtype=np.int64), 0
+def _block_frequencies(words: Words) -> tuple[np.ndarray, int]:
+    """The bucket of each hashed word of each block of a slice, once a block; the number of blocks."""
+    block, first = _blocks(words)
+    # blocks of a slice are few: in 32 bits, unless one very long text is a slice by itself
+    kind = np.uint32 if int(first[-1]) * BUCKETS <= 1 << 32 else np.int64
+    seen = np.sort(block.astype(kind) * kind(BUCKETS) + (words.hash & _MASK).astype(kind))
+    fresh = np.ones(len(seen), dtype=bool)
+    fresh[1:] = seen[1:] != seen[:-1]
+    return (seen[fresh] % kind(BUCKETS)).astype(np.int64), int(first[-1])
+
+
+def _packed(part: int, first: int, place: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(part, first, places, whole numbers at them), few to a row, so that a batch of rows is small."""
+    rows = []
+    for at in range(0, len(place), PACKED):
+        some = times[at : at + PACKED].astype(np.uint64)
+        rows.append((place[at : at + PACKED].astype("<u4").tobytes(), some.astype(np.min_scalar_type(some.max()).newbyteorder("<")).tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([first] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["part", "first", "place", "times"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch], places: Callable[[int, int], int]) -> dict[tuple[int, int], np.ndarray]:
+    """The packed rows of a task added up, by part and first; ``places`` tells how many places there are."""
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for part in text_slices(batch):
-            words = Words(column(part, "text"), fold=FOLDED)
-            block, first = _blocks(words)
-            # blocks of a slice are few: in 32 bits, unless one very long text is a slice by itself
-            kind = np.uint32 if int(first[-1]) * BUCKETS <= 1 << 32 else np.int64
-            seen = np.sort(block.astype(kind) * kind(BUCKETS) + (words.hash & _MASK).astype(kind))
-            fresh = np.ones(len(seen), dtype=bool)
-            fresh[1:] = seen[1:] != seen[:-1]
-            held += np.bincount((seen[fresh] % kind(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            blocks += int(first[-1])
-    some = np.flatnonzero(held)
-    bucket, count = np.concatenate([[-1], some]), np.concatenate([[blocks], held[some]])
-    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(count)], names=["bucket", "df"])
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each hashed word by the blocks of the whole corpus that hold it (BUCKETS numbers reach the driver)."""
-    counts = docs.mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
-    bucket, count = (counts.column(c).to_numpy() for c in ("bucket", "df"))
-    df, blocks = np.zeros(BUCKETS), count[bucket < 0].sum()
-    df[bucket[bucket >= 0]] = count[bucket >= 0]
-    return np.log((blocks + 1) / (df + 1)).astype(np.float32) + 0.1
+        for part, first, place, times in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "place", "times")), strict=True):
+            if (part, first) not in total:
+                total[part, first] = np.zeros(places(part, first))
+            at = np.frombuffer(place, "<u4")
+            total[part, first][at] += np.frombuffer(times, f"<u{len(times) // len(at)}")  # places of a row are distinct
+    return total
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (_, first), table in _totals(batches, lambda part, first: SPAN).items():
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array((first + some).astype(np.int32)), pa.array(table[some].astype(np.int64))], names=["bucket", "df"])
+
+
+def inverse_frequencies(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
+    """Weight of each hashed word by the blocks of the whole corpus that hold it (BUCKETS numbers reach the driver).
+
+    ``counts`` are those of ``column_counts`` with frequencies, where they are at hand.
+    """
+    counts = column_counts(docs, [], frequencies=True) if counts is None else counts
+    sums = counts.where(F.col("part") == FREQUENCIES).repartition(8, "first").mapInArrow(_frequencies, "bucket int, df long").toArrow()
+    bucket, count = (sums.column(c).to_numpy() for c in ("bucket", "df"))
+    df = np.zeros(BUCKETS + 1)
+    df[bucket] = count
+    return np.log((df[BUCKETS] + 1) / (df[:BUCKETS] + 1)).astype(np.float32) + 0.1
 
 
 @dataclass
@@ -182,33 +208,31 @@ class _Pairs:
         return out
 
 
-def _column_products(shared):
-    """(part, the first of ROWS columns, places, sums): for each block of items, the pairs of columns i <= j of a task's blocks.
+def _column_counts(shared, frequencies: bool):
+    """Packed rows: for each block of items (part), the pairs of columns i <= j of a task's blocks, by the first of ROWS columns.
 
-    A sum is of the words of i in a block times those of j, a whole number; it stands at place (i - first) * columns + j.  Weights
-    come after the sums, as a column has one weight.  Rows hold few pairs, so that a batch of rows is small.
+    A count is of the words of i in a block times those of j, a whole number; it stands at place (i - first) * columns + j.
+    With ``frequencies``, the blocks that hold each bucket of words come too, and their number in bucket BUCKETS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_Pairs(len(items.column_hash)) for items in shared.value]
+        df = np.zeros(BUCKETS + 1, dtype=np.int64)
 
         def entries(part: int) -> Iterator[pa.RecordBatch]:
             key, value = held[part].taken()
             columns = held[part].columns
             for first in range(0, columns, ROWS):
-                low, high = np.searchsorted(key, [first * columns, (first + ROWS) * columns])
-                rows = []
-                for at in range(low, high, PACKED):
-                    some = slice(at, min(at + PACKED, high))
-                    times = value[some].astype(np.uint64)
-                    rows.append(((key[some] - first * columns).astype("<u4").tobytes(), times.astype(np.min_scalar_type(times.max()).newbyteorder("<")).tobytes()))
-                if rows:
-                    place, times = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([first] * len(rows), pa.int32()), pa.array(place, pa.binary()), pa.array(times, pa.binary())], names=["part", "first", "place", "times"])
+                some = slice(*np.searchsorted(key, [first * columns, (first + ROWS) * columns]))
+                yield from _packed(part, first, key[some] - first * columns, value[some])
 
         for batch in batches:
             for piece in text_slices(batch):
                 words = Words(column(piece, "text"), fold=FOLDED)
+                if frequencies:
+                    bucket, blocks = _block_frequencies(words)
+                    df[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                    df[BUCKETS] += blocks
                 for part, items in enumerate(shared.value):
                     block, col, _, blocks = _rows(items, words)
                     for at in range(0, blocks, PASSAGES):
@@ -218,26 +242,32 @@ def _column_products(shared):
                         yield from entries(part)
         for part in range(len(held)):
             yield from entries(part)
+        for first in range(0, BUCKETS + 1, SPAN):
+            some = np.flatnonzero(df[first : first + SPAN])
+            yield from _packed(FREQUENCIES, first, some, df[first + some])
 
     return run
 
 
+def column_counts(docs: DataFrame, blocks: list[Items], frequencies: bool = False) -> DataFrame:
+    """Packed counts of each task over all blocks of all texts (see ``_column_counts``), in one scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    out = written(docs.mapInArrow(_column_counts(shared, frequencies), "part int, first int, place binary, times binary"), "counts")
+    shared.destroy()
+    return out
+
+
 def _added(shared):
-    """(part, i, j, value), both ways round, from the packed sums of all tasks, with the weights of both columns."""
+    """(part, i, j, value), both ways round, from the packed counts of all tasks, with the weights of both columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for part, first, place, times in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "place", "times")), strict=True):
-                columns, at = len(shared.value[part].column_hash), np.frombuffer(place, "<u4")
-                if (part, first) not in total:
-                    total[part, first] = np.zeros(min(ROWS, columns - first) * columns)
-                total[part, first][at] += np.frombuffer(times, f"<u{len(times) // len(at)}")  # places of a row are distinct
+        columns = [len(items.column_hash) for items in shared.value]
+        total = _totals(batches, lambda part, first: min(ROWS, columns[part] - first) * columns[part])
         for part, first in list(total):
             table, items = total.pop((part, first)), shared.value[part]
             weight = items.weights[(items.column_hash & _MASK).astype(np.int64)].astype(np.float64)
             place = np.flatnonzero(table)
-            i, j = first + place // len(weight), place % len(weight)
+            i, j = first + place // columns[part], place % columns[part]
             value, apart = table[place] * weight[i] * weight[j], i != j
             i, j, value = np.r_[i, j[apart]].astype(np.int32), np.r_[j, i[apart]].astype(np.int32), np.r_[value, value[apart]]
             for at in range(0, len(i), 1 << 16):
@@ -247,12 +277,19 @@ def _added(shared):
     return run
 
 
-def column_products(docs: DataFrame, blocks: list[Items]) -> DataFrame:
-    """(part, i, j, value), the sum of x_i x_j over the TF-IDF rows x of all blocks of all texts, for each block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
-    tasks = max(8, sum(len(items.column_hash) ** 2 for items in blocks) >> 21)  # a task holds about 2 M pairs
-    sums = docs.mapInArrow(_column_products(shared), "part int, first int, place binary, times binary").repartition(tasks, "part", "first")
-    out = written(sums.mapInArrow(_added(shared), "part int, i int, j int, value double").repartition(tasks, "i"), "products")
+def column_products(docs: DataFrame, blocks: list[Items], counts: DataFrame | None = None) -> DataFrame:
+    """(part, i, j, value), the sum of x_i x_j over the TF-IDF rows x of all blocks of all texts, for each block of items.
+
+    ``counts`` are those of ``column_counts`` for these blocks, where they are at hand.
+    """
+    spark = docs.sparkSession
+    counts = column_counts(docs, blocks) if counts is None else counts
+    shared = spark.sparkContext.broadcast(blocks)
+    few = max(8, sum(len(items.column_hash) ** 2 for items in blocks) >> 21)  # about 2 M pairs to a task
+    # counts grow with the tasks that scan the documents, so they are added up in as many as Spark is told to shuffle to
+    many = max(few, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = counts.where(F.col("part") != FREQUENCIES).repartition(many, "part", "first").mapInArrow(_added(shared), "part int, i int, j int, value double")
+    out = written(sums.repartition(few, "i"), "products")
     shared.destroy()
     return out
 
@@ -268,7 +305,7 @@ def _times(shared):
         for first in range(0, len(names), few):
             some = np.flatnonzero((at >= first) & (at < first + few)) if len(names) > few else slice(None)
             rows = np.zeros((min(few, len(names) - first), columns))
-            np.add.at(rows, (at[some] - first, j[some]), value[some])
+            np.add.at(rows.reshape(-1), (at[some] - first) * columns + j[some], value[some])
             yield pa.RecordBatch.from_arrays([pa.array(names[first : first + few]), pa.array([row.tobytes() for row in rows @ shared.value], pa.binary())], names=["i", "product"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +426,10 @@ CHUNK = 1 << 7  # blocks whose rows of numbers are added up at once
 PASSAGES = 4096  # passages that are projected at once
 DENSE = 1 << 23  # pairs of columns that are held as a square
 PAIRS = 1 << 20  # pairs of columns that are merged at once
-ROWS = 64  # columns whose pairs are added up in one table
-PACKED = 512  # pairs in a row between tasks
+ROWS = 8  # columns whose pairs are added up in one table
+SPAN = 1 << 12  # buckets of words that are added up in one table
+PACKED = 512  # counts in a row between tasks
+FREQUENCIES = -1  # the part of the counts that is of buckets of words
 
 
 def _candidates(items: Items, words: Words, block: np.ndarray, row_of: np.ndarray, idf: np.ndarray, col: np.ndarray, least_cosine: float) -> Iterator[tuple[int, int, float]]:
@@ -520,18 +559,19 @@ def find_contamination(
     sizes = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
     if not sizes["n"] or docs.isEmpty():
         return spark.createDataFrame([], _FOUND_DDL)
-    weights = inverse_frequencies(docs)
     parts = max(-(-sizes["n"] // max(1, min(items_at_once, rank - SPARE))), -(-sizes["words"] // words_at_once))
     # dealt by a hash, parts differ in size; half as many again leave room for that
     parts = parts if parts == 1 else parts + parts // 2
     ranked = benchmark.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    found = None
+    found = weights = None
     for at in range(0, parts, blocks_a_scan):
-        built_blocks = []
-        for part in range(at, min(parts, at + blocks_a_scan)):
-            if (built := _items(ranked.where(F.col("part") == part).orderBy("item_id", "text").collect(), weights)) is not None:
-                built_blocks.append(built)
-        products = column_products(docs, [items for items, _ in built_blocks])
+        texts = [ranked.where(F.col("part") == part).orderBy("item_id", "text").collect() for part in range(at, min(parts, at + blocks_a_scan))]
+        unweighted = [built[0] for rows in texts if (built := _items(rows, np.zeros(BUCKETS, np.float32))) is not None]
+        counts = column_counts(docs, unweighted, frequencies=weights is None)  # weights come from the first scan
+        weights = inverse_frequencies(docs, counts) if weights is None else weights
+        built_blocks = [built for rows in texts if (built := _items(rows, weights)) is not None]
+        products = column_products(docs, [items for items, _ in built_blocks], counts)
+        discard(counts)
         blocks = []
         for part, (items, table) in enumerate(built_blocks):
             items.basis = latent_basis(products.where(F.col("part") == part).drop("part"), items, table, len(items.ids) + SPARE)
