@@ -43,12 +43,13 @@ def range_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote of each document whose page number is off by none to three: found on its own page, else up to two away."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    upto = Window.partitionBy("source").orderBy("doc_id")
+    upto = Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"))
     name = F.col("doc_id").cast("string")
     quote = F.concat(F.lit("begins "), F.md5(name.cast("binary")), F.md5(F.concat(F.lit("x"), name).cast("binary")))
-    pages = d.select("source", F.row_number().over(upto).alias("page"), "doc_id", F.concat(F.lit("Here "), quote, F.lit(" "), F.col("text")).alias("text"))
-    quotes = pages.select(F.col("doc_id").alias("quote_id"), "source", (F.col("page") + F.col("doc_id") % 4).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.upper(quote)).otherwise(quote).alias("quote"))
-    return matching.relocate_quotes(quotes, pages.drop("doc_id"), "quote_id").select("quote_id", F.col("page").cast("int").alias("page"), "method", "start", "prefix")
+    numbers = d.select("source", "doc_id").withColumn("page", F.row_number().over(upto))  # without the texts, as a source is one task
+    pages = numbers.join(d.select("doc_id", "text"), "doc_id").select("source", "page", F.concat(F.lit("Here "), quote, F.lit(" "), F.col("text")).alias("text"))
+    quotes = numbers.where("doc_id is not null").select(F.col("doc_id").alias("quote_id"), "source", (F.col("page") + F.col("doc_id") % 4).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.upper(quote)).otherwise(quote).alias("quote"))
+    return matching.relocate_quotes(quotes, pages, "quote_id").select("quote_id", F.col("page").cast("int").alias("page"), "method", "start", "prefix")
 
 
 def shared_view(spark: SparkSession, sf_dir: str) -> DataFrame:

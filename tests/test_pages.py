@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from lectern.functions import geometry as geo
 from lectern.functions import text as tx
 from lectern.operators import blocks, dml, matching
+from lectern.plans import pages as plans
 from pyspark.sql import functions as F
 
 
@@ -125,6 +127,65 @@ def test_quotes_are_found_on_the_nearest_page(spark):
     assert got == {1: (1, "exact", 0, 16, "", " delta epsilon"), 2: (3, "normalized", 0, 16, "", " delta zeta"), 4: (7, "exact", 0, 20, "", " here")}
 
 
+def test_quotes_over_stretches_of_pages_as_one_by_one(spark):
+    rng = random.Random(4)
+    words = [f"{rng.choice('abcdefgh')}{k:03}" for k in range(300)]
+    texts = {(doc, p): " ".join(rng.choices(words, k=rng.randrange(0, 40))) for doc in ("d", None) for p in rng.sample(range(-5, 150), 130)}
+    asked = []
+    for k in range(400):
+        doc, p = rng.choice(list(texts))
+        low = rng.randrange(30)
+        quote = texts[doc, p][low : low + rng.randrange(5, 60)]
+        asked.append((k, doc, p + rng.randrange(-3, 4), rng.choice([quote, quote.upper(), quote[:-9] + "zz" + quote[-7:], " "])))
+    want = {}
+    for k, doc, at, quote in asked:
+        for p in (at, at - 1, at + 1, at - 2, at + 2):
+            if found := matching.find_quote(texts.get((doc, p)), quote):
+                want[k] = (p, *found, texts[doc, p][max(0, found[2] - 40) : found[2]], texts[doc, p][found[3] : found[3] + 40])
+                break
+    pages = spark.createDataFrame([(*k, t) for k, t in texts.items()], "doc string, page int, text string")
+    out = matching.relocate_quotes(spark.createDataFrame(asked, "id long, doc string, page int, quote string"), pages, "id")
+    assert {r["id"]: tuple(r)[1:] for r in out.collect()} == want
+    assert {m for _, m, *_ in want.values()} >= {"exact", "normalized", "char-lcs"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # each text goes to the tasks once, not once a distance
+
+
+def test_a_page_is_read_once_for_all_quotes(monkeypatch):
+    rng, made = random.Random(9), []
+    monkeypatch.setattr(matching, "normal_text", lambda t, f=matching.normal_text: made.append(t) or f(t))
+    hay = matching.Haystack("  Ŧhe ﬁrst\u00ad page –  " + "".join(rng.choices("abcdef 0123456789", k=900)))
+    for _ in range(20):
+        quote = "".join(rng.choices("abcdef 0123456789", k=70))
+        assert matching.find_in(hay, matching.Needle(quote)) == matching.find_quote(hay.text, quote)
+    assert matching.normalise(hay.text)[0] == hay.plain
+    assert sum(t == hay.text for t in made) == 1 + 20  # once for the twenty above, once for each of the plain calls
+
+
+def test_spans_ruled_out_are_not_there():
+    rng = random.Random(6)
+    some = 0
+    for k in range(600):
+        letters = "abcd " if k % 2 else "abcdef0123456789 "
+        needle = "".join(rng.choices(letters, k=rng.randrange(2, 40))).strip()
+        hay = "".join(rng.choices(letters, k=rng.randrange(0, 400)))
+        if k % 3 == 0:
+            hay = hay[:60] + "".join(c for c in needle if rng.random() < 0.9) + hay[60:] * (1 + k % 2 * 9)
+        span = matching.char_span(matching.normal_text(hay), needle)
+        some += span is not None
+        assert span is None or matching.Haystack(hay).may_have(needle)
+    assert some > 50
+
+
+def test_quotes_of_documents_without_a_source(spark, tmp_path):
+    rows = [(k, None if k % 7 == 0 else f"s{k % 2}", None if k % 11 == 0 else f"Text {k} of no great length.") for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["quote_id"], r["page"], r["method"]) for r in plans.quote_pages(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {r[:3] for r in con.sql(plans.SQL["quote_pages"]).fetchall()}
+
+
 def test_backfill(spark):
     rows = spark.createDataFrame([(1, None, None, "b"), (2, None, "a", "b"), (3, "x", "a", None), (4, None, None, None)], "id int, c string, one string, two string")
     assert [r["c"] for r in dml.backfill(rows, "c", "one", "two").orderBy("id").collect()] == ["b", "a", "x", None]
